@@ -26,6 +26,8 @@ from quillstone.llm.words import WordHashes, runs, words
 from quillstone.session import checkpointed, staged
 
 RANGES = 64
+#: Most ids that are broadcast to pick bodies before a shuffle; more are joined by shuffling.
+BROADCAST_IDS = 100_000
 
 
 def _need(n: int, t: float) -> int:
@@ -92,9 +94,13 @@ def frequency_codes(records: DataFrame, k: int, min_words: int, bits: int) -> np
 
 
 def index_rows(records: DataFrame, codes: np.ndarray, k: int, min_words: int, t: float, matches: int, bits: int) -> DataFrame:
-    """(cls, id, n, c, keys): class of equal words, run count, guaranteed minimum, indexed hashes."""
+    """(cls, id, n, c, skip, keys): class of equal words, run count, guaranteed minimum, indexed hashes.
+
+    keys[i] has position skip + i in the record's order; what stands before occurs nowhere else.
+    """
     shared = records.sparkSession.sparkContext.broadcast(codes)
     shift = np.uint64(64 - bits)
+    columns = ["cls", "id", "n", "c", "skip", "keys"]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
@@ -104,15 +110,15 @@ def index_rows(records: DataFrame, codes: np.ndarray, k: int, min_words: int, t:
             c = min(matches, need)
             freq = shared.value[(s >> shift).astype(np.int64)]
             first = np.lexsort((s, freq))[: n - need + c]
-            keys = s[first][freq[first] > 1]
-            out.append((xxhash.xxh128_digest(" ".join(ws)), i, n, c, keys.view(np.int64)))
+            skip = int((freq[first] <= 1).sum())
+            out.append((xxhash.xxh128_digest(" ".join(ws)), i, n, c, skip, s[first[skip:]].view(np.int64)))
             if len(out) >= 2000:
-                yield pd.DataFrame(out, columns=["cls", "id", "n", "c", "keys"])
+                yield pd.DataFrame(out, columns=columns)
                 out = []
         if out:
-            yield pd.DataFrame(out, columns=["cls", "id", "n", "c", "keys"])
+            yield pd.DataFrame(out, columns=columns)
 
-    return records.mapInPandas(rows, "cls binary, id string, n int, c int, keys array<bigint>")
+    return records.mapInPandas(rows, "cls binary, id string, n int, c int, skip int, keys array<bigint>")
 
 
 def _verified(pairs: DataFrame, k: int, t: float) -> DataFrame:
@@ -191,33 +197,52 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
 
 
-def near_duplicates(records: DataFrame, t: float = 0.8, k: int = 5, min_words: int = 0, matches: int = 3, bits: int = 24) -> NearDuplicates:
+def near_duplicates(records: DataFrame, t: float = 0.8, k: int = 5, min_words: int = 0, matches: int = 5, bits: int = 24) -> NearDuplicates:
     """Similar records of (id, body): similarity is that of their sets of runs of k words.
 
     Null bodies and records with fewer than max(min_words, k) words are in no pair; repeated rows
-    of an id count once; other columns are ignored.
+    of an id count once; other columns are ignored. matches, at most 7, is the number of common
+    positions that the indexed prefixes guarantee.
     """
+    if not 1 <= matches <= 7:
+        raise ValueError("matches must be between 1 and 7")
     records = records.select("id", "body").where("id is not null and body is not null")
     codes = frequency_codes(records, k, min_words, bits)
-    rows = staged(index_rows(records, codes, k, min_words, t, matches, bits), "neardup-index")
-    classes = rows.groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("c").alias("c"), F.first("keys").alias("keys"))
+    rows = index_rows(records, codes, k, min_words, t, matches, bits).withColumn("num", F.monotonically_increasing_id())
+    rows = staged(rows, "neardup-index")
+    classes = rows.groupBy("cls").agg(F.min("id").alias("rep"), F.min("num").alias("num"))
     members = rows.select("cls", "id").distinct().join(classes.select("cls", "rep"), "cls").select("rep", "id")
     sizes = members.groupBy("rep").agg(F.count("*").alias("n_members"))
     members = members.join(sizes, "rep")
-    entries = classes.select("rep", "n", "c", F.explode("keys").alias("key"))
-    a, b = entries.alias("a"), entries.alias("b")
+    heads = checkpointed(classes.select("num", "rep"))
+    entries = (
+        rows.join(heads.select("num"), "num", "left_semi")
+        .select("num", "n", "c", "skip", F.posexplode("keys").alias("at", "key"))
+        .select("key", "num", F.expr("shiftleft(cast(n as bigint), 32) + (skip + at) * 8 + c").alias("meta"))
+    )
+    side = lambda x: entries.select(
+        "key", F.col("num").alias(x), F.expr("shiftright(meta, 32)").alias(f"n{x}"), F.expr("shiftright(meta & 4294967295, 3)").alias(f"p{x}"), F.expr("meta & 7").alias(f"c{x}")
+    )
+    # Runs common to both before this position, this one, and at most all after it.
+    reach = F.least("pa", "pb") + 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
     tally = (
-        a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.n") >= F.col("b.n") * t) & (F.col("b.n") >= F.col("a.n") * t))
-        .groupBy(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
-        .agg(F.count("*").alias("shared"), F.min(F.least("a.c", "b.c")).alias("least"))
+        side("a")
+        .join(side("b"), "key")
+        .where((F.col("a") < F.col("b")) & (reach * (1 + t) >= (F.col("na") + F.col("nb")) * t - 1e-6))
+        .groupBy("a", "b")
+        .agg(F.count("*").alias("shared"), F.min(F.least("ca", "cb")).alias("least"))
         .where("shared >= least")
         .select("a", "b")
     )
     tally = checkpointed(tally)
-    wanted = tally.select(F.col("a").alias("id")).unionByName(tally.select(F.col("b").alias("id"))).distinct()
+    named = tally.join(heads.select(F.col("num").alias("a"), F.col("rep").alias("ra")), "a").join(heads.select(F.col("num").alias("b"), F.col("rep").alias("rb")), "b")
+    named = checkpointed(named.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")))
+    wanted = named.select(F.col("a").alias("id")).unionByName(named.select(F.col("b").alias("id"))).distinct()
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
     bodies = records.join(wanted, "id", "left_semi").dropDuplicates(["id"])
     joined = (
-        tally.join(bodies.select(F.col("id").alias("b"), F.col("body").alias("body_b")), "b")
+        named.join(bodies.select(F.col("id").alias("b"), F.col("body").alias("body_b")), "b")
         .join(bodies.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a")
         .select("a", "b", "body_a", "body_b")
     )
