@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import neardup, vectors
+from quillstone.llm import abuse, leakage, mixing, neardup, splitting, vectors
 from quillstone.sources.tables import table
 
 
@@ -34,7 +34,61 @@ def p3_neighbours(spark: SparkSession, root: str) -> DataFrame:
     return _neighbours(spark, root)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_neighbours)}
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return splitting.resplit(table(spark, root, "drawers")).select(F.col("parent_drawer_id").alias("drawer_id")).distinct()
+
+
+def p4_pieces(spark: SparkSession, root: str) -> DataFrame:
+    return splitting.pieces(table(spark, root, "drawers"))
+
+
+def _leaks(spark: SparkSession, root: str) -> DataFrame:
+    return leakage.leaks(table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return _leaks(spark, root).select("doc_id", "item_id")
+
+
+def p7_overlap(spark: SparkSession, root: str) -> DataFrame:
+    return _leaks(spark, root)
+
+
+def p7_items(spark: SparkSession, root: str) -> DataFrame:
+    return leakage.leaked_items(_leaks(spark, root))
+
+
+def p8_mix(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.mix(table(spark, root, "documents"), table(spark, root, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.shares(table(spark, root, "documents"), table(spark, root, "mix_targets"))
+
+
+def _scores(spark: SparkSession, root: str) -> DataFrame:
+    return abuse.fitted_scores(table(spark, root, "documents"), table(spark, root, "doc_labels"))
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return _scores(spark, root).where("flagged").select("doc_id")
+
+
+def p9_scores(spark: SparkSession, root: str) -> DataFrame:
+    return _scores(spark, root)
+
+
+def p9_rates(spark: SparkSession, root: str) -> DataFrame:
+    return abuse.rates(table(spark, root, "documents"), _scores(spark, root))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p2_found, p2_groups, p3_found, p3_neighbours, p4_found, p4_pieces, p7_found, p7_overlap, p7_items,
+        p8_mix, p8_shares, p9_found, p9_scores, p9_rates,
+    )
+}
 
 _SHINGLES = r"""
 with w as (
@@ -55,8 +109,23 @@ c as (select a.id, b.id neighbour, round(list_cosine_similarity(a.v, b.v), 10) c
 r as (select *, row_number() over (partition by id order by cosine desc, neighbour)::int "rank" from c),
 nn as (select * from r where "rank" <= 5 and cosine >= 0.85)"""
 
+_RUNS = r"""
+with w as (select doc_id, list_transform(regexp_extract_all("text", '[\p{L}\p{N}]+'), lambda x: lower(x)) w from documents where "text" is not null),
+v as (select item_id, list_transform(regexp_extract_all("text", '[\p{L}\p{N}]+'), lambda x: lower(x)) w from eval_items where "text" is not null),
+i as (select item_id, x, list_aggregate(w[x : x + 9], 'string_agg', ' ') g from (select item_id, w, unnest(range(1, len(w) - 8)) x from v where len(w) >= 10)),
+d as (select distinct doc_id, list_aggregate(w[x : x + 9], 'string_agg', ' ') g from (select doc_id, w, unnest(range(1, len(w) - 8)) x from w where len(w) >= 10))"""
+
 SQL = {
     "p2_found": f"{_SHINGLES} select id_a, id_b from pairs",
+    "p4_found": """
+with big as (select distinct on (id) id, "text" from drawers where (parent_drawer_id is null or parent_drawer_id = '') and length("text") > 800),
+ch as (select distinct parent_drawer_id p, chunk_index i, "text" t from drawers where parent_drawer_id is not null and parent_drawer_id <> ''),
+j as (select p, count(*) n, count(distinct i) k, min(i) lo, max(i) hi, string_agg(t, '' order by i) whole from ch group by p)
+select id drawer_id from big left join j on p = id where p is null or not (n = k and lo = 0 and hi = n - 1 and whole = "text")""",
+    "p7_found": f"{_RUNS} select distinct doc_id, item_id from d join i using (g)",
+    "p7_items": f"""{_RUNS}, o as (select distinct doc_id, item_id from d join i using (g)),
+c as (select doc_id, item_id, count(distinct k) n from (select doc_id, item_id, unnest(range(x, x + 10)) k from d join i using (g)) group by 1, 2)
+select item_id, count(*) n_docs, max(n)::int max_words from o join c using (doc_id, item_id) group by 1""",
     "p3_found": f"{_NEAREST} select distinct least(id, neighbour) id_a, greatest(id, neighbour) id_b from nn",
     "p3_neighbours": f"{_NEAREST} select * from nn",
 }
