@@ -82,9 +82,9 @@ def title_tokens(title) -> Column:
 
 
 def leading_id(title) -> Column:
-    """The first word of a title if it has the shape of an issue id, else null."""
-    first = F.lower(F.regexp_extract(F.coalesce(_c(title), F.lit("")), r"^(?:#+ *)?\s*(\S+)", 1))
-    return F.when(first.rlike(r"^[a-z0-9][a-z0-9_]*-[a-z0-9]+(?:\.[a-z0-9]+)*$"), first)
+    """The first word of a title, past hashes and blanks, if it has the shape of an issue id, else null."""
+    first = F.lower(F.regexp_extract(F.coalesce(_c(title), F.lit("")), r"^[# ]*\s*(\S+)", 1))
+    return F.when(first.rlike(r"^[a-z][a-z0-9]*-[a-z0-9][a-z0-9.]*$"), first)
 
 
 def normalized(x) -> Column:

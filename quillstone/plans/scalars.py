@@ -176,8 +176,8 @@ select token, string_agg(part, ' ' order by k) expanded from f group by token"""
     "title_tokens": f"""with t as (select distinct id, regexp_extract_all(lower(coalesce(title, '')), '{tx.TITLE_TOKEN}') a from drawers),
 u as (select id, tok, min(i) i from (select id, unnest(a) tok, generate_subscripts(a, 1) i from t) group by 1, 2)
 select id, coalesce(string_agg(tok, ' ' order by i), '') tokens from t left join u using (id) group by id""",
-    "leading_id": r"""select distinct id, case when regexp_matches(f, '^[a-z0-9][a-z0-9_]*-[a-z0-9]+(?:\.[a-z0-9]+)*$') then f end leading_id
-from (select id, lower(regexp_extract(coalesce(title, ''), '^(?:#+ *)?\s*(\S+)', 1)) f from drawers)""",
+    "leading_id": r"""select distinct id, case when regexp_matches(f, '^[a-z][a-z0-9]*-[a-z0-9][a-z0-9.]*$') then f end leading_id
+from (select id, lower(regexp_extract(coalesce(title, ''), '^[# ]*\s*(\S+)', 1)) f from drawers)""",
     "normalize_alnum": "select distinct id, trim(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', ' ', 'g')) normalized from drawers",
     "jaccard_tokens": f"""with w as (select id, {_WORDS.format('title')} a, {_WORDS.format(_FIRST)} b from drawers where parent_drawer_id is null),
 n as (select id, len(list_intersect(a, b)) i, len(a) + len(b) - len(list_intersect(a, b)) u from w)

@@ -361,7 +361,7 @@ QUERIES = {
 }
 
 _IDS = r"(?:^|[^A-Za-z0-9._/-])([a-z][a-z0-9_]*-[0-9a-f]{3}(?:\.[0-9]+)*)"
-_LEAD = r"lower(regexp_extract(coalesce(title, ''), '^(?:#+ *)?\s*(\S+)', 1))"
+_LEAD = r"lower(regexp_extract(coalesce(title, ''), '^[# ]*\s*(\S+)', 1))"
 _TITLE = f"""coalesce(substr(list_filter(list_transform(regexp_split_to_array(coalesce("text", ''), '{tx.LINE_END}'), lambda x: regexp_replace(x, '^{tx.BLANKS}|{tx.BLANKS}$', '', 'g')), lambda x: x <> '')[1], 1, 512), '(untitled)')"""
 _CID = "coalesce(nullif(parent_drawer_id, ''), id)"
 _VALID = f"(valid_from is null or valid_from <= timestamp '{AT}') and (valid_to is null or valid_to > timestamp '{AT}')"
@@ -432,7 +432,7 @@ k as (select *, substr(sha256(least(a, b) || '|' || greatest(a, b)), 1, 16) tunn
 select tunnel_id, source_wing, source_room, target_wing, target_room, f created_at from k
 qualify row_number() over (partition by tunnel_id order by created_at desc nulls last, id desc, source_wing desc, source_room desc) = 1""",
     "dead_ids": rf"""select distinct i issue_id from (select unnest(regexp_extract_all("text", '{_IDS}', 1)) i from documents)
-where i not in (select f from (select {_LEAD} f from drawers) where regexp_matches(f, '^[a-z0-9][a-z0-9_]*-[a-z0-9]+(?:\.[a-z0-9]+)*$'))""",
+where i not in (select f from (select {_LEAD} f from drawers) where regexp_matches(f, '^[a-z][a-z0-9]*-[a-z0-9][a-z0-9.]*$'))""",
     "template_drift": f"""with a as (select {_TITLE} k, min(md5("text")) a from documents group by 1),
 b as (select coalesce(nullif(title, ''), {_TITLE}) k, min(md5("text")) b from drawers where parent_drawer_id is null group by 1)
 select case when b is null then 'absent' when a is null then 'unlisted' when a = b then 'same' else 'differs' end state, count(*) n from a full join b using (k) group by 1""",
