@@ -12,6 +12,7 @@ table of fixed size; a document's score is that of its worst passage.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -26,50 +27,58 @@ CATEGORIES = ("none", "insult", "hate", "sexual")
 BASE = np.uint64(0x100000001B3 * 2654435761 % (1 << 63) | 1)
 
 _INVISIBLE = re.compile("[­​-‏⁠-⁤﻿]")
-_MASKED = re.compile(r"(?<=[^\W\d_])[#*@$%!]{2,}(?=[^\W\d_])")
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*]){2,}[^\W_](?![^\W_])")
-_MIXED = re.compile(r"[^\W_]*[0134579@$][^\W_@$]*[^\W\d_][\w@$]*|[^\W\d_]+[013457@$][\w@$]*")
-_STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
-_OTHER = re.compile(r"[^\w\x02]+|_+")
-_PASSAGE = re.compile(r"[.!?。！？；]+[\"')*_`]*(?:\s|$)|[。！？；]|\n")
+_ACCENTS = re.compile("[̀-ͯ]+")
+_MASKED = re.compile(r"[#*@$%!](?<=[^\W\d].)[#*@$%!]+(?=[^\W\d])", re.S)
+_SPACED = re.compile(r"\b\w[ .\-*](?:\w[ .\-*])+\w\b")
+_MIXED = re.compile(r"(?<![\w@$])[^\W\d]*+[0134579@$][\w@$]*")
+_STRETCHED = re.compile(r"([^\W\d])\1{2,}")
+_GAPS = re.compile(r"[ .\-*]")
+_PASSAGE = re.compile(r"[.!?。！？；]+[\"')*`]*(?:\s|$)|[。！？；]|\n")
 #: Digits and signs that stand for letters.
 _LETTERS = str.maketrans("0134579@$", "oieastgas")
+MASK = "\x02"
 
 
 def _respell(m: re.Match) -> str:
-    return m.group().translate(_LETTERS)
+    word = m.group()
+    return word if word.isdigit() else word.translate(_LETTERS)
+
+
+def _stretched(text: str) -> bool:
+    """Whether some letter (or a sign after it in the code table) stands three times in a row."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return bool(len(c) > 2 and ((c[2:] == c[1:-1]) & (c[1:-1] == c[:-2]) & (c[2:] > 96)).any())
 
 
 def fold(text: str) -> str:
-    """text in the spelling that the model sees; passages stay apart by newlines."""
+    """text in the spelling that the model sees; passages stay apart by newlines and sentence ends."""
     if not text.isascii():
         text = _INVISIBLE.sub("", text)
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    return text.lower()
+        if not text.isascii():
+            text = _ACCENTS.sub("", unicodedata.normalize("NFKD", text))
+    text = text.lower().replace("_", "-")
+    text = _MASKED.sub(MASK + MASK, text)
+    text = _SPACED.sub(lambda m: _GAPS.sub("", m.group()), text)
+    text = _MIXED.sub(_respell, text)
+    return _STRETCHED.sub(r"\1", text) if _stretched(text) else text
 
 
 def passages(text: str | None) -> list[str]:
-    """The folded passages of a text, without those that have no letter."""
-    if not text:
-        return []
-    out = []
-    for part in _PASSAGE.split(fold(text)):
-        if len(part) < 3:
-            continue
-        part = _MASKED.sub("\x02\x02", part)
-        part = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m.group()), part)
-        part = _MIXED.sub(_respell, part)
-        part = _STRETCHED.sub(r"\1", part)
-        part = _OTHER.sub(" ", part).strip()
-        if part:
-            out.append(part)
-    return out
+    """The folded passages of a text that have at least three characters."""
+    return [part for part in _PASSAGE.split(fold(text)) if len(part) > 2] if text else []
+
+
+@functools.cache
+def _letters() -> np.ndarray:
+    """Code points of the basic plane, with a blank for all that are neither letters nor digits."""
+    return np.array([c if c == ord(MASK) or chr(c).isalnum() else 32 for c in range(0x10000)], dtype=np.uint64)
 
 
 def bags(parts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(slots, owners): the hashed features of all passages and the passage of each."""
     text = " " + "  ".join(parts) + " "
-    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    cp = np.where(cp < 0x10000, _letters()[np.minimum(cp, 0xFFFF)], cp.astype(np.uint64))
     space = cp == 32
     lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 2
     owner = np.repeat(np.arange(len(parts), dtype=np.int32), lengths)
@@ -117,15 +126,17 @@ class Model:
     threshold: float
 
     def probabilities(self, parts: list[str]) -> np.ndarray:
-        """(passages, categories)."""
+        """(passages, categories); a passage without letters is surely clean."""
         out = np.empty((len(parts), len(CATEGORIES)), dtype=np.float64)
         if parts:
             slots, owners = bags(parts, self.bits)
-            n = np.maximum(np.bincount(owners, minlength=len(parts)), 1)
+            bag = np.bincount(owners, minlength=len(parts))
+            n = np.maximum(bag, 1)
             for c in range(len(CATEGORIES)):
                 out[:, c] = np.bincount(owners, weights=self.table[:, c][slots], minlength=len(parts)) / n + self.bias[c]
             out = np.exp(out - out.max(axis=1, keepdims=True))
             out /= out.sum(axis=1, keepdims=True)
+            out[bag == 0] = np.eye(len(CATEGORIES))[0]
         return out
 
 
