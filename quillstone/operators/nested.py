@@ -30,7 +30,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
             "_w", F.expr("try_parse_json(concat('{\"x\":', raw, '\\n}')) is not null")
         )
         parsed = parsed.where("_w and schema_of_variant(_v) like 'ARRAY<%'").withColumn("_a", F.expr("try_variant_get(_v, '$', 'array<variant>')"))
-        parsed = parsed.where("size(_a) = 1").withColumn("doc", F.col("_a")[0]).where("schema_of_variant(doc) like 'OBJECT<%'")
+        parsed = parsed.where("size(_a) = 1").withColumn("doc", F.get("_a", F.lit(0))).where("schema_of_variant(doc) like 'OBJECT<%'")
         return parsed.drop("_v", "_w", "_a")
 
 
