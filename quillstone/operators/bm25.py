@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import index_tokens
+from quillstone.functions.text import expand, index_tokens, tokens
 from quillstone.session import staged
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
@@ -33,14 +33,18 @@ def units(drawers: DataFrame) -> DataFrame:
     return rows.join(parents, "unit", "left_anti")
 
 
-def build(unit_rows: DataFrame, keep: bool = True) -> Index:
-    """The index of (unit, cid, body). keep: write the postings once to the shared folder.
+def build(unit_rows: DataFrame, keep: bool = True, clustered: bool = False) -> Index:
+    """The index of (unit, cid, body), one row per unit. keep: write the postings once to the shared folder.
 
     Statistics cover all units: N, mean length, df. A negative idf becomes a quarter of the mean
-    idf over the vocabulary. Double arithmetic throughout.
+    idf over the vocabulary. Double arithmetic throughout. The texts are moved to their unit's
+    partition once (clustered: they are there); tokens, counts and lengths need no further shuffle.
     """
-    sized = unit_rows.select("unit", "cid", index_tokens("body").alias("ts")).select("unit", "cid", F.size("ts").cast("double").alias("dl"), "ts")
-    postings = sized.select("unit", "cid", "dl", F.explode_outer("ts").alias("token")).groupBy("unit", "cid", "dl", "token").agg(F.count("*").cast("double").alias("tf"))
+    if not clustered:
+        unit_rows = unit_rows.repartition("unit", "cid")
+    words = unit_rows.select("unit", "cid", F.explode_outer(tokens("body")).alias("raw"))
+    counted = words.select("unit", "cid", F.explode_outer(expand(F.col("raw"))).alias("token")).groupBy("unit", "cid", "token").agg(F.count("token").cast("double").alias("tf"))
+    postings = counted.withColumn("dl", F.sum("tf").over(Window.partitionBy("unit", "cid")))
     if keep:
         postings = staged(postings, "postings")
     corpus = postings.select("unit", "dl").distinct().agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))

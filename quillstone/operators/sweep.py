@@ -76,7 +76,7 @@ def _close_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     holds at most about two parts, and only close pairs leave it.
     """
     sizes = rows.groupBy("block").agg(F.count("*").alias("rows_"))
-    cut = rows.join(sizes, "block").withColumn("parts", F.ceil(F.col("rows_") / BLOCK_ROWS).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    cut = rows.join(sizes.where("rows_ > 1"), "block").withColumn("parts", F.ceil(F.col("rows_") / BLOCK_ROWS).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, "part").alias("lo"), F.greatest(x, "part").alias("hi")))
     sent = cut.select("block", "side", "id", "n", "vec", "part", F.explode(meets).alias("m")).select("block", "m.lo", "m.hi", "side", "id", "n", "vec", "part")
 

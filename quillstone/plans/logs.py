@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as tx
 from quillstone.operators import mining, nested, transcripts
-from quillstone.sources.tables import table
+from quillstone.sources.tables import table, texts
 
 
 def _parsed(spark: SparkSession, root: str) -> DataFrame:
-    return nested.parse_lines(table(spark, root, "agent_records"))
+    return nested.parse_lines(texts(spark, root, "agent_records"))
 
 
 def _blocks(spark: SparkSession, root: str) -> DataFrame:
@@ -74,13 +74,13 @@ def claim_provenance(spark: SparkSession, root: str) -> DataFrame:
 
 def evidence_slots(spark: SparkSession, root: str) -> DataFrame:
     """Evidence slots in all documents."""
-    d = table(spark, root, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("report"))
+    d = texts(spark, root, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("report"))
     return transcripts.slots(d).select(F.col("key").cast("bigint").alias("doc_id"), "at", "form", "payload", F.size("commands").alias("n_commands"))
 
 
 def fence_state(spark: SparkSession, root: str) -> DataFrame:
     """Lines inside and outside code fences per document; a fence line is neither."""
-    d = table(spark, root, "documents").where("text is not null").select("doc_id", F.split("text", "\n").alias("lines"))
+    d = texts(spark, root, "documents").where("text is not null").select("doc_id", F.split("text", "\n").alias("lines"))
     fence = lambda x: x.rlike(r"^\s*(```|~~~)")
     start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("inside"), F.lit(0).alias("outside"))
     step = lambda a, x: F.when(fence(x), F.struct((1 - a["open"]).alias("open"), a["inside"].alias("inside"), a["outside"].alias("outside"))).otherwise(
@@ -91,8 +91,10 @@ def fence_state(spark: SparkSession, root: str) -> DataFrame:
 
 def _units(spark: SparkSession, root: str) -> DataFrame:
     """Documents as history units: first line, text and the paths it names."""
-    d = table(spark, root, "documents").where("text is not null")
-    return d.select("doc_id", tx.derive_title("text").alias("subject"), F.col("text").alias("body"), F.array_join(tx.extract_paths("text"), ",").alias("files"))
+    d = texts(spark, root, "documents").where("text is not null")
+    # Through inline, so that the expressions are computed once and not wherever a score names them.
+    unit = F.struct(tx.derive_title("text").alias("subject"), F.col("text").alias("body"), F.array_join(tx.extract_paths("text"), ",").alias("files"))
+    return d.select("doc_id", F.inline(F.array(unit)))
 
 
 def commit_score(spark: SparkSession, root: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.operators import history, nested, orphans
-from quillstone.sources.tables import table
+from quillstone.sources.tables import table, texts
 
 
 def _orphan_state(spark: SparkSession, root: str) -> orphans.OrphanState:
@@ -27,7 +27,7 @@ def p1_counts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, root: str) -> DataFrame:
-    return nested.parse_lines(table(spark, root, "agent_records"))
+    return nested.parse_lines(texts(spark, root, "agent_records"))
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:

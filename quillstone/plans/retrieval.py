@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as tx
 from quillstone.functions import vector as vx
 from quillstone.operators import bm25, evaluate, search, sweep
-from quillstone.sources.tables import table
+from quillstone.sources.tables import table, texts
 
 WING = "harbor_atlas"
 
@@ -20,7 +20,7 @@ def _probe(drawers: DataFrame) -> tuple[str, list[float]]:
 
 
 def _index(drawers: DataFrame) -> bm25.Index:
-    return bm25.build(bm25.units(drawers))
+    return bm25.build(bm25.units(drawers), clustered=True)
 
 
 def bm25_stats(spark: SparkSession, root: str) -> DataFrame:
@@ -30,7 +30,7 @@ def bm25_stats(spark: SparkSession, root: str) -> DataFrame:
 
 def bm25_top10(spark: SparkSession, root: str) -> DataFrame:
     """The ten best documents for every evaluation text."""
-    docs = table(spark, root, "documents").select(F.col("doc_id").alias("unit"), F.col("doc_id").alias("cid"), F.coalesce("text", F.lit("")).alias("body"))
+    docs = texts(spark, root, "documents").select(F.col("doc_id").alias("unit"), F.col("doc_id").alias("cid"), F.coalesce("text", F.lit("")).alias("body"))
     items = table(spark, root, "eval_items").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     hits = bm25.scores(bm25.build(docs), items).withColumn("score", F.round("score", 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "cid")
@@ -111,7 +111,7 @@ def near_dup_sweep(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _pathed(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("o"), tx.extract_paths("text").alias("paths")).where("size(paths) > 0")
+    return texts(spark, root, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("o"), tx.extract_paths("text").alias("paths")).where("size(paths) > 0")
 
 
 def wave_schedule(spark: SparkSession, root: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as tx
 from quillstone.functions import vector as vx
 from quillstone.operators import census
-from quillstone.sources.tables import table
+from quillstone.sources.tables import table, texts
 
 NOW = "2026-01-01 00:00:00"
 
@@ -19,7 +19,7 @@ def content_hash(spark: SparkSession, root: str) -> DataFrame:
 
 
 def drawer_id(spark: SparkSession, root: str) -> DataFrame:
-    d = table(spark, root, "documents").where("source is not null and lang is not null and text is not null")
+    d = texts(spark, root, "documents").where("source is not null and lang is not null and text is not null")
     return d.select("doc_id", tx.drawer_id("source", "lang", "text").alias("drawer_id"))
 
 
@@ -29,21 +29,21 @@ def tunnel_id(spark: SparkSession, root: str) -> DataFrame:
 
 
 def chunk_text(spark: SparkSession, root: str) -> DataFrame:
-    d = table(spark, root, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    d = texts(spark, root, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
     return tx.exploded_chunks(d)
 
 
 def tokenize(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "documents").where("text is not null").select("doc_id", F.explode(tx.tokens("text")).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    return texts(spark, root, "documents").where("text is not null").select("doc_id", F.explode(tx.tokens("text")).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
 
 
 def expand_identifier(spark: SparkSession, root: str) -> DataFrame:
-    t = table(spark, root, "documents").select(F.explode(tx.tokens("text")).alias("token")).distinct().where("token rlike '[._-]'")
+    t = texts(spark, root, "documents").select(F.explode(tx.tokens("text")).alias("token")).distinct().where("token rlike '[._-]'")
     return t.select("token", F.array_join(tx.expand(F.col("token")), " ").alias("expanded"))
 
 
 def derive_title(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "documents").select("doc_id", tx.derive_title("text").alias("title"))
+    return texts(spark, root, "documents").select("doc_id", tx.derive_title("text").alias("title"))
 
 
 def title_tokens(spark: SparkSession, root: str) -> DataFrame:
@@ -65,20 +65,20 @@ def jaccard_tokens(spark: SparkSession, root: str) -> DataFrame:
 
 
 def id_prefixes(spark: SparkSession, root: str) -> DataFrame:
-    ids = table(spark, root, "documents").select(F.explode(tx.any_id_scan("text")).alias("id"))
+    ids = texts(spark, root, "documents").select(F.explode(tx.any_id_scan("text")).alias("id"))
     return ids.select(tx.id_prefix("id").alias("prefix")).groupBy("prefix").agg(F.count("*").alias("n"))
 
 
 def id_scan(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "documents").select("doc_id", F.explode(tx.any_id_scan("text")).alias("issue_id"))
+    return texts(spark, root, "documents").select("doc_id", F.explode(tx.any_id_scan("text")).alias("issue_id"))
 
 
 def extract_paths(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "documents").select("doc_id", F.explode(tx.extract_paths("text")).alias("path"))
+    return texts(spark, root, "documents").select("doc_id", F.explode(tx.extract_paths("text")).alias("path"))
 
 
 def path_cluster(spark: SparkSession, root: str) -> DataFrame:
-    d = table(spark, root, "documents").select("doc_id", F.array_join(tx.extract_paths("text"), ",").alias("files"))
+    d = texts(spark, root, "documents").select("doc_id", F.array_join(tx.extract_paths("text"), ",").alias("files"))
     return d.select("doc_id", tx.cluster_key("files").alias("cluster"))
 
 
@@ -91,7 +91,7 @@ def previews(spark: SparkSession, root: str) -> DataFrame:
 
 
 def strip_fence(spark: SparkSession, root: str) -> DataFrame:
-    d = table(spark, root, "documents").where("text like '%```%'")
+    d = texts(spark, root, "documents").where("text like '%```%'")
     return d.select("doc_id", F.md5(tx.strip_fences("text")).alias("body_md5"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as tx
 from quillstone.operators import census, graph
-from quillstone.sources.tables import table
+from quillstone.sources.tables import table, texts
 
 ROOM, WING_A, WING_B, AT, ENTITY = "runbooks", "harbor_atlas", "quarry", "2024-09-01 00:00:00", "project:loomcraft"
 
@@ -192,7 +192,7 @@ def add_drawer(spark: SparkSession, root: str) -> DataFrame:
     """The rows that adding every document would write: parents, chunks, what each row embeds."""
     from quillstone.operators.store import plan_rows
 
-    d = table(spark, root, "documents").where("source is not null and lang is not null and text is not null")
+    d = texts(spark, root, "documents").where("source is not null and lang is not null and text is not null")
     d = d.select(F.col("source").alias("wing"), F.col("lang").alias("room"), tx.derive_title("text").alias("title"), "text").distinct()
     rows = plan_rows(d)
     return rows.select("id", F.md5("text").alias("text_md5"), F.md5("embed_source").alias("embed_md5"), "chunk_index", "parent_drawer_id", "is_parent").distinct()
@@ -218,7 +218,7 @@ def create_tunnel(spark: SparkSession, root: str) -> DataFrame:
 
 def dead_ids(spark: SparkSession, root: str) -> DataFrame:
     """Issue ids cited in documents that no drawer title leads with."""
-    cited = table(spark, root, "documents").select(F.explode(tx.any_id_scan("text")).alias("issue_id")).distinct()
+    cited = texts(spark, root, "documents").select(F.explode(tx.any_id_scan("text")).alias("issue_id")).distinct()
     known = table(spark, root, "drawers").select(tx.leading_id("title").alias("issue_id")).where("issue_id is not null").distinct()
     return cited.join(known, "issue_id", "left_anti")
 
@@ -226,7 +226,7 @@ def dead_ids(spark: SparkSession, root: str) -> DataFrame:
 def template_drift(spark: SparkSession, root: str) -> DataFrame:
     """Documents against drawers by title: absent, differs or same text, counted."""
     one = lambda df, t: df.groupBy("k").agg(F.min(F.md5("text")).alias(t))
-    docs = one(table(spark, root, "documents").select(tx.derive_title("text").alias("k"), "text"), "a")
+    docs = one(texts(spark, root, "documents").select(tx.derive_title("text").alias("k"), "text"), "a")
     drawers = one(census.logical(table(spark, root, "drawers")).select(F.coalesce(F.nullif("title", F.lit("")), tx.derive_title("text")).alias("k"), "text"), "b")
     state = F.when(F.col("b").isNull(), "absent").when(F.col("a").isNull(), "unlisted").when(F.col("a") == F.col("b"), "same").otherwise("differs")
     return docs.join(drawers, "k", "full").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
@@ -302,7 +302,7 @@ def budget_prefix(spark: SparkSession, root: str) -> DataFrame:
 
 def first_occurrence(spark: SparkSession, root: str) -> DataFrame:
     """Issue ids of each document in order of first appearance."""
-    return table(spark, root, "documents").select("doc_id", F.posexplode(tx.any_id_scan("text")).alias("at", "issue_id"))
+    return texts(spark, root, "documents").select("doc_id", F.posexplode(tx.any_id_scan("text")).alias("at", "issue_id"))
 
 
 def escalation_only(spark: SparkSession, root: str) -> DataFrame:
