@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import abuse, leakage, mixing, neardup, splitting, vectors
-from quillstone.sources.tables import table
+from quillstone.sources.tables import table, texts
 
 
 def _near(spark: SparkSession, root: str) -> neardup.NearDuplicates:
-    bodies = neardup.drawer_bodies(table(spark, root, "drawers"))
+    bodies = neardup.drawer_bodies(texts(spark, root, "drawers"))
     return neardup.near_duplicates(bodies, t=0.5, k=3, min_words=20)
 
 
@@ -35,15 +35,15 @@ def p3_neighbours(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
-    return splitting.resplit(table(spark, root, "drawers")).select(F.col("parent_drawer_id").alias("drawer_id")).distinct()
+    return splitting.resplit(texts(spark, root, "drawers")).select(F.col("parent_drawer_id").alias("drawer_id")).distinct()
 
 
 def p4_pieces(spark: SparkSession, root: str) -> DataFrame:
-    return splitting.pieces(table(spark, root, "drawers"))
+    return splitting.pieces(texts(spark, root, "drawers"))
 
 
 def _leaks(spark: SparkSession, root: str) -> DataFrame:
-    return leakage.leaks(table(spark, root, "documents"), table(spark, root, "eval_items"))
+    return leakage.leaks(texts(spark, root, "documents"), table(spark, root, "eval_items"))
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
@@ -59,15 +59,15 @@ def p7_items(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p8_mix(spark: SparkSession, root: str) -> DataFrame:
-    return mixing.mix(table(spark, root, "documents"), table(spark, root, "mix_targets"))
+    return mixing.mix(texts(spark, root, "documents"), table(spark, root, "mix_targets"))
 
 
 def p8_shares(spark: SparkSession, root: str) -> DataFrame:
-    return mixing.shares(table(spark, root, "documents"), table(spark, root, "mix_targets"))
+    return mixing.shares(texts(spark, root, "documents"), table(spark, root, "mix_targets"))
 
 
 def _scores(spark: SparkSession, root: str) -> DataFrame:
-    return abuse.fitted_scores(table(spark, root, "documents"), table(spark, root, "doc_labels"))
+    return abuse.fitted_scores(texts(spark, root, "documents"), table(spark, root, "doc_labels"))
 
 
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
@@ -79,7 +79,7 @@ def p9_scores(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p9_rates(spark: SparkSession, root: str) -> DataFrame:
-    return abuse.rates(table(spark, root, "documents"), _scores(spark, root))
+    return abuse.rates(texts(spark, root, "documents"), _scores(spark, root))
 
 
 QUERIES = {
