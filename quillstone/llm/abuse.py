@@ -206,7 +206,8 @@ def train(docs: list[tuple[str, str]], bits: int = 17, clean_passages: int = 20_
     fold = rng.integers(0, 2, len(docs))
     some = rng.permutation(clean)[:clean_passages]
     at, y = np.concatenate([some, bad]), np.concatenate([np.zeros(len(some), int), cat[doc_of[bad]]])
-    weight = np.where(y > 0, 1.0, 0.5).astype(np.float32)
+    # All passages of abusive documents weigh a fraction of the clean ones: what both have stays clean.
+    weight = np.where(y > 0, min(1.0, 0.2 * len(some) / max(1, len(bad))), 1.0).astype(np.float32)
     for _ in range(2):
         # Documents are judged by a model that has not seen them, so a wrong label teaches nothing.
         out = np.zeros(len(flat))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 _PARAGRAPH = re.compile(r"\r?\n[ \t]*(?:\r?\n[ \t]*)+")
 _LINE = re.compile(r"\r\n|\r|\n")
-_SENTENCE = re.compile(r"[.!?…]+[\"'”’)\]]*(?=\s)\s?|[。！？；]+[”’」』）]*")
+_SENTENCE = re.compile(r"[.!?…]+[\"'”’)\]]*(?=\s)(?:\r\n|\s)?|[。！？；]+[”’」』）]*")
 _BLANK = re.compile(r"\s+")
 #: A word; characters of scripts written without blanks count one by one.
 _TERM = re.compile(r"[぀-ヿ㐀-鿿가-힯]|[^\W_]+")
@@ -97,8 +97,9 @@ def split(text: str, limit: int = 800, overlap: int = 80) -> list[tuple[int, int
         if a < b:
             end = int(at[a + int(np.argmax(depth[a:b]))])
         else:
-            ends = [m.end() for m in _BLANK.finditer(text, max(end, start + overlap) + 1, hi)]
-            end = ends[-1] if ends else _whole(text, hi, max(end, start + overlap) + 1)
+            least = max(end, start + overlap) + 1
+            ends = [m.end() for m in _BLANK.finditer(text, least, hi)]
+            end = _whole(text, ends[-1] if ends else hi, least)
         pieces.append((start, end))
         # The start of the word nearest to the wanted overlap, which never grows by more than a half.
         want = end - overlap
