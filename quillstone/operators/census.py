@@ -11,16 +11,11 @@ def logical(drawers: DataFrame) -> DataFrame:
 
 
 def status(drawers: DataFrame) -> DataFrame:
-    """(level, name, n): all rows, rows by wing, rows by room, in one pass."""
-    return (
-        drawers.groupingSets([(), ("wing",), ("room",)], "wing", "room")
-        .agg(F.grouping_id().alias("g"), F.count("*").alias("n"))
-        .select(
-            F.when(F.col("g") == 3, "total").when(F.col("g") == 1, "wing").otherwise("room").alias("level"),
-            F.when(F.col("g") == 3, "").when(F.col("g") == 1, F.col("wing")).otherwise(F.col("room")).alias("name"),
-            "n",
-        )
-    )
+    """(level, name, n): all rows (also none), rows by wing and rows by room, the last two in one pass."""
+    total = drawers.agg(F.count("*").alias("n")).select(F.lit("total").alias("level"), F.lit("").alias("name"), "n")
+    by = drawers.groupingSets([("wing",), ("room",)], "wing", "room").agg(F.grouping("room").alias("g"), F.count("*").alias("n"))
+    wing = F.col("g") == 1
+    return total.unionByName(by.select(F.when(wing, "wing").otherwise("room").alias("level"), F.when(wing, F.col("wing")).otherwise(F.col("room")).alias("name"), "n"))
 
 
 def list_wings(drawers: DataFrame) -> DataFrame:
