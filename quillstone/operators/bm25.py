@@ -11,6 +11,8 @@ from quillstone.functions.text import expand, index_tokens, tokens
 from quillstone.session import staged
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
+#: Most rows of query tokens that are broadcast.
+BROADCAST_TOKENS = 100_000
 
 
 @dataclass(frozen=True)
@@ -62,7 +64,11 @@ def scores(index: Index, queries: DataFrame) -> DataFrame:
     A token that a query repeats counts again. Scores at or below 0 are no hits.
     """
     q = queries.select("query_id", F.explode(index_tokens("query")).alias("token")).groupBy("query_id", "token").agg(F.count("*").cast("double").alias("qtf"))
-    idf = q.join(index.terms, "token")
+    if q.count() <= BROADCAST_TOKENS:
+        # Few query tokens pick their postings before any shuffle; many are joined by shuffling.
+        idf = F.broadcast(index.terms.join(F.broadcast(q), "token"))
+    else:
+        idf = index.terms.join(q, "token")
     term = F.col("qtf") * F.col("idf") * (F.col("tf") * (K1 + 1.0) / (F.col("tf") + K1 * (1.0 - B + B * F.col("dl") / F.col("avgdl"))))
     return (
         index.postings.join(idf, "token")

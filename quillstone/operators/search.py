@@ -130,6 +130,11 @@ def check_duplicate(drawers: DataFrame, vector: list[float], threshold: float =
     return near.withColumn("similarity", vx.l2_to_cosine("dist")).where(F.col("similarity") >= threshold).drop("dist")
 
 
+def knn_one(base: DataFrame, vector: list[float], k: int) -> DataFrame:
+    """(id, dist): the k rows of base (id, embedding) nearest to one vector; one pass, k rows a task reach the driver."""
+    return distances(base, vector).select("id", "dist").orderBy("dist", "id").limit(k)
+
+
 def knn_batch(base: DataFrame, queries: DataFrame, k: int, at_once: int = 4096) -> DataFrame:
     """(query_id, id, dist, rank): the k nearest rows of base (id, embedding) for each query (query_id, embedding).
 

@@ -197,6 +197,7 @@ def test_knn_batch_equals_brute_force(spark):
     want = {(i, r): j for i in range(0, 120, 20) for r, j in enumerate(sorted(range(120), key=lambda j: (((x[i] - x[j]) ** 2).sum(), j))[:5], 1)}
     assert got == want
     assert search.knn_batch(base, q.where("query_id < 0"), 5).count() == 0
+    assert [r.id for r in search.knn_one(base, x[20].tolist(), 5).collect()] == [want[20, r] for r in range(1, 6)]
 
 
 def greedy_sweep(rows, protected, threshold=0.08):
