@@ -243,7 +243,8 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = 0.85, dim: int = 64,
     r = directions(dim, m)
     nodes: list[tuple[int, float]] = []
     if leaves > 1:
-        fit = distinct.select("vec").orderBy(F.xxhash64("cls")).limit(sample).collect()
+        part = max(1, math.ceil(total / sample))
+        fit = distinct.select("vec").where(F.pmod(F.xxhash64("cls"), F.lit(part)) == 0).limit(2 * sample).collect()
         nodes = fit_tree(unit_rows([x[0] for x in fit], dim).astype(np.float32) @ r, leaves)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -269,24 +270,32 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = 0.85, dim: int = 64,
         boxes = {(0, 0): (np.zeros(m), np.zeros(m))}
     reach = (2 - 2 * least) * chi2_quantile(p, m)
     blocks = sorted(boxes)
-    meets = []
-    for x, one in enumerate(blocks):
-        for y in range(x, len(blocks)):
-            (lo1, hi1), (lo2, hi2) = boxes[one], boxes[blocks[y]]
-            gap = np.maximum(0, np.maximum(lo1 - hi2, lo2 - hi1))
-            if x == y or float(gap @ gap) <= reach:
-                meets.append((x, y))
-    spark = vectors.sparkSession
-    plan = [(*blocks[x], f"{x}:{y}", 0) for x, y in meets] + [(*blocks[y], f"{x}:{y}", 1) for x, y in meets if x != y]
-    jobs = spark.createDataFrame(plan, "leaf int, sub int, job string, side int")
+    number = {block: x for x, block in enumerate(blocks)}
+    low = np.array([boxes[x][0] for x in blocks]).reshape(-1, m)
+    high = np.array([boxes[x][1] for x in blocks]).reshape(-1, m)
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each vector with the pairs of blocks it may have a partner in: those whose other box is in reach of it."""
+        for pdf in batches:
+            points = np.stack(pdf["proj"].to_numpy()).astype(np.float64).reshape(-1, m) if len(pdf) else np.empty((0, m))
+            home = np.array([number[x] for x in zip(pdf["leaf"], pdf["sub"])], dtype=np.int64)
+            for x in range(len(blocks)):
+                gap = np.maximum(0, np.maximum(low[x] - points, points - high[x]))
+                near = (home == x) | ((gap * gap).sum(1) <= reach + 1e-3)
+                rows = pdf[near][["cls", "vec", "leads"]]
+                if len(rows):
+                    own = home[near]
+                    yield rows.assign(a=np.minimum(own, x), b=np.maximum(own, x), side=(own > x).astype(np.int32))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         cols = ["cls", "vec", "leads"]
+        if pdf["a"].iloc[0] != pdf["b"].iloc[0] and not (len(left) and len(right)):
+            return pd.DataFrame({"cls": [], "id": [], "cosine": []})
         return search_blocks(left[cols], right[cols] if len(right) else None, dim, m, lead, least, p, lead)
 
-    sent = placed.select("cls", "vec", "leads", "leaf", "sub").join(F.broadcast(jobs), ["leaf", "sub"]).drop("leaf", "sub")
-    partial = sent.groupBy("job").applyInPandas(search, NEIGHBOUR)
+    sent = placed.mapInPandas(send, "cls binary, vec binary, leads array<string>, a int, b int, side int")
+    partial = sent.groupBy("a", "b").applyInPandas(search, NEIGHBOUR)
     w = Window.partitionBy("cls").orderBy(F.desc("cosine"), "id")
     best = partial.distinct().withColumn("r", F.row_number().over(w)).where(F.col("r") <= lead).select("cls", F.col("id").alias("neighbour"), "cosine")
     own = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
