@@ -238,12 +238,13 @@ def train(docs: list[tuple[str, str]], bits: int = 17, clean_passages: int = 20_
 def labelled(documents: DataFrame, labels: DataFrame, most: int) -> list[tuple[str, str]]:
     """At most `most` (text, category) of documents whose raters agree by majority, in order of a hash of the id.
 
-    A tie, or no known category, leaves a document out.
+    A tie, or no known category, leaves a document out. The ids chosen, at most `most`, are broadcast,
+    so the texts are not shuffled.
     """
     votes = labels.where(F.col("category").isin(*CATEGORIES)).select("doc_id", "rater", "category").distinct().groupBy("doc_id", "category").agg(F.count("*").alias("n"))
     top = votes.groupBy("doc_id").agg(F.max(F.struct("n", "category"))["category"].alias("category"), F.max("n").alias("most"), F.sum("n").alias("all"))
     sure = top.where("2 * most > all").select("doc_id", "category").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = documents.where("text is not null").select("doc_id", "text").join(sure, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(sure), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     return [(r["text"], r["category"]) for r in rows.select("text", "category").collect()]
 
 
