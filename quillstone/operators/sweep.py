@@ -8,11 +8,9 @@ longest chain of conflicts, not the number of items.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as tx
@@ -46,18 +44,22 @@ def greedy(pairs: DataFrame, always: DataFrame | None = None) -> DataFrame:
 def waves(items: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, wave): first-fit groups of items without conflict; pairs (a, b) as in greedy().
 
-    The first wave of a first-fit pass is the greedy set of all items, the next that of the rest.
+    An item's wave is the least number that no earlier neighbour has. A round gives it to all items
+    whose earlier neighbours have theirs and passes it on to the later ones, each pair once.
     """
-    rest, out, k = checkpointed(items.select("id").distinct()), None, 0
-    pairs = checkpointed(pairs.select("a", "b").distinct())
+    done = None
+    rest = items.select("id").distinct().withColumn("taken", F.array().cast("array<int>"))
+    rest, pairs = checkpointed(rest), checkpointed(pairs.select("a", "b").distinct())
     while not rest.isEmpty():
-        k += 1
-        out_ids = greedy(pairs).where("not kept").select("id") if not pairs.isEmpty() else rest.limit(0)
-        now = rest.join(out_ids, "id", "left_anti").withColumn("wave", F.lit(k))
-        out = now if out is None else out.unionByName(now)
-        rest = checkpointed(rest.join(out_ids, "id", "left_semi"))
-        pairs = checkpointed(pairs.join(rest.withColumnRenamed("id", "a"), "a", "left_semi").join(rest.withColumnRenamed("id", "b"), "b", "left_semi"))
-    return out if out is not None else items.select("id").withColumn("wave", F.lit(0)).limit(0)
+        waiting = pairs.select(F.col("b").alias("id")).distinct()
+        free = F.array_min(F.array_except(F.sequence(F.lit(1), F.size("taken") + 1), "taken"))
+        now = checkpointed(rest.join(waiting, "id", "left_anti").select("id", free.alias("wave")))
+        done = now if done is None else done.unionByName(now)
+        told = pairs.join(now.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.collect_set("wave").alias("new"))
+        left = rest.join(now, "id", "left_anti").join(told, "id", "left")
+        rest = checkpointed(left.select("id", F.when(F.col("new").isNull(), F.col("taken")).otherwise(F.array_union("taken", "new")).alias("taken")))
+        pairs = checkpointed(pairs.join(now.select(F.col("id").alias("a")), "a", "left_anti"))
+    return done if done is not None else items.select("id").withColumn("wave", F.lit(0)).limit(0)
 
 
 def path_conflicts(items: DataFrame, order: str) -> DataFrame:
@@ -146,11 +148,3 @@ def near_duplicates(drawers: DataFrame, protected: DataFrame | None = None, thre
     length = d.select(F.col("id").alias("a"), F.col("n"))
     nearest = pairs.join(kept, "a", "left_semi").join(gone, "b", "left_semi").join(length, "a").groupBy("b").agg(F.min(F.struct("dist", -F.col("n"), "a")).alias("m"))
     return nearest.join(d.select(F.col("id").alias("b"), "wing", "room"), "b").select(F.col("b").alias("id"), F.col("m.a").alias("canonical_id"), "wing", "room", F.col("m.dist").alias("distance"))
-
-
-def overlapping(a: str, b: str) -> Column:
-    return F.arrays_overlap(a, b)
-
-
-def blocks_needed(rows: int) -> int:
-    return max(1, math.ceil(rows / BLOCK_ROWS))
