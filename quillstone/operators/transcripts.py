@@ -157,11 +157,16 @@ def tool_results(block_rows: DataFrame) -> DataFrame:
     return rows.withColumn("issuer", F.coalesce(F.last(F.when(use, F.col("name")), ignorenulls=True).over(w), F.lit(""))).where("type = 'tool_result'").drop("key")
 
 
-def last_failures(block_rows: DataFrame, self_reference: str = "edit-after-failure-guard") -> DataFrame:
-    """(file_name, failed, tests_edited): does the last shell result of a file report a failure, and was a test edited since."""
+def last_failures(block_rows: DataFrame, ignored: str | None = None) -> DataFrame:
+    """(file_name, failed, tests_edited): does the last shell result of a file report a failure, and was a test edited since.
+
+    ignored: results that hold this text decide nothing (a watcher's own messages).
+    """
     at = F.struct("line_no", "record_id", "i")
     bad = F.col("result").rlike(FAILURE) & ~F.col("result").contains(CONFLICT[0]) & ~F.col("result").contains(CONFLICT[1])
-    shell = tool_results(block_rows).where((F.col("issuer") == SHELL) & ~F.col("result").contains(self_reference))
+    shell = tool_results(block_rows).where(F.col("issuer") == SHELL)
+    if ignored is not None:
+        shell = shell.where(~F.col("result").contains(ignored))
     last = shell.groupBy("file_name").agg(F.max(F.struct(at.alias("at"), bad.alias("failed"))).alias("l"))
     edits = block_rows.where((F.col("type") == "tool_use") & F.col("name").isin(*EDITORS) & F.col("file_path").rlike(TEST_PATH)).groupBy("file_name").agg(F.max(at).alias("edit"))
     return last.join(edits, "file_name", "left").select("file_name", "l.failed", (F.col("l.failed") & F.coalesce(F.col("edit") > F.col("l.at"), F.lit(False))).alias("tests_edited"))

@@ -188,7 +188,7 @@ l as (select *, coalesce(lag(rk) over (partition by file_name order by line_no,
     "tool_result_pair": f"with {_TB} select record_id, i, tid tool_use_id, issuer from res",
     "result_text": f"with {_TB} select record_id, i, md5(result) result_md5 from res",
     "last_bash_latch": f"""with {_TB}, sh as (select *, regexp_matches(result, '{transcripts.FAILURE}') and not contains(result, '{transcripts.CONFLICT[0]}') and not contains(result, '{transcripts.CONFLICT[1]}') bad
-  from res where issuer = 'Bash' and not contains(result, 'edit-after-failure-guard')),
+  from res where issuer = 'Bash'),
 la as (select file_name, max((line_no, record_id, i)) p, arg_max(bad, (line_no, record_id, i)) failed from sh group by 1),
 ed as (select file_name, max((line_no, record_id, i)) ep from tb where ty = 'tool_use' and nm in ('Edit', 'Write', 'MultiEdit') and regexp_matches(fp, '{transcripts.TEST_PATH}') group by 1)
 select file_name, failed, failed and coalesce(ep > p, false) tests_edited from la left join ed using (file_name)""",

@@ -282,7 +282,7 @@ def repo_slug(spark: SparkSession, root: str) -> DataFrame:
     return d.select("wing", F.array_join(tx.repo_slugs(F.concat(F.lit("git@github.com:org/"), "wing", F.lit(".git"))), ",").alias("slug"))
 
 
-def bead_chip(spark: SparkSession, root: str) -> DataFrame:
+def id_chip(spark: SparkSession, root: str) -> DataFrame:
     ids = texts(spark, root, "documents").select(F.explode(tx.any_id_scan("text")).alias("id")).distinct()
     return ids.select("id", F.regexp_replace("id", "^[a-z0-9_]+-", "").alias("chip"))
 
@@ -505,7 +505,7 @@ QUERIES = {
         scan_jsonl, scan_corpus, scan_ground_truth, scan_protected, scan_git_log, scan_pr_list, scan_ready_issues, scan_frontmatter, validate_jsonl,
         get_drawer, row_insert, update_drawer, rechunk, migrate_kg, migrate_drawers, upsert_anti, delete_tunnel, diary_write, stamp_write, exists_probe,
         chunk_id, preview_200, snippet_300, fact_shape, label_regex_filter, preview_lookup, self_wing_hop, files_overlap, kg_both, wings_split,
-        page_total, active_cycles, prior_art, truncate_entry, json_escape, failure_regex, test_path, norm_path, is_path, pr_url, repo_slug, bead_chip,
+        page_total, active_cycles, prior_art, truncate_entry, json_escape, failure_regex, test_path, norm_path, is_path, pr_url, repo_slug, id_chip,
         command_match, normalize_dt, recency_key, token_sets, path_sets, state_get, content_text, tool_count, nested_explode, consec_assistant,
         tool_calls_running, ring5, next_turn_upgrade, header_lookback, longest_first, max_units, newest_source, since_synced, orphan_total,
         orphan_escalation, hit_counts, neighbour_stitch, bm25_df, idf, avgdl, bm25_score_sum, min_dist_per_doc, best_chunk, rrf_sum, dup_top50,
@@ -580,7 +580,7 @@ n as (select raw, regexp_replace(regexp_replace(trim(regexp_replace(raw, '[(\[].
 select raw from n where p <> '' and not regexp_matches(p, '[\t-\r ]') and not starts_with(p, '(') and (contains(p, '/') or regexp_matches(p, '^\..') or regexp_matches(p, '^.+\.[^.]+$'))""",
     "pr_url": """select doc_id, case when wing is null then null else 'https://github.com/org/' || wing || '/pull/' || doc_id end url from documents""",
     "repo_slug": "select distinct wing, 'org/' || wing slug from drawers where wing is not null",
-    "bead_chip": f"""select id, regexp_replace(id, '^[a-z0-9_]+-', '') chip from (select distinct unnest(regexp_extract_all("text", '{scalar_plans._IDS}', 1)) id from documents)""",
+    "id_chip": f"""select id, regexp_replace(id, '^[a-z0-9_]+-', '') chip from (select distinct unnest(regexp_extract_all("text", '{scalar_plans._IDS}', 1)) id from documents)""",
     "command_match": rf"""with {log_plans._TB} select record_id, i, case when regexp_matches(cmd, '(^|[;&|]\s*)git\s+(commit|push|merge)\b') then 'git' when regexp_matches(cmd, '\b(sed|grep|jq|wc|cat|diff)\b') then 'read' else 'other' end verb from tb where cmd <> ''""",
     "normalize_dt": "select distinct id, valid_from from kg_triples",
     "recency_key": "select id, min(coalesce(-epoch(filed_at), 'inf'::double)) key from drawers group by id",
