@@ -33,7 +33,7 @@ _SPACED = re.compile(r"\b\w[ .\-*](?:\w[ .\-*])+\w\b")
 _MIXED = re.compile(r"(?<![\w@$])[^\W\d]*+[0134579@$][\w@$]*")
 _STRETCHED = re.compile(r"([^\W\d])\1{2,}")
 _GAPS = re.compile(r"[ .\-*]")
-_PASSAGE = re.compile(r"[.!?。！？；]+[\"')*`]*(?:\s|$)|[。！？；]|\n")
+_PASSAGE = re.compile(r"(?<![.!?])[.!?。！？；]++[\"')*`]*+(?:\s|$)|[。！？；]|\n")
 #: Digits and signs that stand for letters.
 _LETTERS = str.maketrans("0134579@$", "oieastgas")
 MASK = "\x02"

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 _PARAGRAPH = re.compile(r"\r?\n[ \t]*(?:\r?\n[ \t]*)+")
 _LINE = re.compile(r"\r\n|\r|\n")
-_SENTENCE = re.compile(r"[.!?…]+[\"'”’)\]]*(?=\s)(?:\r\n|\s)?|[。！？；]+[”’」』）]*")
+_SENTENCE = re.compile(r"(?<![.!?…])[.!?…]++[\"'”’)\]]*+(?=\s)(?:\r\n|\s)?|[。！？；]+[”’」』）]*")
 _BLANK = re.compile(r"\s+")
 #: A word; characters of scripts written without blanks count one by one.
 _TERM = re.compile(r"[぀-ヿ㐀-鿿가-힯]|[^\W_]+")
@@ -53,16 +53,15 @@ def valleys(text: str, at: np.ndarray, block: int = 40) -> np.ndarray:
         if left and right:
             dot = sum(n * right[w] for w, n in left.items() if w in right)
             sims[k] = dot / ((sum(n * n for n in left.values()) * sum(n * n for n in right.values())) ** 0.5)
-    depth = np.zeros(len(at))
-    for k in range(len(at)):
-        peaks = []
-        for step, stop in ((-1, -1), (1, len(at))):
-            top, x = sims[k], k + step
-            while x != stop and sims[x] >= top:
-                top, x = sims[x], x + step
-            peaks.append(top)
-        depth[k] = peaks[0] + peaks[1] - 2 * sims[k]
-    return depth
+    # The peak beside a place: as far as similarity does not fall when walking away from it.
+    left, right = sims.copy(), sims.copy()
+    for k in range(1, len(at)):
+        if sims[k - 1] >= sims[k]:
+            left[k] = left[k - 1]
+    for k in range(len(at) - 2, -1, -1):
+        if sims[k + 1] >= sims[k]:
+            right[k] = right[k + 1]
+    return left + right - 2 * sims
 
 
 def _whole(text: str, p: int, least: int) -> int:

@@ -2,6 +2,7 @@
 
 import collections
 import random
+import time
 
 import numpy as np
 import pytest
@@ -142,6 +143,14 @@ def test_no_cut_inside_a_line_end_or_before_a_mark():
             assert text[e - 1 : e + 1] != "\r\n" and text[e : e + 1] != "́"
 
 
+@pytest.mark.parametrize("text", ["x\n" * 50_000, "." * 100_000 + "x", "one two. " * 20_000, "a" * 300_000, "a b " * 50_000, "a1" * 100_000, "\r\n" * 50_000, "a#" * 50_000])
+def test_very_long_texts_take_linear_time(text):
+    began = time.process_time()
+    pieces = splitting.split(text)
+    assert pieces[-1][1] == len(text) and isinstance(abuse.passages(text), list) and isinstance(words.words(text), list)
+    assert time.process_time() - began < 10
+
+
 def test_overlap_must_fit():
     with pytest.raises(ValueError):
         splitting.split("x" * 100, 50, 25)
