@@ -130,7 +130,7 @@ def is_path(x) -> Column:
 def extract_paths(x) -> Column:
     """Sorted distinct file paths with a known extension."""
     ends = "|".join(sorted(PATH_EXTENSIONS, key=len, reverse=True))
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(_c(x), F.lit(rf"[A-Za-z0-9_./-]+\.(?:{ends})\b"), F.lit(0))))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(_c(x), F.lit(rf"(?<![A-Za-z0-9_./-])[A-Za-z0-9_./-]+\.(?:{ends})\b"), F.lit(0))))
 
 
 def cluster_key(files) -> Column:
