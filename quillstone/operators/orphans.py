@@ -15,7 +15,8 @@ history into batches ends in the same state.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from functools import reduce
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -126,12 +127,20 @@ def advance(state: OrphanState, references: DataFrame, filings: DataFrame, delet
     return OrphanState(parents, checkpointed(untouched.unionByName(probed).distinct()))
 
 
-def replay(spark, batches: Iterable[tuple[DataFrame, DataFrame, DataFrame]]) -> OrphanState:
-    """Fold batches of (references, filings, deletions) into one state."""
+def states(spark, batches: Iterable[tuple[DataFrame, DataFrame, DataFrame]]) -> Iterator[OrphanState]:
+    """The state after each batch of (references, filings, deletions)."""
     state = empty_state(spark)
     for batch in batches:
         state = advance(state, *batch)
-    return state
+        yield state
+
+
+def replay(spark, batches: Iterable[tuple[DataFrame, DataFrame, DataFrame]]) -> OrphanState:
+    """Fold batches of (references, filings, deletions) into one state."""
+    last = empty_state(spark)
+    for last in states(spark, batches):
+        pass
+    return last
 
 
 def orphans(state: OrphanState) -> DataFrame:
@@ -167,13 +176,12 @@ def drawer_references(drawers: DataFrame, tags: DataFrame, tunnels: DataFrame) -
     )
 
 
-def replay_store(drawers: DataFrame, tags: DataFrame, tunnels: DataFrame, deletions: DataFrame, periods: int = 4) -> OrphanState:
-    """The store's history cut into `periods` equal spans of time, folded one after the other.
+def store_batches(drawers: DataFrame, tags: DataFrame, tunnels: DataFrame, deletions: DataFrame, periods: int = 4) -> Iterator[tuple[DataFrame, DataFrame, DataFrame]]:
+    """The store's history cut into `periods` equal spans of time, one batch each.
 
     Rows without a time come with the first span. The drawers table is what is there now, so a
     logged removal of an id that still has a row is outranked by that row and left out.
     """
-    spark = drawers.sparkSession
     references = drawer_references(drawers, tags, tunnels)
     filings = drawers.select(F.col("id").alias("drawer_id"), "filed_at")
     removed = deletions.select("drawer_id", "deleted_at").join(filings.select("drawer_id"), "drawer_id", "left_anti")
@@ -196,10 +204,17 @@ def replay_store(drawers: DataFrame, tags: DataFrame, tunnels: DataFrame, deleti
             keep = keep & F.col(time).isNotNull()
         return df.where(keep)
 
-    return replay(
-        spark,
-        (
-            (span(references, "ref_time", i), span(filings, "filed_at", i), span(removed, "deleted_at", i))
-            for i in range(len(edges) - 1)
-        ),
-    )
+    for i in range(len(edges) - 1):
+        yield span(references, "ref_time", i), span(filings, "filed_at", i), span(removed, "deleted_at", i)
+
+
+def replay_store(drawers: DataFrame, tags: DataFrame, tunnels: DataFrame, deletions: DataFrame, periods: int = 4) -> OrphanState:
+    """The state after the whole history of the store."""
+    return replay(drawers.sparkSession, store_batches(drawers, tags, tunnels, deletions, periods))
+
+
+def store_snapshots(drawers: DataFrame, tags: DataFrame, tunnels: DataFrame, deletions: DataFrame, periods: int = 4) -> DataFrame:
+    """(period, ref_field, status, n_refs): the open references after each span of time, as they stood then."""
+    after = states(drawers.sparkSession, store_batches(drawers, tags, tunnels, deletions, periods))
+    counts = [orphans(s).groupBy("ref_field", "status").agg(F.count("*").alias("n_refs")).select(F.lit(i).alias("period"), "ref_field", "status", "n_refs") for i, s in enumerate(after)]
+    return reduce(DataFrame.unionByName, counts)

@@ -9,8 +9,8 @@ from quillstone.operators import history, nested, orphans
 from quillstone.sources.tables import table, texts
 
 
-def _orphan_state(spark: SparkSession, root: str) -> orphans.OrphanState:
-    return orphans.replay_store(
+def _reference_tables(spark: SparkSession, root: str) -> tuple[DataFrame, ...]:
+    return (
         table(spark, root, "drawers").select("id", "parent_drawer_id", "filed_at"),
         table(spark, root, "drawer_tags"),
         table(spark, root, "tunnels"),
@@ -18,6 +18,10 @@ def _orphan_state(spark: SparkSession, root: str) -> orphans.OrphanState:
     )
 
 
+def _orphan_state(spark: SparkSession, root: str) -> orphans.OrphanState:
+    return orphans.replay_store(*_reference_tables(spark, root))
+
+
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return orphans.orphans(_orphan_state(spark, root)).select("ref_field", "row_key", "drawer_id").distinct()
 
@@ -26,6 +30,10 @@ def p1_counts(spark: SparkSession, root: str) -> DataFrame:
     return orphans.snapshot_counts(_orphan_state(spark, root))
 
 
+def p1_snapshots(spark: SparkSession, root: str) -> DataFrame:
+    return orphans.store_snapshots(*_reference_tables(spark, root))
+
+
 def _parsed(spark: SparkSession, root: str) -> DataFrame:
     return nested.parse_lines(texts(spark, root, "agent_records"))
 
@@ -108,7 +116,7 @@ _END = "case when end_s = epoch(timestamp '9999-01-01')::bigint then -1 else end
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_counts, p5_found, p5_blocks, p5_records, p5_tool_calls, p5_tool_results, p6_found, p6_history)
+    for f in (p1_found, p1_counts, p1_snapshots, p5_found, p5_blocks, p5_records, p5_tool_calls, p5_tool_results, p6_found, p6_history)
 }
 
 SQL = {
@@ -122,6 +130,14 @@ st as (
   from refs left join par on id = drawer_id left join gone on g = drawer_id
   where drawer_id is not null and drawer_id <> '' and (id is null or f > t))
 select ref_field, coalesce(strftime(t, '%Y-%m'), '') "month", status, count(*) n_refs, count(distinct drawer_id) n_ids from st group by 1, 2, 3""",
+    "p1_snapshots": f"""with {_REFS}, lh as (select epoch_us(min(filed_at)) lo, epoch_us(max(filed_at)) hi from drawers),
+cut as (select i - 1 period, case when i < 4 then make_timestamp(lo + (hi - lo) * i // 4) else timestamp '9999-01-01' end c from lh, (select unnest(range(1, 5)) i)),
+seen as (select period, id, min(filed_at) f from drawers, cut where filed_at is null or filed_at < c group by 1, 2),
+gone as (select period, drawer_id g from drawer_deletions, cut where drawer_id not in (select id from drawers) and (deleted_at is null or deleted_at < c) group by 1, 2),
+st as (select distinct cut.period, ref_field, row_key, drawer_id, t, case when id is null then case when g is null then 'absent' else 'removed' end when f > t then 'late' end status
+  from refs join cut on t is null or t < c left join seen on seen.period = cut.period and id = drawer_id left join gone on gone.period = cut.period and g = drawer_id
+  where drawer_id is not null and drawer_id <> '')
+select period::int period, ref_field, status, count(*) n_refs from st where status is not null group by 1, 2, 3""",
     "p5_found": f"{_BLOCKS} select record_id, block_path, block_type, block_id from blk",
     "p5_blocks": f"{_BLOCKS} select * from blk",
     "p5_records": f"""{_BLOCKS}
