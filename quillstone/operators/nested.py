@@ -41,7 +41,8 @@ def _kind(v: str) -> str:
 
 def _items(v: str, strings: bool) -> str:
     """The blocks of a content member as array<variant>."""
-    lone = f"when {_kind(v)} in ('OB'{', \"ST\"' if strings else ''}) then array({v})".replace('"', "'")
+    kinds = "'OB', 'ST'" if strings else "'OB'"
+    lone = f"when {_kind(v)} in ({kinds}) then array({v})"
     return f"(case when {v} is null then array() when {_kind(v)} = 'AR' then try_variant_get({v}, '$', 'array<variant>') {lone} else array() end)"
 
 
