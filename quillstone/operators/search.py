@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import vector as vx
 from quillstone.operators import bm25
+from quillstone.session import checkpointed
 
 RRF_K, OVERFETCH, STITCH_MAX, SNIPPET, DUPLICATE_POOL = 60, 10, 10_000, 300, 50
 #: Decimals of a distance or score beyond which two are a tie, decided by id.
@@ -119,7 +120,8 @@ def hybrid_search(drawers: DataFrame, index: bm25.Index, query: str, vector: lis
     lanes = [vector_lane(drawers, vector, limit, **scope), keyword_lane(drawers, index, query, **scope)]
     filed = drawers.where(F.col("parent_drawer_id").isNull()).groupBy(F.col("id").alias("cid")).agg(F.max("filed_at").alias("filed_at"))
     best = fuse(lanes, limit, filed)
-    best = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.desc_nulls_last("filed_at"), "cid")))
+    # A handful of rows, kept once: both lanes would else run again for every use below.
+    best = checkpointed(best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.desc_nulls_last("filed_at"), "cid"))))
     return hydrate(best, drawers, vector).join(best.select(F.col("cid").alias("id"), "score", "rank"), "id")
 
 
