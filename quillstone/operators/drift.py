@@ -42,22 +42,25 @@ def claimed_counts(claims: DataFrame, actual: DataFrame) -> DataFrame:
     return claims.join(actual, "what", "left").select("what", "claimed", n.alias("n"), (F.col("claimed") == n).alias("holds"))
 
 
-def related(open_: DataFrame, closed: DataFrame, keys: Column, words: Column, rare: int = 20) -> DataFrame:
+def related(open_: DataFrame, closed: DataFrame, keys: Column, words: Column, rare: int | None = None) -> DataFrame:
     """(open_id, closed_id, strength): strong if two items share a key, else weak if they share a word.
 
-    open_, closed: (id, text). Words that more than `rare` closed items hold relate nothing: that is
-    their definition, not a cap on work.
+    open_, closed: (id, text). All pairs come out, however many items hold the word; a caller that
+    wants fewer leaves out words of more than `rare` closed items.
     """
-    def pairs(of: Column, strength: str, limit: int | None) -> DataFrame:
-        a = open_.select(F.col("id").alias("open_id"), F.explode(of).alias("k")).distinct()
-        b = closed.select(F.col("id").alias("closed_id"), F.explode(of).alias("k")).distinct()
-        if limit is not None:
-            b = b.join(b.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") <= limit).select("k"), "k", "left_semi")
-        return a.join(b, "k").where("open_id <> closed_id").select("open_id", "closed_id").distinct().withColumn("strength", F.lit(strength))
-
-    strong = pairs(keys, "strong", None)
-    weak = pairs(words, "weak", rare).join(strong.select("open_id", "closed_id"), ["open_id", "closed_id"], "left_anti")
-    return strong.unionByName(weak)
+    none = F.array().cast("array<string>")
+
+    def held(df: DataFrame, name: str) -> DataFrame:
+        x = F.concat(F.transform(F.coalesce(keys, none), lambda k: F.struct(F.lit(True).alias("strong"), k.alias("k"))), F.transform(F.coalesce(words, none), lambda k: F.struct(F.lit(False).alias("strong"), k.alias("k"))))
+        return df.select(F.col("id").alias(name), F.explode(x).alias("x")).select(name, "x.strong", "x.k")
+
+    a, b = held(open_, "open_id").distinct(), held(closed, "closed_id")
+    if rare is not None:
+        common = b.where("not strong").groupBy("strong", "k").agg(F.countDistinct("closed_id").alias("c")).where(F.col("c") > rare)
+        b = b.join(common, ["strong", "k"], "left_anti")
+    # A pair meets once for each key or word it shares; strong and weak are settled in the one aggregate that makes it distinct.
+    met = a.join(b, ["strong", "k"]).where("open_id <> closed_id").groupBy("open_id", "closed_id").agg(F.bool_or("strong").alias("strong"))
+    return met.select("open_id", "closed_id", F.when(F.col("strong"), "strong").otherwise("weak").alias("strength"))
 
 
 def merged_but_open(subjects: DataFrame, issues: DataFrame, ids: Column) -> DataFrame:

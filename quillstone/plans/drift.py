@@ -44,11 +44,11 @@ def item_decision(spark: SparkSession, root: str) -> DataFrame:
 
 
 def upstream_pairs(spark: SparkSession, root: str) -> DataFrame:
-    """Evaluation texts and documents that name the same issue id or file, else a word few documents hold."""
+    """Evaluation texts and documents that name the same issue id or file, else share a word of six letters or more."""
     items = table(spark, root, "eval_items").select(F.col("item_id").alias("id"), "text")
     docs = texts(spark, root, "documents").select(F.col("doc_id").alias("id"), "text")
     keys = F.array_union(tx.any_id_scan("text"), tx.extract_paths("text"))
-    return drift.related(items, docs, keys, F.filter(tx.word_set("text"), lambda w: F.length(w) >= 6), rare=5)
+    return drift.related(items, docs, keys, F.filter(tx.word_set("text"), lambda w: F.length(w) >= 6))
 
 
 def merged_not_closed(spark: SparkSession, root: str) -> DataFrame:

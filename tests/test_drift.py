@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import shell
 from quillstone.functions import text as tx
 from quillstone.operators import drift
+from quillstone.plans import drift as plans
 
 
 def column(spark, build, values):
@@ -69,6 +70,20 @@ def test_related(spark, rare, want):
     assert {tuple(r) for r in got.collect()} == want
 
 
+def test_related_keeps_pairs_through_common_words(spark):
+    schema = "id string, text string"
+    open_ = spark.createDataFrame([("o", "ab-1x2 parser breaks"), ("n", None)], schema)
+    closed = spark.createDataFrame([(f"c{i}", "the parser again, ab-1x2" if i == 0 else "the parser again") for i in range(40)] + [("x", None), ("y", "nothing")], schema)
+    got = [tuple(r) for r in drift.related(open_, closed, tx.id_scan("text", "ab"), tx.word_set("text", 5)).collect()]
+    assert sorted(got) == sorted([("o", "c0", "strong")] + [("o", f"c{i}", "weak") for i in range(1, 40)])
+
+
+def test_upstream_pairs_surface_every_document(spark, tmp_path):
+    spark.createDataFrame([(1000 + i, "the parser reloads") for i in range(30)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "what broke the parser?")], "item_id bigint, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    assert {tuple(r) for r in plans.upstream_pairs(spark, str(tmp_path)).collect()} == {(1, 1000 + i, "weak") for i in range(30)}
+
+
 def test_first_present_and_counts(spark):
     value, name = drift.first_present(flag=F.col("a"), file=F.col("b"))
     df = spark.createDataFrame([("", "x"), ("y", None), (None, None)], "a string, b string")
