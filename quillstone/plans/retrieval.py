@@ -110,19 +110,19 @@ def near_dup_sweep(spark: SparkSession, root: str) -> DataFrame:
     return out.withColumn("distance", F.round("distance", 6))
 
 
-def _pathed(spark: SparkSession, root: str) -> DataFrame:
-    return texts(spark, root, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("o"), tx.extract_paths("text").alias("paths")).where("size(paths) > 0")
+def _with_paths(spark: SparkSession, root: str) -> DataFrame:
+    return texts(spark, root, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("o"), tx.extract_paths("text").alias("paths"))
 
 
 def wave_schedule(spark: SparkSession, root: str) -> DataFrame:
-    """First-fit groups of documents that name no common path, in order of id."""
-    items = _pathed(spark, root)
+    """First-fit groups of the documents that name a path, none in common, in order of id."""
+    items = _with_paths(spark, root).where("size(paths) > 0")
     return sweep.waves(items, sweep.path_conflicts(items, "o"))
 
 
 def seam_scan(spark: SparkSession, root: str) -> DataFrame:
-    """Documents that share no path with an earlier chosen one, greedily in order of id."""
-    items = _pathed(spark, root)
+    """Documents that share no path with an earlier chosen one, greedily in order of id; those without a path always."""
+    items = _with_paths(spark, root)
     state = sweep.greedy(sweep.path_conflicts(items, "o"))
     return items.join(state.where("not kept"), "id", "left_anti").select("id")
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone.operators import bm25, evaluate, mining, nested, search, sweep, transcripts
+from quillstone.plans import retrieval as retrieval_plans
 
 
 def session_lines(spark, sessions):
@@ -246,6 +247,13 @@ def test_sweep_equals_greedy_loop(spark, monkeypatch):
     assert got == want and len(want) > 10
 
 
+def test_seam_scan_admits_documents_without_paths(spark, tmp_path):
+    rows = [(1, "see src/a.py"), (2, "no file here"), (3, "src/a.py and src/b.py"), (4, None), (5, "src/b.py"), (6, "")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.id for r in retrieval_plans.seam_scan(spark, str(tmp_path)).collect()) == [1, 2, 4, 5, 6]
+    assert sorted(tuple(r) for r in retrieval_plans.wave_schedule(spark, str(tmp_path)).collect()) == [(1, 1), (3, 2), (5, 1)]
+
+
 def test_waves_equal_first_fit(spark):
     rng = random.Random(4)
     items = [(i, i, [f"p{rng.randrange(12)}" for _ in range(rng.randrange(1, 4))]) for i in range(40)]
