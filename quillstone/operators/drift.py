@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions import text as tx
+
 
 def drift_states(source: DataFrame, copies: DataFrame, key: str = "path", digest: str = "sha256") -> DataFrame:
     """(key, state): OK, DRIFT absent, DRIFT differs or FAIL source missing."""
@@ -31,11 +33,39 @@ def decided(items: DataFrame, decisions: DataFrame, default: str = "skip", stop:
     return own.withColumn("decision", F.when(stopped, default).otherwise(F.col("decision"))).select("list", "at", "item", "decision")
 
 
-def unresolved(citations: DataFrame, known: DataFrame, column: str) -> DataFrame:
+def unresolved(citations: DataFrame, known: DataFrame, column: str | list[str]) -> DataFrame:
     """Citations whose target is not known."""
     return citations.join(known.select(column).distinct(), column, "left_anti")
 
 
+_TOKEN_WITH_FOLDER = r"(?<![A-Za-z0-9_./-])[A-Za-z0-9_.-]+/[A-Za-z0-9_./-]+"
+_DRAWER = "drawer_[a-z0-9_-]+_[0-9a-f]{24}"
+_COMMIT = r"(?i)\b(?:commits?|sha1?|git|rev|revision)\b\W{0,3}([0-9a-f]{7,40})\b"
+_SLUG = r"(?i)(?:\bdrawers?|\bmempalace|\bwing/|\bdecisions)[\s:,(]{0,3}`([^`\n]+)`"
+_SLASH = r"(?<![\w/.:~-])/([a-z0-9][a-z0-9-]*)(?![\w/-]|\.\w)"
+
+
+def cited_files(text: Column) -> Column:
+    """Relative paths of at least one folder that end in any extension, as whole tokens, out of emphasis and without closing dots."""
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, r"\.+$", ""), r"^_(.+)_$", "$1")
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(_TOKEN_WITH_FOLDER), F.lit(0)), bare), lambda x: x.rlike(r"[A-Za-z0-9_-]\.[A-Za-z][A-Za-z0-9]*$"))
+
+
+def citations(documents: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, kind, id), each once: drawers by id, issues, commits, paths, drawers by slug (normalised) and slash commands a text names."""
+    t = F.col(text)
+    found = {
+        "drawer": F.regexp_extract_all(t, F.lit(_DRAWER), F.lit(0)),
+        "issue": tx.any_id_scan(t),
+        "commit": F.regexp_extract_all(t, F.lit(_COMMIT), F.lit(1)),
+        "path": cited_files(t),
+        "slug": F.transform(F.regexp_extract_all(t, F.lit(_SLUG), F.lit(1)), tx.normalized),
+        "command": F.regexp_extract_all(t, F.lit(_SLASH), F.lit(1)),
+    }
+    each = [F.transform(ids, (lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("id")))(kind)) for kind, ids in found.items()]
+    return documents.select(key, F.explode(F.array_distinct(F.concat(*each))).alias("c")).select(key, "c.kind", "c.id")
+
+
 def claimed_counts(claims: DataFrame, actual: DataFrame) -> DataFrame:
     """(what, claimed, n, holds) of numeric claims (what, claimed) against counts (what, n); a missing count is 0."""
     n = F.coalesce("n", F.lit(0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +19,20 @@ def path_classes(spark: SparkSession, root: str) -> DataFrame:
 
 
 def doc_citations(spark: SparkSession, root: str) -> DataFrame:
-    """Drawers that texts cite by a whole id and that are not stored."""
-    cited = texts(spark, root, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("drawer_[a-z0-9_-]+_[0-9a-f]{24}"), F.lit(0)))).alias("id"))
-    return drift.unresolved(cited, table(spark, root, "drawers"), "id")
+    """Drawers (by id, or by slug), issues and files that texts cite and that the store does not know.
+
+    Commits and slash commands are not judged: no table lists any they could resolve to.
+    """
+    d = table(spark, root, "drawers")
+    known = {
+        "drawer": d.select("id"),
+        "issue": d.select(tx.leading_id("title").alias("id")),
+        "path": d.select(F.col("source_file").alias("id")),
+        "slug": d.select(F.explode(F.array("id", "title", "room", F.concat_ws("/", "wing", "room"))).alias("id")).select(tx.normalized("id").alias("id")),
+    }
+    targets = [ids.where("id is not null").distinct().select(F.lit(kind).alias("kind"), "id") for kind, ids in known.items()]
+    cited = drift.citations(texts(spark, root, "documents"), "doc_id").where(F.col("kind").isin(*known))
+    return drift.unresolved(cited, reduce(DataFrame.unionByName, targets), ["kind", "id"]).select("doc_id", "kind", "id")
 
 
 def doc_cardinality(spark: SparkSession, root: str) -> DataFrame:

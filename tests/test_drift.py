@@ -84,6 +84,25 @@ def test_upstream_pairs_surface_every_document(spark, tmp_path):
     assert {tuple(r) for r in plans.upstream_pairs(spark, str(tmp_path)).collect()} == {(1, 1000 + i, "weak") for i in range(30)}
 
 
+def test_citations_of_every_kind(spark):
+    text = "Fixed in commit 1a2b3c4 (ab-1f2): see src/a/b.sql, _docs/c.md_ and jobs/d.sh.bak. Not /tmp/x.py, 1/2 or deadbee. Run /audit-project. Drawer `Old Title!`, drawer_w_r_" + "0" * 24
+    df = spark.createDataFrame([(1, text), (2, None), (3, "nothing")], "doc_id bigint, text string")
+    want = {("drawer", "drawer_w_r_" + "0" * 24), ("issue", "ab-1f2"), ("commit", "1a2b3c4"), ("slug", "old title"), ("command", "audit-project")}
+    want |= {("path", p) for p in ("src/a/b.sql", "docs/c.md", "jobs/d.sh.bak")}
+    got = drift.citations(df, "doc_id").collect()
+    assert {(r.kind, r.id) for r in got} == want and {r.doc_id for r in got} == {1} and len(got) == len(want)
+
+
+def test_doc_citations_reports_what_does_not_resolve(spark, tmp_path):
+    gone = "drawer_w_r_" + "0" * 24
+    docs = [(1, f"src/a.py, src/gone.sql. ab-1f2 ab-999 drawer `Kept title` drawer `lost title` {gone}"), (2, "src/a.py")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    drawers = [("d1", "w", "r", "ab-1f2 first", "src/a.py"), ("d2", "w", "r", "Kept title", None)]
+    spark.createDataFrame(drawers, "id string, wing string, room string, title string, source_file string").write.parquet(f"{tmp_path}/drawers.parquet")
+    got = {tuple(r) for r in plans.doc_citations(spark, str(tmp_path)).collect()}
+    assert got == {(1, "path", "src/gone.sql"), (1, "issue", "ab-999"), (1, "slug", "lost title"), (1, "drawer", gone)}
+
+
 def test_first_present_and_counts(spark):
     value, name = drift.first_present(flag=F.col("a"), file=F.col("b"))
     df = spark.createDataFrame([("", "x"), ("y", None), (None, None)], "a string, b string")
