@@ -70,6 +70,21 @@ def path_conflicts(items: DataFrame, order: str) -> DataFrame:
     return a.join(b, (F.col("a.p") == F.col("b.p")) & first).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
+def dep_edges(items: DataFrame, order: str) -> DataFrame:
+    """(a, b): items (id, order, deps) of which either depends on the other, the earlier one first as in path_conflicts()."""
+    one = items.select("id", F.col(order).alias("o"))
+    edges = items.select("id", F.col(order).alias("o"), F.explode(F.array_distinct("deps")).alias("d")).distinct().alias("x")
+    met = edges.join(one.alias("y"), (F.col("x.d") == F.col("y.id")) & (F.col("x.id") != F.col("y.id")))
+    first = (F.col("x.o") < F.col("y.o")) | ((F.col("x.o") == F.col("y.o")) & (F.col("x.id") < F.col("y.id")))
+    return met.select(F.when(first, F.col("x.id")).otherwise(F.col("y.id")).alias("a"), F.when(first, F.col("y.id")).otherwise(F.col("x.id")).alias("b")).distinct()
+
+
+def incompatible(items: DataFrame, order: str) -> DataFrame:
+    """(a, b): items (id, order, paths[, deps]) that share a path or of which one depends on the other."""
+    pairs = path_conflicts(items, order)
+    return pairs.union(dep_edges(items, order)).distinct() if "deps" in items.columns else pairs
+
+
 def _close_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     """(a, b, dist): pairs that meet in a block and are within the cosine distance.
 

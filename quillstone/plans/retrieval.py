@@ -117,7 +117,7 @@ def _with_paths(spark: SparkSession, root: str) -> DataFrame:
 def wave_schedule(spark: SparkSession, root: str) -> DataFrame:
     """First-fit groups of the documents that name a path, none in common, in order of id."""
     items = _with_paths(spark, root).where("size(paths) > 0")
-    return sweep.waves(items, sweep.path_conflicts(items, "o"))
+    return sweep.waves(items, sweep.incompatible(items, "o"))
 
 
 def seam_scan(spark: SparkSession, root: str) -> DataFrame:

@@ -247,6 +247,15 @@ def test_sweep_equals_greedy_loop(spark, monkeypatch):
     assert got == want and len(want) > 10
 
 
+def test_dependent_items_are_in_other_waves(spark):
+    rows = [(0, "a", ["x"], []), (1, "b", ["y"], ["a", "gone"]), (2, "c", ["z"], []), (3, "d", ["w"], ["d"]), (4, "e", ["x"], []), (0, "f", ["v"], ["e", None])]
+    items = spark.createDataFrame(rows, "o int, id string, paths array<string>, deps array<string>")
+    assert {tuple(r) for r in sweep.dep_edges(items, "o").collect()} == {("a", "b"), ("f", "e")}
+    got = {r.id: r.wave for r in sweep.waves(items, sweep.incompatible(items, "o")).collect()}
+    assert got == {"a": 1, "b": 2, "c": 1, "d": 1, "e": 2, "f": 1}
+    assert {tuple(r) for r in sweep.incompatible(items.drop("deps"), "o").collect()} == {("a", "e")}
+
+
 def test_seam_scan_admits_documents_without_paths(spark, tmp_path):
     rows = [(1, "see src/a.py"), (2, "no file here"), (3, "src/a.py and src/b.py"), (4, None), (5, "src/b.py"), (6, "")]
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
