@@ -64,8 +64,9 @@ def fold(text: str) -> str:
 
 
 def passages(text: str | None) -> list[str]:
-    """The folded passages of a text that have at least three characters."""
-    return [part for part in _PASSAGE.split(fold(text)) if len(part) > 2] if text else []
+    """The folded passages of a text; of one or two characters only those with a letter or a masked word."""
+    wordy = lambda part: any(c.isalpha() or c == MASK or c > "\uffff" for c in part)
+    return [part for part in _PASSAGE.split(fold(text)) if len(part) > 2 or wordy(part)] if text else []
 
 
 @functools.cache
@@ -196,7 +197,8 @@ def train(docs: list[tuple[str, str]], bits: int = 17, clean_passages: int = 20_
     clean_passages bounds the passages of clean documents in one fit.
     """
     rng = np.random.default_rng(seed)
-    parts = [passages(t) for t, _ in docs]
+    # Passages of one or two characters are scored but not learned from.
+    parts = [[x for x in passages(t) if len(x) > 2] for t, _ in docs]
     cat = np.array([CATEGORIES.index(c) for _, c in docs], dtype=int)
     if not (cat > 0).any() or not (cat == 0).any():
         return None

@@ -256,6 +256,14 @@ def test_folding(text, want):
     assert abuse.fold(text) == want
 
 
+def test_short_passages_are_scored():
+    assert abuse.passages("我们检查了锁。傻逼。好的，继续。") == ["我们检查了锁", "傻逼", "好的,继续"]
+    assert abuse.passages("1. Fine!\n-\n\n22. x. ok") == ["fine", "x", "ok"] and abuse.passages("") == [] == abuse.passages("-\n1\n*")
+    model = abuse.train([("我们检查了锁。 傻逼 傻逼", "insult"), ("我们检查了锁。 你好 你好", "none")] * 60)
+    p = 1 - model.probabilities(["傻逼", "你好"])[:, 0]
+    assert p[0] > p[1]
+
+
 def labelled_documents(n, seed):
     rng = random.Random(seed)
     clean = ["the parser reads a block", "we saw the queue fail", "kill the idle process", "see the notes on locks", "the cache grew again"]
