@@ -1,13 +1,20 @@
 """The k most similar vectors of every vector.
 
-Vectors are projected on a few random Gaussian (2-stable) directions. For a pair at squared
-distance d2, the squared projected distance is d2 times a chi-square variable of as many degrees
-of freedom as there are directions; so once the projected distance exceeds d2 * quantile(p), a
-pair at most d2 apart has been missed with probability 1 - p at the most. A kd-tree over the
-projections, fitted on a bounded sample, cuts the collection into leaves. Pairs of leaves whose
-boxes are farther apart than that bound are never met; the others are searched block by block,
-nearest rows first, and the test with each vector's own k-th distance so far stops its search.
-Every vector is indexed and is a query; what passes the test is verified in double precision.
+Vectors are projected on a few random Gaussian (2-stable) directions and a kd-tree over the
+projections, fitted on a bounded sample, cuts the collection into leaves. The search is incremental:
+a round has its own directions and its own tree, each vector meets the vectors of its leaf there, and
+its k best so far go with it into the next round. Two stopping tests use the k-th distance found so
+far, d2, and that two vectors at squared distance d2 are d2 times a chi-square variable apart:
+
+* inside a leaf only pairs whose projected squared distance is at most d2 * quantile(p), of as many
+  degrees of freedom as there are directions, are verified in double precision;
+* a vector at a distance g from a cut has its neighbour beyond the cut with half the probability that
+  a chi-square variable of one degree exceeds g*g / d2. All cuts of a leaf together, and all rounds
+  together, give the probability that a nearer vector has been missed so far; once that is at most
+  1 - p, the vector searches no more (others still meet it).
+
+No leaf ever meets another one, so a round is linear in the vectors, and the number of rounds grows
+with a small power of their number. Every vector is indexed and is a query.
 """
 
 from __future__ import annotations
@@ -23,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quillstone.session import staged
 
-NEIGHBOUR = "cls binary, id string, cosine double"
+STATE = "cls bigint, vec binary, near array<bigint>, cosine array<double>, missed double"
 
 
 def chi2_quantile(p: float, k: int) -> float:
@@ -70,15 +77,19 @@ def fit_tree(points: np.ndarray, leaves: int) -> list[tuple[int, float]]:
     return nodes
 
 
-def leaf_of(points: np.ndarray, nodes: list[tuple[int, float]]) -> np.ndarray:
+def leaf_of(points: np.ndarray, nodes: list[tuple[int, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """(leaf of each point, its distances to the cuts on the way there)."""
     at = np.zeros(len(points), dtype=np.int64)
+    depth = (len(nodes) + 1).bit_length() - 1
+    gaps = np.empty((len(points), depth), dtype=np.float32)
     if nodes:
         dims = np.array([d for d, _ in nodes])
         cuts = np.array([c for _, c in nodes])
-        for _ in range((len(nodes) + 1).bit_length() - 1):
-            right = points[np.arange(len(points)), dims[at]] > cuts[at]
-            at = 2 * at + 1 + right
-    return at - len(nodes)
+        for level in range(depth):
+            off = points[np.arange(len(points)), dims[at]] - cuts[at]
+            gaps[:, level] = np.abs(off)
+            at = 2 * at + 1 + (off > 0)
+    return at - len(nodes), gaps
 
 
 def usable(vectors: DataFrame, dim: int) -> DataFrame:
@@ -88,16 +99,16 @@ def usable(vectors: DataFrame, dim: int) -> DataFrame:
     return vectors.where(F.col("id").isNotNull() & e.isNotNull() & (F.size(e) == dim) & ~bad & F.exists(e, lambda x: x != 0)).select("id", "embedding")
 
 
-def classes(rows: DataFrame, dim: int, lead: int) -> tuple[DataFrame, DataFrame]:
-    """(members, vectors): (cls, id) of every row, and (cls, vec, leads) per distinct vector and task.
+def classes(rows: DataFrame, dim: int, lead: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, leads, vectors): (cls, id) of every row, (cls, id) of the least ids of each class, (cls, vec).
 
-    Equal vectors are one class. Each task keeps a vector once with its `lead` least ids, so a
-    vector shared by a third of all rows is sent on once per task.
+    Equal vectors are one class, known by a 64-bit hash. Each task keeps a vector once with its
+    `lead` least ids, so a vector shared by a third of all rows is sent on once per task.
     """
 
     def both(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[bytes, list[str]] = {}
-        vecs: dict[bytes, bytes] = {}
+        best: dict[int, list[str]] = {}
+        vecs: dict[int, bytes] = {}
 
         def flush() -> pd.DataFrame:
             return pd.DataFrame({"cls": list(best), "id": None, "vec": [vecs[c] for c in best], "leads": list(best.values())})
@@ -107,7 +118,7 @@ def classes(rows: DataFrame, dim: int, lead: int) -> tuple[DataFrame, DataFrame]
             keys = []
             for i, v in zip(pdf["id"], x):
                 raw = v.tobytes()
-                c = xxhash.xxh128_digest(raw)
+                c = xxhash.xxh3_64_intdigest(raw) - (1 << 63)
                 keys.append(c)
                 held = best.get(c)
                 if held is None:
@@ -121,183 +132,145 @@ def classes(rows: DataFrame, dim: int, lead: int) -> tuple[DataFrame, DataFrame]
         if best:
             yield flush()
 
-    out = staged(rows.mapInPandas(both, "cls binary, id string, vec binary, leads array<string>"), "vector-classes")
-    return out.where("id is not null").select("cls", "id").distinct(), out.where("vec is not null").select("cls", "vec", "leads")
-
-
-def _merge(pdf: pd.DataFrame, lead: int) -> pd.DataFrame:
-    """One row per class of a block."""
-    if pdf["cls"].duplicated().any():
-        seen: dict[bytes, list] = {}
-        for c, v, ids in zip(pdf["cls"], pdf["vec"], pdf["leads"]):
-            held = seen.setdefault(c, [v, set()])
-            held[1] = set(sorted({*held[1], *ids})[:lead])
-        pdf = pd.DataFrame({"cls": list(seen), "vec": [v for v, _ in seen.values()], "leads": [sorted(ids) for _, ids in seen.values()]})
-    return pdf
-
-
-def search_blocks(a: pd.DataFrame, b: pd.DataFrame | None, dim: int, m: int, keep: int, least: float, p: float, lead: int) -> pd.DataFrame:
-    """Best `keep` (id, cosine) of each class of block a within block b and the reverse (b None: within a)."""
-    quantile, r = chi2_quantile(p, m), directions(dim, m)
+    out = staged(rows.mapInPandas(both, "cls bigint, id string, vec binary, leads array<string>"), "vector-classes")
+    heads = out.where("vec is not null")
+    return out.where("id is not null").select("cls", "id").distinct(), heads.select("cls", F.explode("leads").alias("id")), heads.select("cls", "vec")
+
+
+def fold(top: np.ndarray, keys: np.ndarray, rows: np.ndarray, found: np.ndarray, cos: np.ndarray) -> None:
+    """Merge (row, key found, cosine) into the best of each row: descending cosines in top, their keys in keys."""
+    keep = top.shape[1]
+    order = np.lexsort((found, -cos, rows))
+    rows, found, cos = rows[order], found[order], cos[order]
+    hit, start, n = np.unique(rows, return_index=True, return_counts=True)
+    place = np.arange(len(rows)) - np.repeat(start, n)
+    few = place < keep
+    at = np.repeat(np.arange(len(hit)), n)[few]
+    c, k = np.full((len(hit), 2 * keep), -np.inf), np.zeros((len(hit), 2 * keep), dtype=np.int64)
+    c[:, :keep], k[:, :keep] = top[hit], keys[hit]
+    c[at, keep + place[few]], k[at, keep + place[few]] = cos[few], found[few]
+    for again in (True, False):
+        order = np.lexsort((k, -c), axis=1)
+        c, k = np.take_along_axis(c, order, 1), np.take_along_axis(k, order, 1)
+        if again:
+            # A pair that met in an earlier round has the same cosine, so it stands beside itself.
+            c[:, 1:][(k[:, 1:] == k[:, :-1]) & (c[:, 1:] == c[:, :-1])] = -np.inf
+    top[hit], keys[hit] = c[:, :keep], k[:, :keep]
+
+
+def search_leaf(x: np.ndarray, cls: np.ndarray, top: np.ndarray, keys: np.ndarray, open_: np.ndarray, r: np.ndarray, k: int, least: float, quantile: float) -> None:
+    """Verify the pairs of a leaf with an open row that pass the test; top and keys of both rows take what is better.
+
+    x: unit rows. A row's radius is its k-th distance so far, at most that of `least`.
+    """
+    order = np.argsort(~open_, kind="stable")
+    asking = int(open_.sum())
+    x, cls = x[order], cls[order]
+    t, ks = top[order], keys[order]
+    p = x.astype(np.float32) @ r
+    size = (p * p).sum(1)
     cut2 = 2 - 2 * (least - 1e-6)
-    a = _merge(a, lead)
-    xa = unit_rows(a["vec"].tolist(), dim)
-    if b is None:
-        b, xb = a, xa
-    else:
-        b = _merge(b, lead)
-        xb = unit_rows(b["vec"].tolist(), dim)
-    pa, pb = xa.astype(np.float32) @ r, xb.astype(np.float32) @ r
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    same = b is a
-    step_a, step_b = 2048, 8192
-    n_a, n_b = (pa * pa).sum(1), (pb * pb).sum(1)
-    # Least `keep` squared distances so far of each row, and the search radius that follows.
-    top_a = np.full((len(xa), keep), np.inf)
-    top_b = top_a if same else np.full((len(xb), keep), np.inf)
-    bound = lambda top: np.minimum(top[:, -1] + 1e-9, cut2)
-
-    def tighten(top: np.ndarray, rows: np.ndarray, d2: np.ndarray) -> None:
-        order = np.lexsort((d2, rows))
-        rows, d2 = rows[order], d2[order]
-        hit, start, n = np.unique(rows, return_index=True, return_counts=True)
-        place = np.arange(len(rows)) - np.repeat(start, n)
-        few = place < keep
-        fresh = np.full((len(hit), keep), np.inf)
-        fresh[np.repeat(np.arange(len(hit)), n)[few], place[few]] = d2[few]
-        top[hit] = np.sort(np.concatenate([top[hit], fresh], axis=1), axis=1)[:, :keep]
-
-    near = np.arange(len(xb)) if same else np.argsort(np.linalg.norm(pb - pa.mean(0), axis=1), kind="stable")
-    for j0 in range(0, len(xb), step_b):
-        jj = near[j0 : j0 + step_b]
-        b_side = np.concatenate([pb[jj], -n_b[jj, None] / 2], 1).T
-        for i0 in range(0, len(xa), step_a):
-            i1 = min(i0 + step_a, len(xa))
-            if same and i0 > jj[-1]:
-                break
-            reach_a, reach_b = bound(top_a)[i0:i1] if same else bound(top_a[i0:i1]), bound(top_b[jj])
-            g = np.concatenate([pa[i0:i1], np.ones((i1 - i0, 1), np.float32)], 1) @ b_side
-            loose = (n_a[i0:i1] - np.maximum(reach_a, reach_b.max()) * quantile) / 2 - 1e-4
+    side = np.concatenate([p, -size[:, None] / 2], 1).T.copy()
+    step_i, step_j = 1024, 8192
+    for i0 in range(0, asking, step_i):
+        i1 = min(i0 + step_i, asking)
+        mine = np.concatenate([p[i0:i1], np.ones((i1 - i0, 1), np.float32)], 1)
+        for j0 in range(i0, len(x), step_j):
+            j1 = min(j0 + step_j, len(x))
+            ri = np.minimum(2 - 2 * t[i0:i1, k - 1] + 1e-9, cut2)
+            rj = np.minimum(2 - 2 * t[j0:j1, k - 1] + 1e-9, cut2)
+            g = mine @ side[:, j0:j1]
+            loose = (size[i0:i1] - np.maximum(ri, rj.max()) * quantile) / 2 - 1e-4
             i, j = np.nonzero(g >= loose[:, None].astype(np.float32))
-            passes = n_a[i0 + i] - 2 * g[i, j] <= np.maximum(reach_a[i], reach_b[j]) * quantile + 1e-3
-            i, j = i[passes] + i0, jj[j[passes]]
-            if same:
-                i, j = i[i <= j], j[i <= j]
+            near = size[i0 + i] - 2 * g[i, j] <= np.maximum(ri[i], rj[j]) * quantile + 1e-3
+            i, j = i[near] + i0, j[near] + j0
+            i, j = i[i < j], j[i < j]
             cos = np.empty(len(i))
             for c0 in range(0, len(i), 200_000):
                 s = slice(c0, c0 + 200_000)
-                cos[s] = np.einsum("ij,ij->i", xa[i[s]], xb[j[s]])
-            ok = cos >= least - 1e-9
+                cos[s] = np.einsum("ij,ij->i", x[i[s]], x[j[s]])
+            cos = np.round(cos, 10)
+            ok = cos >= least
             i, j, cos = i[ok], j[ok], cos[ok]
-            found.append((i, j, cos))
             if len(i):
-                d2 = 2 - 2 * cos
-                if same:
-                    off = i != j
-                    tighten(top_a, np.r_[i, j[off]], np.r_[d2, d2[off]])
-                else:
-                    tighten(top_a, i, d2)
-                    tighten(top_b, j, d2)
-    i = np.concatenate([f[0] for f in found]) if found else np.empty(0, dtype=int)
-    j = np.concatenate([f[1] for f in found]) if found else np.empty(0, dtype=int)
-    cos = np.round(np.concatenate([f[2] for f in found]), 10) if found else np.empty(0)
-    la, lb = a["leads"].tolist(), b["leads"].tolist()
-    ca, cb = a["cls"].tolist(), b["cls"].tolist()
-
-    def best_of(q: np.ndarray, t: np.ndarray, c: np.ndarray, keys: list, leads: list) -> list[tuple]:
-        out = []
-        order = np.lexsort((-c, q))
-        q, t, c = q[order], t[order], c[order]
-        starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else []
-        for s, e in zip(starts, [*starts[1:], len(q)]):
-            rows: list[tuple[float, str]] = []
-            for x in range(s, e):
-                if len(rows) >= keep and -c[x] > rows[keep - 1][0]:
-                    break
-                rows += [(-c[x], name) for name in leads[t[x]]]
-                rows.sort()
-            out += [(keys[q[s]], name, -v) for v, name in rows[:keep]]
-        return out
-
-    if same:
-        off = i != j
-        q, t, c = np.r_[i, j[off]], np.r_[j, i[off]], np.r_[cos, cos[off]]
-        rows = best_of(q, t, c, ca, lb)
-    else:
-        rows = best_of(i, j, cos, ca, lb) + best_of(j, i, cos, cb, la)
-    return pd.DataFrame(rows, columns=["cls", "id", "cosine"])
-
-
-def nearest(vectors: DataFrame, k: int = 5, least: float = 0.85, dim: int = 64, m: int = 20, p: float = 0.99, leaf_rows: int = 40_000, sample: int = 20_000) -> DataFrame:
+                fold(t, ks, np.r_[i, j], np.r_[cls[j], cls[i]], np.r_[cos, cos])
+    top[order], keys[order] = t, ks
+
+
+def _normal_tail(z: np.ndarray) -> np.ndarray:
+    """P(N(0, 1) > z) for z >= 0, to about 1e-7."""
+    t = 1 / (1 + 0.2316419 * z)
+    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return np.exp(-z * z / 2) / math.sqrt(2 * math.pi) * poly
+
+
+def search_round(pdf: pd.DataFrame, dim: int, m: int, seed: int, nodes: list[tuple[int, float]], keep: int, k: int, least: float, p: float, leaf_rows: int) -> pd.DataFrame:
+    """The rows of one leaf after its round: better neighbours, and the probability of having missed one.
+
+    Rows of one class become one. A leaf that its sample underrates, of more than 2 * leaf_rows, is
+    cut further here at its own medians.
+    """
+    pdf = pdf.drop_duplicates("cls", ignore_index=True)
+    x, r = unit_rows(pdf["vec"].tolist(), dim), directions(dim, m, seed)
+    cls, n = pdf["cls"].to_numpy(), len(pdf)
+    top, keys = np.full((n, keep), -np.inf), np.zeros((n, keep), dtype=np.int64)
+    held = pdf["near"].map(len).to_numpy()
+    if held.any():
+        at, place = np.repeat(np.arange(n), held), np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)
+        top[at, place], keys[at, place] = np.concatenate(pdf["cosine"].to_numpy()), np.concatenate(pdf["near"].to_numpy())
+    missed = pdf["missed"].to_numpy().copy()
+    open_ = missed > 1 - p
+    points = x.astype(np.float32) @ r
+    _, gaps = leaf_of(points, nodes)
+    inner = fit_tree(points, 1 << math.ceil(math.log2(n / leaf_rows))) if n > 2 * leaf_rows else []
+    leaf, more = leaf_of(points, inner)
+    gaps = np.concatenate([gaps, more], 1)
+    for one in np.unique(leaf):
+        own = np.flatnonzero(leaf == one)
+        t, ks = top[own], keys[own]
+        search_leaf(x[own], cls[own], t, ks, open_[own], r, k, least, chi2_quantile(p, m))
+        top[own], keys[own] = t, ks
+    reach = np.sqrt(np.maximum(np.minimum(2 - 2 * top[:, k - 1], 2 - 2 * least), 1e-12))
+    inside = np.prod(1 - _normal_tail(gaps / reach[:, None]), axis=1)
+    missed = np.where(open_, missed * (1 - inside), missed)
+    filled = top > -np.inf
+    return pd.DataFrame({"cls": cls, "vec": pdf["vec"], "near": [a[f] for a, f in zip(keys, filled)], "cosine": [a[f] for a, f in zip(top, filled)], "missed": missed})
+
+
+def rounds_for(depth: int, least: float, p: float) -> int:
+    """Rounds after which a pair at cosine `least` has shared a leaf with probability p; a median cut parts it with angle / pi."""
+    together = (1 - math.acos(least) / math.pi) ** depth
+    return 1 if depth == 0 else max(1, round(math.log(1 - p) / math.log(1 - together)))
+
+
+def nearest(vectors: DataFrame, k: int = 5, least: float = 0.85, dim: int = 64, m: int = 20, p: float = 0.98, leaf_rows: int = 20_000, sample: int = 20_000, most_leaves: int = 1024) -> DataFrame:
     """(id, neighbour, cosine, rank): for each usable vector its k nearest others with cosine >= least.
 
     vectors: (id, embedding). Rows of one id must agree and count once; cosines are rounded to 10
-    decimals and ties go to the smaller id. The tree is fitted on at most `sample` vectors; a
-    pair is missed with probability 1 - p at the most. least > -1 bounds the search radius.
+    decimals and ties go to the smaller id, among at most k + 2 distinct vectors of equal cosine. The
+    trees are fitted on at most 2 * `sample` vectors and have at most most_leaves leaves, beyond which
+    leaves are cut where they are searched. p is the confidence of both stopping tests. Other columns
+    are ignored; null, short, zero or NaN vectors have no neighbours.
     """
-    lead = k + 1
-    rows = usable(vectors, dim)
-    members, distinct = classes(rows, dim, lead)
+    lead, keep = k + 1, k + 2
+    members, leads, distinct = classes(usable(vectors, dim), dim, lead)
     total = distinct.count()
-    leaves = 1 << max(0, math.ceil(math.log2(max(1, total / leaf_rows))))
-    r = directions(dim, m)
-    nodes: list[tuple[int, float]] = []
+    depth = max(0, math.ceil(math.log2(max(1, total / leaf_rows))))
+    leaves = min(1 << depth, most_leaves)
+    rows = distinct.select("cls", "vec", F.array().cast("array<bigint>").alias("near"), F.array().cast("array<double>").alias("cosine"), F.lit(1.0).alias("missed"))
+    fit = np.empty((0, dim))
     if leaves > 1:
         part = max(1, math.ceil(total / sample))
-        fit = distinct.select("vec").where(F.pmod(F.xxhash64("cls"), F.lit(part)) == 0).limit(2 * sample).collect()
-        nodes = fit_tree(unit_rows([x[0] for x in fit], dim).astype(np.float32) @ r, leaves)
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            points = unit_rows(pdf["vec"].tolist(), dim).astype(np.float32) @ r
-            yield pdf.assign(leaf=leaf_of(points, nodes), proj=list(points))
-
-    placed = distinct.mapInPandas(place, "cls binary, vec binary, leads array<string>, leaf int, proj array<float>")
-    if leaves > 1:
-        # A leaf that its sample underrates is cut further by hash, so that no block outgrows a task.
-        sizes = {x[0]: x[1] for x in placed.groupBy("leaf").count().collect()}
-        parts = {leaf: max(1, math.ceil(n / (2 * leaf_rows))) for leaf, n in sizes.items()}
-        many = F.create_map(*[F.lit(x) for kv in parts.items() for x in kv])
-        placed = placed.withColumn("sub", F.pmod(F.xxhash64("cls"), many[F.col("leaf")]).cast("int"))
-        boxes = {
-            (x["leaf"], x["sub"]): (np.array(x["lo"]), np.array(x["hi"]))
-            for x in placed.groupBy("leaf", "sub")
-            .agg(F.array(*[F.min(F.col("proj")[d]) for d in range(m)]).alias("lo"), F.array(*[F.max(F.col("proj")[d]) for d in range(m)]).alias("hi"))
-            .collect()
-        }
-    else:
-        placed = placed.withColumn("sub", F.lit(0))
-        boxes = {(0, 0): (np.zeros(m), np.zeros(m))}
-    reach = (2 - 2 * least) * chi2_quantile(p, m)
-    blocks = sorted(boxes)
-    number = {block: x for x, block in enumerate(blocks)}
-    low = np.array([boxes[x][0] for x in blocks]).reshape(-1, m)
-    high = np.array([boxes[x][1] for x in blocks]).reshape(-1, m)
-
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each vector with the pairs of blocks it may have a partner in: those whose other box is in reach of it."""
-        for pdf in batches:
-            points = np.stack(pdf["proj"].to_numpy()).astype(np.float64).reshape(-1, m) if len(pdf) else np.empty((0, m))
-            home = np.array([number[x] for x in zip(pdf["leaf"], pdf["sub"])], dtype=np.int64)
-            for x in range(len(blocks)):
-                gap = np.maximum(0, np.maximum(low[x] - points, points - high[x]))
-                near = (home == x) | ((gap * gap).sum(1) <= reach + 1e-3)
-                rows = pdf[near][["cls", "vec", "leads"]]
-                if len(rows):
-                    own = home[near]
-                    yield rows.assign(a=np.minimum(own, x), b=np.maximum(own, x), side=(own > x).astype(np.int32))
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        cols = ["cls", "vec", "leads"]
-        if pdf["a"].iloc[0] != pdf["b"].iloc[0] and not (len(left) and len(right)):
-            return pd.DataFrame({"cls": [], "id": [], "cosine": []})
-        return search_blocks(left[cols], right[cols] if len(right) else None, dim, m, lead, least, p, lead)
-
-    sent = placed.mapInPandas(send, "cls binary, vec binary, leads array<string>, a int, b int, side int")
-    partial = sent.groupBy("a", "b").applyInPandas(search, NEIGHBOUR)
-    w = Window.partitionBy("cls").orderBy(F.desc("cosine"), "id")
-    best = partial.distinct().withColumn("r", F.row_number().over(w)).where(F.col("r") <= lead).select("cls", F.col("id").alias("neighbour"), "cosine")
+        picked = distinct.select("vec").where(F.pmod(F.xxhash64("cls"), F.lit(part)) == 0).limit(2 * sample).collect()
+        fit = unit_rows([v[0] for v in picked], dim).astype(np.float32)
+    for seed in range(7, 7 + rounds_for(depth, least, p)):
+        rows = _round(rows, seed, fit, leaves, dim, m, keep, k, least, p, leaf_rows)
+    near = rows.select("cls", F.explode(F.arrays_zip("near", "cosine")).alias("n")).select("cls", F.col("n.near").alias("other"), F.col("n.cosine").alias("cosine"))
+    # Members of the own class are at cosine 1.
+    near = near.unionByName(leads.select("cls", F.col("cls").alias("other"), F.lit(1.0).alias("cosine")).distinct())
+    w = Window.partitionBy("cls").orderBy(F.desc("cosine"), "neighbour")
+    best = near.join(leads.select(F.col("cls").alias("other"), F.col("id").alias("neighbour")), "other").select("cls", "neighbour", "cosine").distinct()
+    best = best.withColumn("r", F.row_number().over(w)).where(F.col("r") <= lead).drop("r")
     own = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
     return (
         members.join(best, "cls")
@@ -309,6 +282,26 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = 0.85, dim: int = 64,
     )
 
 
+def _round(rows: DataFrame, seed: int, fit: np.ndarray, leaves: int, dim: int, m: int, keep: int, k: int, least: float, p: float, leaf_rows: int) -> DataFrame:
+    """One round over the state: rows go to their leaf's partition and are searched there."""
+    nodes = fit_tree(fit @ directions(dim, m, seed), leaves) if leaves > 1 else []
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = directions(dim, m, seed)
+        for pdf in batches:
+            leaf = leaf_of(unit_rows(pdf["vec"].tolist(), dim).astype(np.float32) @ r, nodes)[0] if len(pdf) else []
+            yield pdf.assign(leaf=np.asarray(leaf, dtype=np.int32))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # A partition is a leaf: about leaf_rows vectors of dim numbers.
+        held = [pdf for pdf in batches if len(pdf)]
+        if held:
+            yield search_round(pd.concat(held, ignore_index=True), dim, m, seed, nodes, keep, k, least, p, leaf_rows)
+
+    placed = rows.mapInPandas(place, STATE + ", leaf int") if leaves > 1 else rows.withColumn("leaf", F.lit(0))
+    return placed.repartitionById(leaves, F.col("leaf")).drop("leaf").mapInPandas(search, STATE)
+
+
 def neighbour_pairs(near: DataFrame) -> DataFrame:
     """(id_a, id_b), id_a < id_b: each pair once whichever side found it."""
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
