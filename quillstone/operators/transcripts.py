@@ -188,11 +188,17 @@ def _claim(text: str) -> str:
     return out if any(c.isalnum() for c in out) else ""
 
 
+_QUOTED = re.compile("'[^']*'|\"[^\"]*\"")
+
+
 def commands_cited(payload: str) -> list[str]:
-    """The command parts of 'command -> result' for every arrow outside quotes; else for the last arrow; none without."""
+    """The command parts of 'command -> result' for every arrow outside quotes; else for the last arrow; none without.
+
+    A quote ends at the next mark of its own kind, whatever stands between.
+    """
     cuts = [payload[: m.start()].strip() for m in _ARROW.finditer(payload)]
     cuts = [c for c in cuts if c]
-    closed = [c for c in cuts if c.count("'") % 2 == 0 and c.count('"') % 2 == 0]
+    closed = [c for c in cuts if not re.search("['\"]", _QUOTED.sub("", c))]
     return closed or cuts[-1:]
 
 
