@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import tempfile
 import uuid
@@ -30,14 +31,17 @@ def session(master: str = "local[8]", partitions: int = 8) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests on one machine) a temporary folder is made and remembered
-    as the checkpoint folder of the context.
+    Only where that is unset and the master is local (tests on one machine) a temporary folder is
+    made and remembered as the checkpoint folder of the context; on a cluster it has to be set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(found)
         return found
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="quillstone-")
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -49,12 +53,32 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_FOLDERS: list[tuple[SparkSession, str]] = []
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; release() or the end of the process removes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _FOLDERS:
+        atexit.register(release)
+    _FOLDERS.append((spark, path))
+    return path
+
+
+def release() -> None:
+    """Remove all folders made by fresh_folder(); results that read from them must be used up before."""
+    while _FOLDERS:
+        spark, path = _FOLDERS.pop()
+        with contextlib.suppress(Exception):
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as a Parquet table to the shared folder and read back (columnar, prunable)."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextlib.contextmanager
