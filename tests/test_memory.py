@@ -42,6 +42,10 @@ def test_search_duplicates_and_checkpoint(memory):
     out = memory.checkpoint([{"wing": "w", "room": "r", "text": "brand new words"}, {"wing": "w", "room": "r", "text": "brand new words"}, {"wing": "w"}], {"agent": "ag", "topic": "t", "entry": "e"})
     assert (len(out["added"]), len(out["duplicates"]), len(out["errors"])) == (1, 1, 1)
     assert memory.diary_read("ag").first().title == "t"
+    again = memory.checkpoint([{"wing": "w", "room": "r", "text": "brand new words"}])
+    assert again["duplicates"] == [{"item": 0, "id": out["added"][0]}] and not again["added"]
+    chunk = memory.add_drawer("w", "r", "Long", "body words " * 200) + "_chunk_000001"
+    assert memory.get_drawer(chunk)["chunk_index"] == 1 and memory.delete_drawer(chunk)["success"]
     assert memory.search("brand", tag_filter=["x"]).count() == 0
 
 

@@ -115,6 +115,53 @@ def test_store_versions_upserts_and_conflicts(spark, tmp_path):
     assert threading.active_count() > 0
 
 
+def test_store_writes_only_touched_buckets(spark, tmp_path):
+    import os
+
+    def written(s, name):
+        return sum(os.path.getsize(os.path.join(at, f)) for at, _, fs in os.walk(f"{tmp_path}/{name}/t/data") for f in fs if f.endswith(".parquet"))
+
+    cost = {}
+    for n in (2_000, 20_000):
+        s = store.Store(spark, f"file://{tmp_path}/{n}", rows_per_bucket=500)
+        key = F.col("id")
+        s.change("t", lambda _: spark.range(n).select(F.concat(F.lit("k"), "id").alias("id"), F.sha2(F.col("id").cast("string"), 256).alias("v")), key)
+        before = written(s, n)
+        new = spark.createDataFrame([("k7", "new"), ("fresh", "new")], "id string, v string")
+        s.change("t", lambda base: store.upsert(base, new, ["id"]), key, new)
+        cost[n] = written(s, n) - before
+        assert s.read("t").count() == n + 1 and {r.id for r in s.near("t", key, new).where("v = 'new'").collect()} == {"k7", "fresh"}
+        with pytest.raises(ValueError):
+            s.change("t", lambda base: base.unionByName(spark.range(50).select(F.concat(F.lit("x"), "id").alias("id"), F.lit("").alias("v"))), key, new)
+        assert s.read("t").count() == n + 1
+    assert cost[20_000] < 2 * cost[2_000]
+
+
+def test_store_crash_reader_and_vacuum(spark, tmp_path, monkeypatch):
+    s = store.Store(spark, f"file://{tmp_path}/s")
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id string")
+    s.change("t", lambda _: rows("a"), F.col("id"))
+    opened = s.read("t")
+    with monkeypatch.context() as m:
+        m.setattr(s, "_commit", lambda *a: (_ for _ in ()).throw(OSError("crash")))
+        with pytest.raises(OSError):
+            s.change("t", lambda base: base.unionByName(rows("lost")), F.col("id"))
+    assert [r.id for r in s.read("t").collect()] == ["a"]
+    assert s.change("t", lambda base: base.unionByName(rows("b")), F.col("id")) == 2
+    assert [r.id for r in opened.collect()] == ["a"] and s.read("t").count() == 2
+    assert s.change("t", lambda base: base.unionByName(rows("c")), F.col("id")) == 3
+    assert s.vacuum("t", keep=1) >= 3 and s.read("t").count() == 3
+    s.change("t", lambda base: base.limit(0), F.col("id"))
+    assert s.read("t").count() == 0 and s.read("t").columns == ["id"]
+
+
+def test_has_row_has_three_answers(spark, tmp_path):
+    d = spark.createDataFrame([("a",)], "id string")
+    assert store.has_row(lambda: d, F.col("id") == "a") is True
+    assert store.has_row(lambda: d, F.col("id") == "b") is False and store.has_row(lambda: None, F.col("id") == "b") is False
+    assert store.has_row(lambda: spark.read.parquet(f"file://{tmp_path}/none"), F.col("id") == "a") is None
+
+
 def test_replace_and_delete_drop_old_chunks(spark):
     base = spark.createDataFrame([("p", None), ("p_chunk_000000", "p"), ("p_chunk_000001", "p"), ("q", None)], "id string, parent_drawer_id string")
     new = spark.createDataFrame([("p", None), ("p_chunk_000000", "p")], "id string, parent_drawer_id string")
