@@ -265,21 +265,16 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = 0.85, dim: int = 64,
         fit = unit_rows([v[0] for v in picked], dim).astype(np.float32)
     for seed in range(7, 7 + rounds_for(depth, least, p)):
         rows = _round(rows, seed, fit, leaves, dim, m, keep, k, least, p, leaf_rows)
+    # The least ids of each class, whatever the number of tasks that met it.
+    by_id = Window.partitionBy("cls").orderBy("id")
+    names = leads.distinct().withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= lead).select(F.col("cls").alias("other"), F.col("id").alias("neighbour"))
     near = rows.select("cls", F.explode(F.arrays_zip("near", "cosine")).alias("n")).select("cls", F.col("n.near").alias("other"), F.col("n.cosine").alias("cosine"))
-    # Members of the own class are at cosine 1.
-    near = near.unionByName(leads.select("cls", F.col("cls").alias("other"), F.lit(1.0).alias("cosine")).distinct())
-    w = Window.partitionBy("cls").orderBy(F.desc("cosine"), "neighbour")
-    best = near.join(leads.select(F.col("cls").alias("other"), F.col("id").alias("neighbour")), "other").select("cls", "neighbour", "cosine").distinct()
-    best = best.withColumn("r", F.row_number().over(w)).where(F.col("r") <= lead).drop("r")
-    own = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
-    return (
-        members.join(best, "cls")
-        .where("id <> neighbour")
-        .withColumn("rank", F.row_number().over(own))
-        .where(F.col("rank") <= k)
-        .where(F.col("cosine") >= least)
-        .select("id", "neighbour", "cosine", "rank")
-    )
+    # Members of the own class are at cosine 1. A class has at most (keep + 1) * lead candidates.
+    own = names.select(F.col("other").alias("cls"), (-F.lit(1.0)).alias("d"), "neighbour")
+    found = near.join(names, "other").select("cls", (-F.col("cosine")).alias("d"), "neighbour").unionByName(own)
+    best = found.groupBy("cls").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "neighbour"))), 1, lead).alias("best"))
+    ranked = members.join(best, "cls").select("id", F.posexplode(F.slice(F.expr("filter(best, x -> x.neighbour <> id)"), 1, k)).alias("at", "n"))
+    return ranked.select("id", F.col("n.neighbour").alias("neighbour"), (-F.col("n.d")).alias("cosine"), (F.col("at") + 1).alias("rank")).where(F.col("cosine") >= least)
 
 
 def _round(rows: DataFrame, seed: int, fit: np.ndarray, leaves: int, dim: int, m: int, keep: int, k: int, least: float, p: float, leaf_rows: int) -> DataFrame:
