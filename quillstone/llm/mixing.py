@@ -56,12 +56,11 @@ def count_tokens(documents: DataFrame, tokenizer: str = TOKENIZER, pattern: str
 
 def poisson_steps(mean: float, most: int) -> list[float]:
     """The numbers u at which the inverse Poisson count reaches 1 .. most."""
-    term = total = math.exp(-mean)
-    steps = []
+    steps, total = [], math.exp(-mean)
     for k in range(1, most + 1):
         steps.append(total)
-        term *= mean / k
-        total += term
+        # In logarithms, as exp(-mean) is no number for means above 745.
+        total += math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) if mean > 0 else 0.0
     return steps
 
 

@@ -242,6 +242,12 @@ def test_mix_of_nothing(spark):
     assert mixing.mix(some, targets.limit(0)).count() == 0
 
 
+def test_poisson_steps_of_large_means():
+    steps = mixing.poisson_steps(800, 900)
+    assert steps[2] < 1e-300 and 0.48 < steps[800] < 0.52 and steps == sorted(steps) and steps[-1] < 1
+    assert mixing.poisson_steps(0.0, 2) == [1.0, 1.0]
+
+
 def test_poisson_steps_invert_the_distribution():
     u = (np.arange(200_000) + 0.5) / 200_000
     counts = sum((u >= s).astype(int) for s in mixing.poisson_steps(1.7, 30))
