@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.words import words
+from quillstone.llm.words import WordHashes, runs, words
 
 #: Postings in a block of a list, and blocks of items in the first test of all windows.
 BLOCK, GROUPS = 32, 32
@@ -31,39 +31,62 @@ _QUESTION = re.compile(r"[?？]")
 
 
 class ItemIndex:
-    """Postings of a bounded block of items, with a maximum per list and per block of it."""
+    """Postings of a bounded block of items, with a maximum per list and per block of it, in flat arrays."""
 
     def __init__(self, items: list[tuple[int, str]], run: int, k1: float = 1.5, b: float = 0.75) -> None:
         self.run = run
-        self.items = [(i, ws) for i, text in items if len(ws := words(text)) >= run]
-        self.question = {i: len(words(_QUESTION.split(text or "", maxsplit=1)[0])) if _QUESTION.search(text or "") else 0 for i, text in items}
-        n = len(self.items)
-        df = Counter(w for _, ws in self.items for w in set(ws))
-        mean = sum(len(ws) for _, ws in self.items) / max(1, n)
-        lists: dict[str, list[tuple[int, float]]] = {}
-        for at, (_, ws) in enumerate(self.items):
+        kept = [(i, ws) for i, text in items if len(ws := words(text)) >= run]
+        self.ids = [i for i, _ in kept]
+        self.texts = ["\n".join(ws) for _, ws in kept]
+        question = {i: len(words(_QUESTION.split(text or "", maxsplit=1)[0])) if _QUESTION.search(text or "") else 0 for i, text in items}
+        self.question = [question[i] for i in self.ids]
+        n = len(kept)
+        df = Counter(w for _, ws in kept for w in set(ws))
+        mean = sum(len(ws) for _, ws in kept) / max(1, n)
+        # Word 0 is any word of no item.
+        self.number = {w: k for k, w in enumerate(df, 1)}
+        terms, docs, xs = [], [], []
+        for at, (_, ws) in enumerate(kept):
             norm = k1 * (1 - b + b * len(ws) / mean)
             impact = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (k1 + 1) / (tf + norm) for w, tf in Counter(ws).items()}
             least = min(sum(impact[w] for w in set(ws[i : i + run])) for i in range(len(ws) - run + 1))
-            for w, x in impact.items():
-                lists.setdefault(w, []).append((at, x / least))
-        self.number = {w: k for k, w in enumerate(lists, 1)}
-        self.docs = [[], *([d for d, _ in p] for p in lists.values())]
-        self.impacts = [[], *([x for _, x in p] for p in lists.values())]
-        self.most = np.array([0.0, *(max(x for _, x in p) for p in lists.values())])
-        self.block_most = [[max(x[i : i + BLOCK]) for i in range(0, len(x), BLOCK)] for x in self.impacts]
-        self.group_most = np.zeros((len(lists) + 1, GROUPS), dtype=np.float32)
-        for t, (docs, xs) in enumerate(zip(self.docs, self.impacts)):
-            np.maximum.at(self.group_most[t], np.array(docs, dtype=np.int64) * GROUPS // max(1, n), xs)
-        self.grams: dict[tuple, list[int]] = {}
-        for at, (_, ws) in enumerate(self.items):
-            for g in set(zip(*(ws[k:] for k in range(run)))):
-                self.grams.setdefault(g, []).append(at)
+            terms += [self.number[w] for w in impact]
+            docs += [at] * len(impact)
+            xs += [x / least for x in impact.values()]
+        term, doc, x = np.array(terms, dtype=np.int64), np.array(docs, dtype=np.int32), np.array(xs, dtype=np.float64)
+        order = np.lexsort((doc, term))
+        self.doc, self.impact = doc[order], x[order]
+        self.start = np.searchsorted(term[order], np.arange(len(df) + 2))
+        self.most = np.zeros(len(df) + 1)
+        np.maximum.at(self.most, term, x)
+        self.group_most = np.zeros((len(df) + 1, GROUPS), dtype=np.float32)
+        np.maximum.at(self.group_most, (term, doc.astype(np.int64) * GROUPS // max(1, n)), x)
+        hashes = WordHashes()
+        each = [runs(hashes(ws), run) for _, ws in kept]
+        length = np.array([len(h) for h in each], dtype=np.int64)
+        key = np.concatenate(each) if each else np.empty(0, dtype=np.uint64)
+        order = np.argsort(key, kind="stable")
+        self.gram = key[order]
+        self.gram_item = np.repeat(np.arange(n, dtype=np.int32), length)[order]
+        self.gram_at = (np.arange(len(key)) - np.repeat(np.cumsum(length) - length, length)).astype(np.int32)[order]
+        self.lists: dict[int, tuple[list[int], list[float], list[float]]] = {}
+
+    def postings(self, t: int) -> tuple[list[int], list[float], list[float]]:
+        """(items, impacts, maximum of each block) of a word."""
+        found = self.lists.get(t)
+        if found is None:
+            if len(self.lists) > 100_000:
+                self.lists.clear()
+            x = self.impact[self.start[t] : self.start[t + 1]].tolist()
+            found = self.lists[t] = (self.doc[self.start[t] : self.start[t + 1]].tolist(), x, [max(x[i : i + BLOCK]) for i in range(0, len(x), BLOCK)])
+        return found
 
     def above(self, terms: list[int], floor: float = 1 - 1e-9) -> list[int]:
         """Positions of all items whose score against the set of terms reaches floor."""
-        docs, impacts, most, blocks = self.docs, self.impacts, self.most, self.block_most
-        end = len(self.items)
+        most, end = self.most, len(self.ids)
+        docs, impacts, blocks = {}, {}, {}
+        for t in terms:
+            docs[t], impacts[t], blocks[t] = self.postings(t)
         cursors = [[docs[t][0], 0, t] for t in terms if t]
         found = []
         while cursors:
@@ -124,27 +147,24 @@ class ItemIndex:
             out += [(x, min(x + longest, e)) for x in range(s, max(s + 1, e - self.run + 1), step)]
         return out
 
-    def leaks(self, ws: list[str], longest: int) -> dict[int, tuple[int, int]]:
+    def leaks(self, ws: list[str], longest: int, hashes: WordHashes) -> dict[int, tuple[int, int]]:
         """{item position: (question words, answer words)} covered by shared runs in the words of a text."""
         number = self.number
         terms = np.array([number.get(w, 0) for w in ws], dtype=np.int64)
-        shared: dict[int, set[int]] = {}
+        covered: dict[int, set[int]] = {}
         for s, e in self.stretches(terms, longest):
-            hits = set(self.above(sorted(set(terms[s:e].tolist()))))
+            hits = self.above(sorted(set(terms[s:e].tolist())))
             if not hits:
                 continue
-            for x in range(s, e - self.run + 1):
-                for at in self.grams.get(tuple(ws[x : x + self.run]), ()):
-                    if at in hits:
-                        shared.setdefault(at, set()).add(x)
-        out = {}
-        for at, starts in shared.items():
-            item, iws = self.items[at]
-            runs = {tuple(ws[x : x + self.run]) for x in starts}
-            covered = {k for i in range(len(iws) - self.run + 1) if tuple(iws[i : i + self.run]) in runs for k in range(i, i + self.run)}
-            q = self.question[item]
-            out[at] = (sum(k < q for k in covered), sum(k >= q for k in covered))
-        return out
+            keys = runs(hashes(ws[s:e]), self.run)
+            lo, hi = np.searchsorted(self.gram, keys), np.searchsorted(self.gram, keys, side="right")
+            for x in np.flatnonzero(hi > lo):
+                for g in range(lo[x], hi[x]):
+                    at, pos = int(self.gram_item[g]), int(self.gram_at[g])
+                    # The hash only says where to look.
+                    if at in hits and self.texts[at].split("\n")[pos : pos + self.run] == ws[s + x : s + x + self.run]:
+                        covered.setdefault(at, set()).update(range(pos, pos + self.run))
+        return {at: (sum(k < self.question[at] for k in held), sum(k >= self.question[at] for k in held)) for at, held in covered.items()}
 
 
 def leaks(documents: DataFrame, items: DataFrame, run: int = 10, longest: int = 40, items_at_once: int = 50_000) -> DataFrame:
@@ -152,8 +172,8 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = 10, longest: int =
 
     The last two count the item's words, before and after its first question mark, that lie in
     shared runs. Null texts and items shorter than a run leak nothing; repeated rows count once.
-    Items are indexed and broadcast items_at_once at a time, so a larger evaluation set means
-    more passes over the corpus, not a larger broadcast.
+    Items are indexed once, on the driver, and the index is broadcast, items_at_once at a time, so a
+    larger evaluation set means more passes over the corpus, not a larger broadcast.
     """
     spark = documents.sparkSession
     schema = "doc_id bigint, item_id bigint, question_words int, answer_words int"
@@ -165,14 +185,14 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = 10, longest: int =
     for k in range(passes):
         block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k) if passes > 1 else items
         # Part of the corpus side: what is collected is one bounded block of evaluation items.
-        shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in block.orderBy("item_id", "text").collect()])
+        shared = spark.sparkContext.broadcast(ItemIndex([(r[0], r[1]) for r in block.orderBy("item_id", "text").collect()], run))
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = ItemIndex(shared.value, run)
+            index, hashes = shared.value, WordHashes()
             for pdf in batches:
                 rows = []
                 for d, text in zip(pdf["doc_id"], pdf["text"]):
-                    rows += [(d, index.items[at][0], q, a) for at, (q, a) in index.leaks(words(text), longest).items()]
+                    rows += [(d, index.ids[at], q, a) for at, (q, a) in index.leaks(words(text), longest, hashes).items()]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "question_words", "answer_words"])
 
         parts.append(docs.mapInPandas(search, schema))
