@@ -7,13 +7,15 @@ hold at least c common ones: only these positions are indexed, pairs are tallied
 and pairs that reach the guaranteed minimum c are verified on the words themselves. No list, pair
 or record is capped or dropped, and no similar pair is missed.
 
-The frequencies behind the order come from a counting sketch of fixed size (any order is right;
-a good one keeps lists short), so nothing that is sent to every executor grows with the data.
+The frequencies behind the order come from a counting sketch with about two slots a word, up to
+128 MB (any order is right; a good one keeps lists short, and beyond some 60 million words slots
+begin to be shared, see the README).
 Records with the same words are one class from the start and are expanded only in a result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -197,16 +199,23 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
 
 
-def near_duplicates(records: DataFrame, t: float = 0.8, k: int = 5, min_words: int = 0, matches: int = 5, bits: int = 24) -> NearDuplicates:
+def sketch_bits(records: DataFrame, least: int = 20, most: int = 27) -> int:
+    """Bits of the slot number for about two slots a word, by the characters of all bodies; at most 128 MB of codes are sent."""
+    chars = records.agg(F.sum(F.length("body"))).first()[0] or 0
+    return min(most, max(least, math.ceil(math.log2(max(1, chars / 3)))))
+
+
+def near_duplicates(records: DataFrame, t: float = 0.8, k: int = 5, min_words: int = 0, matches: int = 5, bits: int | None = None) -> NearDuplicates:
     """Similar records of (id, body): similarity is that of their sets of runs of k words.
 
     Null bodies and records with fewer than max(min_words, k) words are in no pair; repeated rows
     of an id count once; other columns are ignored. matches, at most 7, is the number of common
-    positions that the indexed prefixes guarantee.
+    positions that the indexed prefixes guarantee. bits is that of sketch_bits() by default.
     """
     if not 1 <= matches <= 7:
         raise ValueError("matches must be between 1 and 7")
     records = records.select("id", "body").where("id is not null and body is not null")
+    bits = sketch_bits(records) if bits is None else bits
     codes = frequency_codes(records, k, min_words, bits)
     rows = index_rows(records, codes, k, min_words, t, matches, bits).withColumn("num", F.monotonically_increasing_id())
     rows = staged(rows, "neardup-index")
