@@ -152,7 +152,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
 
 
 def shares(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 11, tokenizer: str = TOKENIZER) -> DataFrame:
-    """A row per target: (source, target_share, n_docs, n_copies, tokens, mix_tokens, share, share_of_mix, reached).
+    """A row per target: (source, target_share, max_repeats, n_docs, n_copies, tokens, largest, mix_tokens, share, share_of_mix, reached).
 
     share is of the planned size, share_of_mix of what the mix holds. reached: within 2 % of the
     target share of the planned size; sources without documents, or too small even at max_repeats,
@@ -160,12 +160,12 @@ def shares(documents: DataFrame, targets: DataFrame, total: int | None = None, s
     """
     targets, counted, made = prepare(documents, targets, total, seed, tokenizer)
     used = counted.join(F.broadcast(_counts(documents.sparkSession, made)), "source").withColumn("n", _copies(seed))
-    per = used.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_copies"), F.sum("tokens").alias("tokens"), F.sum(F.col("n") * F.col("tokens")).alias("mix_tokens"))
-    out = targets.join(per, "source", "left").na.fill(0, ["n_docs", "n_copies", "tokens", "mix_tokens"])
+    per = used.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_copies"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("largest"), F.sum(F.col("n") * F.col("tokens")).alias("mix_tokens"))
+    out = targets.join(per, "source", "left").na.fill(0, ["n_docs", "n_copies", "tokens", "largest", "mix_tokens"])
     whole = out.agg(F.sum("mix_tokens").alias("whole"))
     share = F.col("mix_tokens") / F.lit(float(max(1, made.total)))
     return out.crossJoin(F.broadcast(whole)).select(
-        "source", "target_share", "max_repeats", "n_docs", "n_copies", "tokens", "mix_tokens",
+        "source", "target_share", "max_repeats", "n_docs", "n_copies", "tokens", "largest", "mix_tokens",
         share.alias("share"), (F.col("mix_tokens") / F.greatest("whole", F.lit(1))).alias("share_of_mix"),
         (share >= 0.98 * F.col("target_share")).alias("reached"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm import abuse, leakage, mixing, neardup, splitting, vectors
@@ -42,6 +42,21 @@ def p4_pieces(spark: SparkSession, root: str) -> DataFrame:
     return splitting.pieces(texts(spark, root, "drawers"))
 
 
+def p4_checks(spark: SparkSession, root: str) -> DataFrame:
+    """What must hold for the pieces of every drawer over the limit: size, numbering, overlap, and that they cover the text."""
+    drawers = texts(spark, root, "drawers")
+    own = F.struct("chunk_index", "text", "overlap")
+    # A drawer's pieces together are little longer than its text.
+    per = splitting.pieces(drawers).groupBy(F.col("parent_drawer_id").alias("drawer_id")).agg(
+        (F.max(F.length("text")) <= 800).alias("fits"),
+        ((F.min("chunk_index") == 0) & (F.max("chunk_index") == F.count("*") - 1) & (F.countDistinct("chunk_index") == F.count("*"))).alias("numbered"),
+        F.bool_and(F.when(F.col("chunk_index") == 0, F.col("overlap") == 0).otherwise(F.col("overlap").between(1, 120))).alias("overlapping"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(own)), lambda x: F.substring(x["text"], x["overlap"] + 1, 800)), "").alias("joined"),
+    )
+    whole = drawers.where("parent_drawer_id is null or parent_drawer_id = ''").select(F.col("id").alias("drawer_id"), F.sha2("text", 256).alias("h")).distinct()
+    return per.join(whole, "drawer_id").select("drawer_id", "fits", "numbered", "overlapping", (F.sha2("joined", 256) == F.col("h")).alias("whole"))
+
+
 def _leaks(spark: SparkSession, root: str) -> DataFrame:
     return leakage.leaks(texts(spark, root, "documents"), table(spark, root, "eval_items"))
 
@@ -66,6 +81,18 @@ def p8_shares(spark: SparkSession, root: str) -> DataFrame:
     return mixing.shares(texts(spark, root, "documents"), table(spark, root, "mix_targets"))
 
 
+def p8_checks(spark: SparkSession, root: str) -> DataFrame:
+    """Per target what must hold of the mix: no document above its cap, and the tokens within 2 % and one document of what the cap lets it reach."""
+    docs, targets = texts(spark, root, "documents"), table(spark, root, "mix_targets")
+    made = mixing.shares(docs, targets)
+    worst = mixing.mix(docs, targets).groupBy("source").agg(F.max("copy").alias("most"))
+    # One row a target: the window is over a short list.
+    planned = F.sum("tokens").over(Window.partitionBy())
+    goal = F.least(F.col("target_share") * planned, F.col("max_repeats") * F.col("tokens"))
+    near = F.abs(F.col("mix_tokens") - goal) <= 0.02 * goal + F.col("largest")
+    return made.withColumn("near", near).join(worst, "source", "left").select("source", "n_docs", (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("capped"), "near")
+
+
 def _scores(spark: SparkSession, root: str) -> DataFrame:
     return abuse.fitted_scores(texts(spark, root, "documents"), table(spark, root, "doc_labels"))
 
@@ -85,8 +112,8 @@ def p9_rates(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_groups, p3_found, p3_neighbours, p4_found, p4_pieces, p7_found, p7_overlap, p7_items,
-        p8_mix, p8_shares, p9_found, p9_scores, p9_rates,
+        p2_found, p2_groups, p3_found, p3_neighbours, p4_found, p4_pieces, p4_checks, p7_found, p7_overlap, p7_items,
+        p8_mix, p8_shares, p8_checks, p9_found, p9_scores, p9_rates,
     )
 }
 
@@ -101,6 +128,13 @@ n as (select id, count(*) n from s group by id),
 p as (select a.id id_a, b.id id_b, count(*) c from s a join s b on a.g = b.g and a.id < b.id group by 1, 2),
 pairs as (select id_a, id_b from p join n x on x.id = id_a join n y on y.id = id_b where 2 * c >= x.n + y.n - c)"""
 
+_GROUPS = f"""{_SHINGLES.replace("with w as", "with recursive w as", 1)},
+m as (select id, min(id) over (partition by w) rep from (select id, w from w where len(w) >= 20)),
+e as (select distinct a.rep a, b.rep b from pairs join m a on a.id = id_a join m b on b.id = id_b where a.rep <> b.rep),
+l as (select a, b from e union select b, a from e),
+r(x, y) as (select rep, rep from m union select r.x, l.b from r join l on l.a = r.y)
+select m.id, m.rep class_id, (select min(y) from r where r.x = m.rep) group_id, (select count(*) from l where l.a = m.rep) n_links from m"""
+
 _NEAREST = """
 with u as (
   select distinct on (id) id, embedding::double[] v from drawers
@@ -126,6 +160,14 @@ select id drawer_id from big left join j on p = id where p is null or not (n = k
     "p7_items": f"""{_RUNS}, o as (select distinct doc_id, item_id from d join i using (g)),
 c as (select doc_id, item_id, count(distinct k) n from (select doc_id, item_id, unnest(range(x, x + 10)) k from d join i using (g)) group by 1, 2)
 select item_id, count(*) n_docs, max(n)::int max_words from o join c using (doc_id, item_id) group by 1""",
+    "p2_groups": _GROUPS,
+    "p4_checks": """select distinct id drawer_id, true fits, true numbered, true overlapping, true whole
+from drawers where (parent_drawer_id is null or parent_drawer_id = '') and length("text") > 800""",
+    "p7_overlap": f"""{_RUNS}, q as (select item_id, case when regexp_matches("text", '[?？]') then len(regexp_extract_all(string_split_regex("text", '[?？]')[1], '[\\p{{L}}\\p{{N}}]+')) else 0 end q from eval_items),
+k as (select distinct doc_id, item_id, unnest(range(x, x + 10)) k from d join i using (g))
+select doc_id, item_id, (count(*) filter (k <= q))::int question_words, (count(*) filter (k > q))::int answer_words from k join q using (item_id) group by 1, 2""",
+    "p8_checks": """with c as (select replace(lower(trim(source)), '-', '_') s from documents)
+select s0 source, (select count(*) from c where s = s0) n_docs, true capped, true near from (select distinct replace(lower(trim(source)), '-', '_') s0 from mix_targets)""",
     "p3_found": f"{_NEAREST} select distinct least(id, neighbour) id_a, greatest(id, neighbour) id_b from nn",
     "p3_neighbours": f"{_NEAREST} select * from nn",
 }
