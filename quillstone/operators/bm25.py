@@ -55,7 +55,8 @@ def build(unit_rows: DataFrame, keep: bool = True, clustered: bool = False) -> I
     terms = postings.groupBy("token").agg(F.count("*").cast("double").alias("df")).crossJoin(F.broadcast(corpus)).withColumn("raw", raw)
     mean = terms.agg(F.avg("raw").alias("mean"))
     terms = terms.crossJoin(F.broadcast(mean)).select("token", "df", "avgdl", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return Index(postings, terms)
+    # A row per distinct token; a search would else count all postings again.
+    return Index(postings, staged(terms, "terms") if keep else terms)
 
 
 def scores(index: Index, queries: DataFrame) -> DataFrame:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
+from datetime import datetime
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillstone.functions import vector as vx
 from quillstone.operators import bm25
@@ -18,6 +21,7 @@ from quillstone.session import checkpointed
 RRF_K, OVERFETCH, STITCH_MAX, SNIPPET, DUPLICATE_POOL = 60, 10, 10_000, 300, 50
 #: Decimals of a distance or score beyond which two are a tie, decided by id.
 DIGITS = 9
+EPOCH = datetime(1970, 1, 1)
 
 
 def canonical(df: DataFrame) -> DataFrame:
@@ -25,14 +29,50 @@ def canonical(df: DataFrame) -> DataFrame:
     return df.withColumn("cid", F.coalesce(F.nullif("parent_drawer_id", F.lit("")), F.col("id")))
 
 
-def distances(drawers: DataFrame, vector: list[float]) -> DataFrame:
-    """drawers with a usable vector, + dist: squared distance to `vector`.
+def _squared(vectors: pd.Series, q: np.ndarray) -> np.ndarray:
+    """Squared distance of each vector to q, rounded; NaN where it is null, of another length or holds a null or NaN."""
+    out = np.full(len(vectors), np.nan)
+    fit = np.flatnonzero(vectors.map(lambda v: v is not None and len(v) == len(q)).to_numpy(dtype=bool))
+    if len(fit):
+        x = np.stack(vectors.to_numpy()[fit]).astype(np.float64)
+        out[fit] = np.round(((x - q) ** 2).sum(1), DIGITS)
+    return out
 
-    The query vector is a literal of the plan; vectors that are null, of another length or hold a
-    NaN are left out.
+
+def distances(rows: DataFrame, vector: list[float]) -> DataFrame:
+    """rows with dist, the squared distance to `vector`, in place of the embedding; null where it is not usable.
+
+    By Arrow batches: lambda expressions over arrays are interpreted element by element. Select the
+    columns that are needed before.
     """
-    q = F.array(*[F.lit(float(x)) for x in vector])
-    return drawers.where(vx.usable("embedding", len(vector))).withColumn("dist", F.round(vx.l2_squared("embedding", q), DIGITS))
+    q = np.array(vector, dtype=np.float64)
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "embedding"] + [T.StructField("dist", T.DoubleType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            d = pd.Series(_squared(pdf["embedding"], q), dtype=object)
+            yield pdf.drop(columns="embedding").assign(dist=d.where(d.notna(), None))
+
+    return rows.mapInPandas(run, schema)
+
+
+def nearest_rows(rows: DataFrame, vector: list[float], keep: int) -> DataFrame:
+    """The keep nearest distinct rows (id, ..., dist) of rows (id, ..., embedding), ties by id: keep rows a task leave it."""
+    q = np.array(vector, dtype=np.float64)
+    names = [c for c in rows.columns if c != "embedding"]
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "embedding"] + [T.StructField("dist", T.DoubleType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            some = pdf[names].assign(dist=_squared(pdf["embedding"], q)).dropna(subset=["dist"])
+            if held is not None:
+                some = pd.concat([held, some])
+            held = some.sort_values(["dist", "id"], kind="stable").drop_duplicates().head(keep)
+        if held is not None:
+            yield held
+
+    return rows.mapInPandas(run, schema).distinct().orderBy("dist", "id").limit(keep)
 
 
 def tagged(tags: DataFrame, wanted: list[str]) -> DataFrame:
@@ -54,25 +94,30 @@ def vector_lane(drawers: DataFrame, vector: list[float], limit: int, wing: str |
     rows = scoped(drawers, wing, room)
     if tag_filter:
         rows = rows.join(tagged(tags, tag_filter), "id", "left_semi")
-    near = canonical(distances(rows, vector)).select("id", "cid", "dist").distinct().orderBy("dist", "id").limit(max(int(limit), 1) * OVERFETCH)
+    near = nearest_rows(canonical(rows).select("id", "cid", "embedding"), vector, max(int(limit), 1) * OVERFETCH)
     best = near.groupBy("cid").agg(F.min(F.struct("dist", "id")).alias("b"))
     # At most limit x 10 rows are ranked in one task.
     return best.select("cid", F.row_number().over(Window.orderBy("b")).alias("rank"))
 
 
-def keyword_lane(drawers: DataFrame, index: bm25.Index, query: str, wing: str | None = None, room: str | None = None, tags: DataFrame | None = None, tag_filter: list[str] | None = None) -> DataFrame:
-    """(cid, rank): all logical drawers with a positive score, scoped after scoring and never cut.
-
-    The rank of a score is the number of better ones, counted per distinct score and summed over
-    buckets of scores, so that no task sorts all hits.
-    """
+def keyword_hits(drawers: DataFrame, index: bm25.Index, query: str, wing: str | None = None, room: str | None = None, tags: DataFrame | None = None, tag_filter: list[str] | None = None) -> DataFrame:
+    """(cid, score): all logical drawers with a positive score, scoped after scoring and never cut."""
     spark = drawers.sparkSession
     hits = bm25.scores(index, spark.createDataFrame([(0, query)], "query_id int, query string")).select("cid", F.round("score", DIGITS).alias("score"))
-    meta = scoped(drawers.where(F.col("parent_drawer_id").isNull()), wing, room).select(F.col("id").alias("cid")).distinct()
+    meta = scoped(drawers.where(F.col("parent_drawer_id").isNull()), wing, room).select(F.col("id").alias("cid"))
     hits = hits.join(meta, "cid", "left_semi")
     if tag_filter:
         hits = hits.join(tagged(tags, tag_filter).withColumnRenamed("id", "cid"), "cid", "left_semi")
-    return ranked(hits)
+    return hits
+
+
+def keyword_lane(drawers: DataFrame, index: bm25.Index, query: str, wing: str | None = None, room: str | None = None, tags: DataFrame | None = None, tag_filter: list[str] | None = None) -> DataFrame:
+    """(cid, rank) of keyword_hits().
+
+    The rank of a score is the number of better ones, counted per distinct score and summed over
+    buckets of scores, so that no task sorts all hits.
+    """
+    return ranked(keyword_hits(drawers, index, query, wing, room, tags, tag_filter))
 
 
 def ranked(hits: DataFrame) -> DataFrame:
@@ -86,55 +131,90 @@ def ranked(hits: DataFrame) -> DataFrame:
     return hits.join(F.broadcast(before.select("b", "before")), "b").select("cid", (F.col("before") + inside).cast("int").alias("rank"))
 
 
-def fuse(lanes: list[DataFrame], limit: int, filed: DataFrame) -> DataFrame:
-    """(cid, score, filed_at): reciprocal rank fusion, newest then id on a tie. filed: (cid, filed_at)."""
-    union = reduce(DataFrame.unionByName, [lane.select("cid", "rank") for lane in lanes])
-    scores = union.groupBy("cid").agg(F.round(F.sum(1.0 / (RRF_K + F.col("rank"))), 12).alias("score"))
-    return scores.join(filed, "cid", "left").orderBy(F.desc("score"), F.desc_nulls_last("filed_at"), "cid").limit(limit)
+def better(hits: DataFrame, some: list[tuple[str, float]]) -> dict[str, int]:
+    """The rank among hits (cid, score) of each of some (cid, score) of them: 1 + the number of better ones, in one pass."""
+    order = sorted((-s, c) for c, s in some)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(order) + 1, dtype=np.int64)
+        for pdf in batches:
+            for c, s in zip(pdf["cid"], pdf["score"]):
+                total[bisect_right(order, (-s, c))] += 1
+        yield pd.DataFrame({"at": np.arange(len(total)), "n": total})
 
+    n = dict(hits.mapInPandas(count, "at int, n bigint").groupBy("at").agg(F.sum("n")).collect())
+    # A hit beats those of `some` that stand at or behind its place; itself not.
+    out, before = {}, 0
+    for at, (_, c) in enumerate(order):
+        before += n.get(at, 0)
+        out[c] = before + 1
+    return out
 
-def hydrate(chosen: DataFrame, drawers: DataFrame, vector: list[float]) -> DataFrame:
-    """(id, wing, room, title, snippet, distance) of chosen (cid, ...), a handful of rows.
+
+def hydrate(ids: list[str], drawers: DataFrame, vector: list[float]) -> DataFrame:
+    """(id, wing, room, title, snippet, distance) of a handful of drawers, in one pass over the table.
 
     distance is the least of all rows of the drawer. Rows with a chunk_index give the snippet: the
     best one and its neighbours by index, joined by a blank line, at most 10000 characters; a
     drawer without gives the first 300 characters of its text.
     """
-    rows = canonical(drawers).join(F.broadcast(chosen.select("cid")), "cid", "left_semi").dropDuplicates(["id"])
-    q = F.array(*[F.lit(float(x)) for x in vector])
-    rows = rows.withColumn("dist", F.when(vx.usable("embedding", len(vector)), F.round(vx.l2_squared("embedding", q), DIGITS)))
-    per = rows.groupBy("cid").agg(
-        F.min("dist").alias("distance"), F.min(F.when(F.col("chunk_index").isNotNull(), F.struct(F.coalesce("dist", F.lit(float("inf"))).alias("d"), "chunk_index")))["chunk_index"].alias("best"),
-    )
-    parts = rows.where("chunk_index is not null").groupBy("cid", "chunk_index").agg(F.max("text").alias("text"))
-    near = parts.join(per.select("cid", "best"), "cid").where("chunk_index between best - 1 and best + 1")
-    stitch = near.groupBy("cid").agg(F.substring(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "\n\n"), 1, STITCH_MAX).alias("stitched"))
-    own = rows.where("id = cid").select("cid", "wing", "room", "title", "text")
-    return own.join(per, "cid").join(stitch, "cid", "left").select(F.col("cid").alias("id"), "wing", "room", "title", F.coalesce("stitched", F.substring("text", 1, SNIPPET)).alias("snippet"), "distance")
+    own = F.col("id").isin(ids) | F.col("parent_drawer_id").isin(ids)
+    rows = canonical(drawers.where(own).select("id", "wing", "room", "title", "text", "embedding", "chunk_index", "parent_drawer_id")).where(F.col("cid").isin(ids))
+    rows = distances(rows.drop("parent_drawer_id").dropDuplicates(["id"]), vector)
+    head = F.when(F.col("id") == F.col("cid"), F.struct("wing", "room", "title", "text"))
+    per = rows.groupBy("cid").agg(F.min("dist").alias("distance"), F.max(head).alias("own"), F.collect_list(F.when(F.col("chunk_index").isNotNull(), F.struct("chunk_index", "dist", "text"))).alias("parts"))
+    snippet = F.coalesce(stitched(F.col("parts")), F.substring("own.text", 1, SNIPPET))
+    return per.where("own is not null").select(F.col("cid").alias("id"), "own.wing", "own.room", "own.title", snippet.alias("snippet"), "distance")
+
+
+def stitched(parts: Column) -> Column:
+    """The chunk of least dist, then index, and those beside it by index, of the chunks (chunk_index, dist, text) of one drawer.
+
+    Joined in order by a blank line and cut at 10000 characters; of rows with one index the greatest
+    text counts; null without chunks. A list of chunks is as long as the drawer's text.
+    """
+    far = F.lit(float("inf"))
+    best = F.array_min(F.transform(parts, lambda x: F.struct(F.coalesce(x["dist"], far).alias("d"), x["chunk_index"].alias("i"))))["i"]
+    near = F.sort_array(F.transform(F.filter(parts, lambda x: x["chunk_index"].between(best - 1, best + 1)), lambda x: F.struct(x["chunk_index"].alias("i"), x["text"].alias("t"))), asc=False)
+    one = F.filter(F.transform(near, lambda x, k: F.struct(x["i"].alias("i"), x["t"].alias("t"), F.when(k > 0, F.get(near, k - 1)["i"]).alias("before"))), lambda x: x["before"].isNull() | (x["before"] != x["i"]))
+    return F.when(F.size(parts) > 0, F.substring(F.array_join(F.transform(F.reverse(one), lambda x: x["t"]), "\n\n"), 1, STITCH_MAX))
 
 
 def hybrid_search(drawers: DataFrame, index: bm25.Index, query: str, vector: list[float], limit: int = 10, wing: str | None = None, room: str | None = None, tags: DataFrame | None = None, tag_filter: list[str] | None = None) -> DataFrame:
-    """The `limit` best drawers for a query text and its vector: both lanes, fused, with snippet and rank."""
+    """The `limit` best drawers for a query text and its vector: both lanes, fused, with snippet, score and rank.
+
+    Only drawers of the vector lane, at most limit x 10, and the first `limit` keyword hits can be
+    among the best: a later hit that the vector lane lacks is behind all earlier ones. So hits are
+    counted, not sorted, for the ranks of the former, and no more than that reaches the driver.
+    Fused scores that tie go to the newest, then to the least id.
+    """
     limit = max(int(limit), 1)
     scope = {"wing": wing, "room": room, "tags": tags, "tag_filter": tag_filter}
-    lanes = [vector_lane(drawers, vector, limit, **scope), keyword_lane(drawers, index, query, **scope)]
-    filed = drawers.where(F.col("parent_drawer_id").isNull()).groupBy(F.col("id").alias("cid")).agg(F.max("filed_at").alias("filed_at"))
-    best = fuse(lanes, limit, filed)
-    # A handful of rows, kept once: both lanes would else run again for every use below.
-    best = checkpointed(best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.desc_nulls_last("filed_at"), "cid"))))
-    return hydrate(best, drawers, vector).join(best.select(F.col("cid").alias("id"), "score", "rank"), "id")
+    near = {r["cid"]: r["rank"] for r in vector_lane(drawers, vector, limit, **scope).collect()}
+    hits = checkpointed(keyword_hits(drawers, index, query, **scope))
+    first = hits.orderBy(F.desc("score"), "cid").limit(limit)
+    shared = hits.where(F.col("cid").isin(list(near)))
+    some = {r["cid"]: r["score"] for r in first.unionByName(shared).collect()}
+    ranks = better(hits, list(some.items())) if some else {}
+    score = {c: round(sum(1.0 / (RRF_K + lane[c]) for lane in (near, ranks) if c in lane), 12) for c in {*near, *ranks}}
+    least = sorted(score.values(), reverse=True)[min(limit, len(score)) - 1] if score else 0.0
+    chosen = [c for c in score if score[c] >= least]
+    filed = dict(drawers.where(F.col("parent_drawer_id").isNull() & F.col("id").isin(chosen)).groupBy("id").agg(F.max("filed_at")).collect()) if chosen else {}
+    age = lambda c: (filed.get(c) is None, -(filed[c] - EPOCH).total_seconds() if filed.get(c) else 0.0)
+    best = sorted(chosen, key=lambda c: (-score[c], *age(c), c))[:limit]
+    order = drawers.sparkSession.createDataFrame([(c, score[c], at + 1) for at, c in enumerate(best)], "id string, score double, rank int")
+    return hydrate(best, drawers, vector).join(F.broadcast(order), "id")
 
 
 def check_duplicate(drawers: DataFrame, vector: list[float], threshold: float = 0.9) -> DataFrame:
     """(id, wing, room, similarity): of the 50 nearest logical rows those similar enough, whatever the scope."""
-    rows = distances(drawers.where(F.col("parent_drawer_id").isNull()), vector).select("id", "wing", "room", "dist").distinct()
-    near = rows.orderBy("dist", "id").limit(DUPLICATE_POOL)
+    near = nearest_rows(drawers.where(F.col("parent_drawer_id").isNull()).select("id", "wing", "room", "embedding"), vector, DUPLICATE_POOL)
     return near.withColumn("similarity", vx.l2_to_cosine("dist")).where(F.col("similarity") >= threshold).drop("dist")
 
 
 def knn_one(base: DataFrame, vector: list[float], k: int) -> DataFrame:
     """(id, dist): the k rows of base (id, embedding) nearest to one vector; one pass, k rows a task reach the driver."""
-    return distances(base, vector).select("id", "dist").orderBy("dist", "id").limit(k)
+    return nearest_rows(base.select("id", "embedding"), vector, k)
 
 
 def knn_batch(base: DataFrame, queries: DataFrame, k: int, at_once: int = 4096) -> DataFrame:

@@ -452,13 +452,13 @@ def bm25_score_sum(spark: SparkSession, root: str) -> DataFrame:
 
 def min_dist_per_doc(spark: SparkSession, root: str) -> DataFrame:
     d = table(spark, root, "drawers")
-    near = search.canonical(search.distances(d, retrieval_plans._probe(d)[1]))
+    near = search.distances(search.canonical(d).select("cid", "embedding"), retrieval_plans._probe(d)[1]).where("dist is not null")
     return near.groupBy("cid").agg(F.round(F.min("dist"), 6).alias("dist"))
 
 
 def best_chunk(spark: SparkSession, root: str) -> DataFrame:
     d = table(spark, root, "drawers")
-    near = search.canonical(search.distances(d, retrieval_plans._probe(d)[1])).where("chunk_index is not null")
+    near = search.distances(search.canonical(d).where("chunk_index is not null").select("cid", "chunk_index", "embedding"), retrieval_plans._probe(d)[1]).where("dist is not null")
     return near.groupBy("cid").agg(F.min(F.struct("dist", "chunk_index"))["chunk_index"].alias("best"))
 
 
@@ -477,7 +477,7 @@ def dup_top50(spark: SparkSession, root: str) -> DataFrame:
 
 def l2_to_cosine(spark: SparkSession, root: str) -> DataFrame:
     d = table(spark, root, "drawers")
-    near = search.distances(d, retrieval_plans._probe(d)[1])
+    near = search.distances(d.select("id", "embedding"), retrieval_plans._probe(d)[1]).where("dist is not null")
     return near.groupBy("id").agg(F.round(F.max(vx.l2_to_cosine("dist")), 6).alias("cosine"))
 
 

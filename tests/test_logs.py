@@ -171,7 +171,7 @@ def test_stitch(spark, best, want):
     rows = [{"id": "p", "text": "whole", "embedding": [0.0, 9.0]}]
     rows += [{"id": f"p{i}", "text": f"m{i}", "chunk_index": i, "parent_drawer_id": "p", "embedding": [1.0, float(abs(i - best))]} for i in range(10)]
     d = stored(spark, rows)
-    got = search.hydrate(spark.createDataFrame([("p",)], "cid string"), d, [1.0, 0.0]).first()
+    got = search.hydrate(["p"], d, [1.0, 0.0]).first()
     assert got.snippet == "\n\n".join(f"m{i}" for i in want) and got.distance == 0.0
 
 
