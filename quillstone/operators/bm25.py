@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillstone.functions.text import expand, index_tokens, tokens
 from quillstone.session import staged
@@ -13,6 +14,8 @@ from quillstone.session import staged
 K1, B, FLOOR = 1.5, 0.75, 0.25
 #: Most rows of query tokens that are broadcast.
 BROADCAST_TOKENS = 100_000
+#: Most rows of query tokens that become literals of a filter.
+PUSHED_TOKENS = 500
 
 
 @dataclass(frozen=True)
@@ -48,7 +51,8 @@ def build(unit_rows: DataFrame, keep: bool = True, clustered: bool = False) -> I
     counted = words.select("unit", "cid", F.explode_outer(expand(F.col("raw"))).alias("token")).groupBy("unit", "cid", "token").agg(F.count("token").cast("double").alias("tf"))
     postings = counted.withColumn("dl", F.sum("tf").over(Window.partitionBy("unit", "cid")))
     if keep:
-        postings = staged(postings, "postings")
+        # Sorted, so that a search for a few tokens skips most of each file.
+        postings = staged(postings.sortWithinPartitions("token"), "postings")
     corpus = postings.select("unit", "dl").distinct().agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
     postings = postings.where("token is not null")
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
@@ -65,14 +69,23 @@ def scores(index: Index, queries: DataFrame) -> DataFrame:
     A token that a query repeats counts again. Scores at or below 0 are no hits.
     """
     q = queries.select("query_id", F.explode(index_tokens("query")).alias("token")).groupBy("query_id", "token").agg(F.count("*").cast("double").alias("qtf"))
-    if q.count() <= BROADCAST_TOKENS:
-        # Few query tokens pick their postings before any shuffle; many are joined by shuffling.
+    few = q.limit(BROADCAST_TOKENS + 1).collect()
+    postings = index.postings
+    if len(few) <= PUSHED_TOKENS:
+        # The tokens of a query or two are literals that the scans of terms and postings can test.
+        wanted = F.col("token").isin(list({r["token"] for r in few}))
+        known = {r["token"]: r for r in index.terms.where(wanted).collect()}
+        rows = [(r["query_id"], r["token"], r["qtf"], known[r["token"]]["idf"], known[r["token"]]["avgdl"]) for r in few if r["token"] in known]
+        kind = T.StructType([*q.schema.fields, *[T.StructField(c, T.DoubleType()) for c in ("idf", "avgdl")]])
+        idf, postings = F.broadcast(q.sparkSession.createDataFrame(rows, kind)), postings.where(wanted)
+    elif len(few) <= BROADCAST_TOKENS:
+        # Some pick their postings before any shuffle; many are joined by shuffling.
         idf = F.broadcast(index.terms.join(F.broadcast(q), "token"))
     else:
         idf = index.terms.join(q, "token")
     term = F.col("qtf") * F.col("idf") * (F.col("tf") * (K1 + 1.0) / (F.col("tf") + K1 * (1.0 - B + B * F.col("dl") / F.col("avgdl"))))
     return (
-        index.postings.join(idf, "token")
+        postings.join(idf, "token")
         .groupBy("query_id", "unit", "cid")
         .agg(F.sum(term).alias("score"))
         .where("score > 0")

@@ -131,6 +131,21 @@ def ranked(hits: DataFrame) -> DataFrame:
     return hits.join(F.broadcast(before.select("b", "before")), "b").select("cid", (F.col("before") + inside).cast("int").alias("rank"))
 
 
+def leading(hits: DataFrame, limit: int, also: set[str]) -> list[tuple[str, float]]:
+    """The `limit` best of hits (cid, score), and those of the cids in `also`: a task sends no more than that."""
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, asked = None, []
+        for pdf in batches:
+            asked.append(pdf[pdf["cid"].isin(also)])
+            held = (pdf if held is None else pd.concat([held, pdf])).sort_values(["score", "cid"], ascending=[False, True]).head(limit)
+        if held is not None:
+            yield pd.concat([held, *asked]).drop_duplicates("cid")
+
+    rows = sorted((-r["score"], r["cid"]) for r in hits.mapInPandas(pick, hits.schema).collect())
+    return [(c, -s) for at, (s, c) in enumerate(rows) if at < limit or c in also]
+
+
 def better(hits: DataFrame, some: list[tuple[str, float]]) -> dict[str, int]:
     """The rank among hits (cid, score) of each of some (cid, score) of them: 1 + the number of better ones, in one pass."""
     order = sorted((-s, c) for c, s in some)
@@ -192,14 +207,13 @@ def hybrid_search(drawers: DataFrame, index: bm25.Index, query: str, vector: lis
     scope = {"wing": wing, "room": room, "tags": tags, "tag_filter": tag_filter}
     near = {r["cid"]: r["rank"] for r in vector_lane(drawers, vector, limit, **scope).collect()}
     hits = checkpointed(keyword_hits(drawers, index, query, **scope))
-    first = hits.orderBy(F.desc("score"), "cid").limit(limit)
-    shared = hits.where(F.col("cid").isin(list(near)))
-    some = {r["cid"]: r["score"] for r in first.unionByName(shared).collect()}
-    ranks = better(hits, list(some.items())) if some else {}
+    some = leading(hits, limit, set(near))
+    ranks = better(hits, some) if some else {}
     score = {c: round(sum(1.0 / (RRF_K + lane[c]) for lane in (near, ranks) if c in lane), 12) for c in {*near, *ranks}}
     least = sorted(score.values(), reverse=True)[min(limit, len(score)) - 1] if score else 0.0
     chosen = [c for c in score if score[c] >= least]
-    filed = dict(drawers.where(F.col("parent_drawer_id").isNull() & F.col("id").isin(chosen)).groupBy("id").agg(F.max("filed_at")).collect()) if chosen else {}
+    tied = [c for c in chosen if sum(score[c] == score[d] for d in chosen) > 1]
+    filed = dict(drawers.where(F.col("parent_drawer_id").isNull() & F.col("id").isin(tied)).groupBy("id").agg(F.max("filed_at")).collect()) if tied else {}
     age = lambda c: (filed.get(c) is None, -(filed[c] - EPOCH).total_seconds() if filed.get(c) else 0.0)
     best = sorted(chosen, key=lambda c: (-score[c], *age(c), c))[:limit]
     order = drawers.sparkSession.createDataFrame([(c, score[c], at + 1) for at, c in enumerate(best)], "id string, score double, rank int")
