@@ -69,24 +69,25 @@ class ItemIndex:
         self.gram = key[order]
         self.gram_item = np.repeat(np.arange(n, dtype=np.int32), length)[order]
         self.gram_at = (np.arange(len(key)) - np.repeat(np.cumsum(length) - length, length)).astype(np.int32)[order]
-        self.lists: dict[int, tuple[list[int], list[float], list[float]]] = {}
-
-    def postings(self, t: int) -> tuple[list[int], list[float], list[float]]:
-        """(items, impacts, maximum of each block) of a word."""
-        found = self.lists.get(t)
-        if found is None:
-            if len(self.lists) > 100_000:
-                self.lists.clear()
-            x = self.impact[self.start[t] : self.start[t + 1]].tolist()
-            found = self.lists[t] = (self.doc[self.start[t] : self.start[t + 1]].tolist(), x, [max(x[i : i + BLOCK]) for i in range(0, len(x), BLOCK)])
-        return found
+        #: Lists of words as they are needed: items, impacts and the maximum of each block.
+        self.docs: dict[int, list[int]] = {}
+        self.impacts: dict[int, list[float]] = {}
+        self.block_most: dict[int, list[float]] = {}
+
+    def _load(self, t: int) -> None:
+        x = self.impacts[t] = self.impact[self.start[t] : self.start[t + 1]].tolist()
+        self.block_most[t] = [max(x[i : i + BLOCK]) for i in range(0, len(x), BLOCK)]
+        self.docs[t] = self.doc[self.start[t] : self.start[t + 1]].tolist()
 
     def above(self, terms: list[int], floor: float = 1 - 1e-9) -> list[int]:
         """Positions of all items whose score against the set of terms reaches floor."""
-        most, end = self.most, len(self.ids)
-        docs, impacts, blocks = {}, {}, {}
+        docs, impacts, most, blocks = self.docs, self.impacts, self.most, self.block_most
+        end = len(self.ids)
+        if len(docs) > 200_000:
+            docs.clear()
         for t in terms:
-            docs[t], impacts[t], blocks[t] = self.postings(t)
+            if t and t not in docs:
+                self._load(t)
         cursors = [[docs[t][0], 0, t] for t in terms if t]
         found = []
         while cursors:
