@@ -119,9 +119,41 @@ def evidence_reference(reason: Column, least: int = 200) -> Column:
     return F.coalesce(sha | reason.rlike(r"drawer_[a-z0-9_-]+_[0-9a-f]{24}") | (F.length(reason) >= least), F.lit(False))
 
 
-def path_class(path: Column) -> Column:
-    """test, source or other; documentation is other, tests win over sources."""
-    docs = path.rlike(r"\.(md|rst|txt|adoc)$|(^|/)docs/")
-    test = path.rlike(r"(^|/)(tests?|__tests__|spec)/|(^|/)test_[^/]*$|[._](test|spec)\.[a-z]+$|(^|/)conftest\.py$")
-    source = path.rlike(r"\.(py|sh|bash|js|jsx|ts|tsx|go|rs|java|rb|c|cc|cpp|h|sql|scala|kt)$")
-    return F.when(docs, "other").when(test, "test").when(source, "source").otherwise("other")
+# The globs of paths, in which * stands for any characters, by what they are and by runtime.
+NEITHER = ("*.md", "*.json", "*/docs/*", "docs/*")
+TESTS = ("*/tests/*", "tests/*", "*/test/*", "test/*", "*/spec/*", "spec/*", "*/__tests__/*", "__tests__/*", "*.test.sh", "*_test.sh", "*.bats")
+SOURCES = ("*.sh", "*.bash", "*/scripts/*", "scripts/*")
+RUNTIMES = {
+    "python": (("test_*.py", "*/test_*.py", "*_test.py", "conftest.py", "*/conftest.py"), ("*.py",)),
+    "bash": ((), ("*/hooks/*.sh", "hooks/*.sh", "*/lib/*.sh", "lib/*.sh")),
+    "go": (("*_test.go",), ("*.go",)),
+    "node": (("*.test.*", "*.spec.*"), ("*.js", "*.jsx", "*.mjs", "*.cjs", "*.ts", "*.tsx")),
+    "ruby": (("*_test.rb", "*_spec.rb"), ("*.rb",)),
+    "rust": (("*_test.rs",), ("*.rs",)),
+    "": (
+        ("test_*.py", "*/test_*.py", "conftest.py", "*/conftest.py", "*_test.*", "*.test.*", "*_spec.*", "*.spec.*"),
+        ("*.py", "*.go", "*.js", "*.jsx", "*.mjs", "*.cjs", "*.ts", "*.tsx", "*.rb", "*.rs", "*/hooks/*.sh", "hooks/*.sh", "*/lib/*.sh", "lib/*.sh"),
+    ),
+}
+# Commands that act on what all share, a verb after any options.
+VERBS = ("git merge", "git push", "bd dolt push", "bd close", "bd update")
+
+
+def _any_glob(globs: tuple[str, ...]) -> str:
+    return "(?s)^(?:" + "|".join(re.escape(g).replace(r"\*", ".*") for g in globs) + ")$"
+
+
+def central_verb(command: Column) -> Column:
+    """The first of VERBS that a command line holds, after a separator or blank and with options between; null without."""
+    pattern = lambda v: r"(^|[;&|\s])" + re.sub(r"^(\S+) ", r"\1\\s+(--?\\S+\\s+)*", v, count=1).replace("dolt push", r"dolt\s+push") + r"(\s|$)"
+    return F.coalesce(*[F.when(command.rlike(pattern(v)), F.lit(v)) for v in VERBS])
+
+
+def path_class(path: Column, runtime: str = "") -> Column:
+    """test, source or other, by what holds for any project and for the runtime ('' or an unknown one: all).
+
+    Documentation is other whatever else holds; tests win over sources.
+    """
+    tests, sources = RUNTIMES.get(runtime, RUNTIMES[""])
+    hit = lambda globs: path.rlike(_any_glob(globs))
+    return F.when(hit(NEITHER), "other").when(hit(TESTS + tests), "test").when(hit(SOURCES + sources), "source").otherwise("other")

@@ -335,13 +335,13 @@ class Memory:
         time = lambda c: files.normalize_time(F.col(c).cast("string"))
         rows = rows.withColumn("confidence", F.coalesce("confidence", F.lit(1.0)).cast("float")).withColumn("current", F.coalesce("current", F.lit(True)))
         rows = rows.withColumn("valid_from", time("valid_from")).withColumn("valid_to", time("valid_to")).withColumn("created_at", F.coalesce(time("created_at"), self._now()))
-        rows = st.latest(rows, ["id"], [F.desc("created_at"), F.desc("object")]).select(*[c.split()[0] for c in TRIPLES.split(", ")])
+        rows = st.latest(rows, ["id"], [F.desc("created_at"), F.desc("object"), F.desc_nulls_last("valid_from"), F.desc("confidence")]).select(*[c.split()[0] for c in TRIPLES.split(", ")])
         rows = staged(rows, "loaded")
         self._change("kg_triples", lambda base: st.upsert(base, rows, ["id"]), rows)
 
     def rechunk(self) -> dict:
         """Plan all logical drawers anew under their ids; the numbers of sources and of rows."""
-        d = census.logical(self.table("drawers"))
+        d = census.logical(self.table("drawers")).withColumn("chunk_index", F.lit(None).cast("int"))
         long_ = d.where(F.length("text") > tx.CHUNK)
         child = long_.select(F.col("id").alias("parent_drawer_id"), "wing", "room", "title", "source_file", "added_by", "filed_at", F.explode(tx.chunks("text")).alias("c"))
         child = child.select(tx.chunk_id("parent_drawer_id", F.col("c.chunk_index")).alias("id"), "wing", "room", "title", F.col("c.text").alias("text"), "filed_at", "source_file", "c.chunk_index", "parent_drawer_id", "added_by")

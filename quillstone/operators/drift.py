@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,6 +116,31 @@ def abandoned(worktrees: DataFrame, live: DataFrame, issues: DataFrame) -> DataF
     return joined.where(dead | (F.coalesce("status", F.lit("")) == "closed")).select("path", dead.alias("dead"), (F.coalesce("status", F.lit("")) == "closed").alias("closed"))
 
 
+def named_set(items: DataFrame, prefix: str, text: str = "text") -> DataFrame:
+    """Items whose text names a tool of a project: its prefix as a word of its own before `-name`, its hooks or its scripts."""
+    p = re.escape(prefix)
+    return items.where(F.col(text).rlike(rf"(^|[^a-zA-Z0-9_]){p}-[a-z0-9]+|hooks/|scripts/{p}-"))
+
+
+def active(documents: DataFrame, tags: DataFrame, marker: str, soundness: str, status: str, tag: str, sound: str = "green", running: str = "active") -> DataFrame:
+    """(id, kind): design documents with an open marker or a soundness that is stated and not `sound`; tagged ones of status `running`.
+
+    documents: (id, text); tags: (id, tag). marker is a pattern, soundness and status are patterns with one group.
+    """
+    value = lambda pattern: F.nullif(F.regexp_extract("text", pattern, 1), F.lit(""))
+    design = documents.where(F.col("text").rlike(marker) | (F.coalesce(value(soundness), F.lit(sound)) != sound)).select("id", F.lit("design").alias("kind"))
+    found = documents.join(tags.where(F.col("tag") == tag).select("id"), "id", "left_semi").where(F.lower(value(status)) == running)
+    return design.unionByName(found.select("id", F.lit("exploration").alias("kind"))).distinct()
+
+
+def older_by(newest: DataFrame, stamped: DataFrame, key: str, days: int = 7) -> DataFrame:
+    """(key, age_days): keys whose `newest` (key, at) is more than `days` whole days after their stamp (key, at)."""
+    s = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
+    a = newest.groupBy(key).agg(F.max("at").alias("new"))
+    b = stamped.groupBy(key).agg(F.max("at").alias("old"))
+    return a.join(b, key).select(key, F.floor((s("new") - s("old")) / 86400).alias("age_days")).where(F.col("age_days") > days)
+
+
 def first_present(**choices: Column) -> tuple[Column, Column]:
     """(value, its name) of the first choice that is neither null nor ''."""
     value, name = F.lit(None).cast("string"), F.lit(None).cast("string")

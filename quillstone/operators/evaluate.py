@@ -27,6 +27,12 @@ def metrics(rankings: DataFrame, k: int = 10) -> DataFrame:
     return both.groupBy("kind").agg(F.count("*").alias("n"), F.avg("r").alias("recall"), F.avg("m").alias("mrr"))
 
 
+def gate(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(kind, accepted) of two metrics(): recall strictly up and MRR not down, per kind and for all."""
+    b = before.select("kind", F.col("recall").alias("_r"), F.col("mrr").alias("_m"))
+    return after.join(b, "kind").select("kind", ((F.col("recall") > F.col("_r")) & (F.col("mrr") >= F.col("_m"))).alias("accepted"))
+
+
 def accepted(before: tuple[float, float], after: tuple[float, float]) -> bool:
     """(recall, mrr): recall strictly up and MRR not down."""
     return after[0] > before[0] and after[1] >= before[1]

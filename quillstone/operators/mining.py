@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +57,57 @@ def too_many_failures(processed: Column, failed: Column) -> Column:
     return (processed >= 4) & (failed * 100 > processed * 25)
 
 
+def retried(call: Callable, waits: Sequence[float] = (30, 60, 120, 240), warm_up: float = 8, sleep: Callable[[float], None] = time.sleep) -> Callable:
+    """call, tried again after an error: first after warm_up seconds, then after each of waits; the last error is raised."""
+
+    def run(*args):
+        for wait in (warm_up, *waits):
+            try:
+                return call(*args)
+            except Exception:  # noqa: BLE001
+                sleep(wait)
+        return call(*args)
+
+    return run
+
+
+def salient(units: DataFrame, judge: Callable[[list[str]], list[bool]], text: str = "body", pause: Callable | None = None) -> DataFrame:
+    """The units that judge keeps: one call per Arrow batch of texts, tried again by `pause` (retried() by default)."""
+    ask = (pause or retried)(judge)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pdf[list(map(bool, ask([t or "" for t in pdf[text]])))]
+
+    return units.mapInPandas(run, units.schema)
+
+
+@dataclass(frozen=True)
+class Mined:
+    """drafts (id, title, cluster, source), their triples, clusters of at least two, and the mark for the next run."""
+
+    drafts: DataFrame
+    triples: DataFrame
+    clusters: DataFrame
+    mark: object
+
+
+def mine(units: DataFrame, score: Column, cluster: Column, judge: Callable[[list[str]], list[bool]], source: str, mark=None, cap: int | None = None, least: int = 2) -> Mined:
+    """units (id, subject, body, files) beyond the mark: scored, capped in order of id if asked, judged, drafted and clustered.
+
+    The new mark is the greatest id looked at, whether or not anything came of it.
+    """
+    fresh = units if mark is None else units.where(F.col("id") > F.lit(mark))
+    top = fresh.agg(F.max("id")).first()[0]
+    kept = surviving(fresh, score, least)
+    if cap is not None:
+        kept = kept.orderBy("id").limit(cap)
+    kept = salient(kept, judge)
+    drafts = kept.select(F.col("id").cast("string").alias("id"), F.col("subject").alias("title"), cluster.alias("cluster"), F.lit(source).alias("source"))
+    return Mined(drafts, draft_triples(drafts), clusters(drafts, F.col("cluster"), 2), mark if top is None else top)
+
+
 def draft_triples(drafts: DataFrame) -> DataFrame:
     """Three facts per draft (id, title, cluster, source)."""
     fact = lambda p, o: F.struct(F.col("id").alias("subject"), F.lit(p).alias("predicate"), F.col(o).cast("string").alias("object"))

@@ -120,15 +120,30 @@ def keyword_lane(drawers: DataFrame, index: bm25.Index, query: str, wing: str |
     return ranked(keyword_hits(drawers, index, query, wing, room, tags, tag_filter))
 
 
-def ranked(hits: DataFrame) -> DataFrame:
-    """(cid, rank) by descending score, then cid: offsets of score buckets plus a rank inside the bucket."""
+def ranked(hits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, cid, rank) by descending score, then cid: offsets of score buckets plus a rank inside the bucket."""
     bucket = F.floor(F.col("score") * 8).cast("int")
     hits = hits.withColumn("b", bucket)
     # One row per bucket of an eighth of a score: few, whatever the number of hits.
-    sizes = hits.groupBy("b").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("score"), "cid"))
-    return hits.join(F.broadcast(before.select("b", "before")), "b").select("cid", (F.col("before") + inside).cast("int").alias("rank"))
+    sizes = hits.groupBy(*by, "b").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = before.select(*by, "b", "before")
+    inside = F.row_number().over(Window.partitionBy(*by, "b").orderBy(F.desc("score"), "cid"))
+    return hits.join(before if by else F.broadcast(before), [*by, "b"]).select(*by, "cid", (F.col("before") + inside).cast("int").alias("rank"))
+
+
+def hybrid_batch(drawers: DataFrame, index: bm25.Index, queries: DataFrame, limit: int = 10) -> DataFrame:
+    """(query_id, cid, score, rank): the fused lanes of hybrid_search() for many queries (query_id, query, embedding), without snippets."""
+    rows = canonical(drawers).select(F.concat_ws("\x1f", "id", "cid").alias("id"), "embedding").dropDuplicates(["id"])
+    near = knn_batch(rows, queries, limit * OVERFETCH).select("query_id", F.substring_index("id", "\x1f", -1).alias("cid"), F.struct("dist", "id").alias("at"))
+    best = near.groupBy("query_id", "cid").agg(F.min("at").alias("at"))
+    lane = best.select("query_id", "cid", F.row_number().over(Window.partitionBy("query_id").orderBy("at")).alias("rank"))
+    hits = bm25.scores(index, queries.select("query_id", "query")).select("query_id", "cid", F.round("score", DIGITS).alias("score"))
+    hits = checkpointed(hits.join(drawers.where(F.col("parent_drawer_id").isNull()).select(F.col("id").alias("cid")), "cid", "left_semi"))
+    fused = lane.unionByName(ranked(hits, ("query_id",))).groupBy("query_id", "cid").agg(F.round(F.sum(1.0 / (RRF_K + F.col("rank"))), 12).alias("score"))
+    filed = drawers.where(F.col("parent_drawer_id").isNull()).groupBy(F.col("id").alias("cid")).agg(F.max("filed_at").alias("filed_at"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc_nulls_last("filed_at"), "cid")
+    return fused.join(filed, "cid", "left").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "cid", "score", "rank")
 
 
 def leading(hits: DataFrame, limit: int, also: set[str]) -> list[tuple[str, float]]:

@@ -42,6 +42,11 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
 
 
+def insert(base: DataFrame, new: DataFrame) -> DataFrame:
+    """base with the rows of new behind it, whether their keys are there or not; columns that new lacks are null."""
+    return base.unionByName(new, allowMissingColumns=True)
+
+
 def upsert(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """base with the rows of new in place of those with equal keys; new has one row per key."""
     return base.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)

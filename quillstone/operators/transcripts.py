@@ -61,6 +61,20 @@ def events(parsed: DataFrame) -> DataFrame:
     return rows.withColumn("text", F.regexp_replace("text", "[\t\n\r]", " "))
 
 
+def kept_events(event_rows: DataFrame) -> DataFrame:
+    """Events that count, with real (a turn a user wrote) and g, the number of real turns before, which a new turn resets all by."""
+    kept = event_rows.where("not side and (role = 'assistant' or (role = 'user' and text <> ''))")
+    real = (F.col("role") == "user") & ~F.col("text").startswith("<") & ~F.col("text").startswith("[Request interrupted")
+    return kept.withColumn("real", real).withColumn("g", F.coalesce(F.sum(F.col("real").cast("int")).over(_file_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+
+def turn_rings(kept: DataFrame) -> DataFrame:
+    """(file_name, g, ring): the last five assistant texts since the turn before, as the next turn finds them."""
+    inside = Window.partitionBy("file_name", "g").orderBy("line_no", "record_id")
+    talk = kept.where("role = 'assistant'").withColumn("ring", F.collect_list("text").over(inside.rowsBetween(-4, 0)))
+    return talk.withColumn("_r", F.row_number().over(Window.partitionBy("file_name", "g").orderBy(F.desc("line_no"), F.desc("record_id")))).where("_r = 1").select("file_name", "g", "ring")
+
+
 def signals(event_rows: DataFrame, abandon_turns: int = ABANDON_TURNS) -> DataFrame:
     """(record_id, file_name, signal_class, upgrade_weight, excerpt): user turns that show a struggle.
 
@@ -68,17 +82,13 @@ def signals(event_rows: DataFrame, abandon_turns: int = ABANDON_TURNS) -> DataFr
     weight is 1 if the event kept next is an assistant's that admits it.
     """
     w = _file_order()
-    user, assistant = F.col("role") == "user", F.col("role") == "assistant"
-    kept = event_rows.where("not side and (role = 'assistant' or (role = 'user' and text <> ''))")
-    real = user & ~F.col("text").startswith("<") & ~F.col("text").startswith("[Request interrupted")
-    kept = kept.withColumn("real", real).withColumn("g", F.coalesce(F.sum(F.col("real").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    assistant = F.col("role") == "assistant"
+    kept = kept_events(event_rows)
     kept = kept.withColumn("tools", F.count_if(assistant & (F.col("n_tool") > 0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     kept = kept.withColumn("admits", F.coalesce(F.lead(assistant & F.col("text").rlike(UPGRADE)).over(w), F.lit(False)))
     inside = Window.partitionBy("file_name", "g").orderBy("line_no", "record_id")
     kept = kept.withColumn("consec", F.count_if(assistant).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    talk = kept.where(assistant).withColumn("ring", F.collect_list("text").over(inside.rowsBetween(-4, 0)))
-    last = talk.withColumn("_r", F.row_number().over(Window.partitionBy("file_name", "g").orderBy(F.desc("line_no"), F.desc("record_id")))).where("_r = 1").select("file_name", "g", "ring")
-    turns = kept.where("real").join(last, ["file_name", "g"], "left")
+    turns = kept.where("real").join(turn_rings(kept), ["file_name", "g"], "left")
     low, words = F.lower("text"), word_set("text")
     distance = 1.0 - jaccard(words, word_set(F.array_join(F.coalesce("ring", F.array().cast("array<string>")), " ")), 1.0)
     cls = (

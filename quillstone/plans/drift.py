@@ -13,11 +13,6 @@ from quillstone.operators import drift, nested, transcripts
 from quillstone.sources.tables import table, texts
 
 
-def path_classes(spark: SparkSession, root: str) -> DataFrame:
-    p = texts(spark, root, "documents").select(F.explode(tx.extract_paths("text")).alias("path"))
-    return p.groupBy(shell.path_class(F.col("path")).alias("class")).agg(F.count("*").alias("n"), F.countDistinct("path").alias("n_paths"))
-
-
 def doc_citations(spark: SparkSession, root: str) -> DataFrame:
     """Drawers (by id, or by slug), issues and files that texts cite and that the store does not know.
 
@@ -64,12 +59,6 @@ def upstream_pairs(spark: SparkSession, root: str) -> DataFrame:
     return drift.related(items, docs, keys, F.filter(tx.word_set("text"), lambda w: F.length(w) >= 6))
 
 
-def merged_not_closed(spark: SparkSession, root: str) -> DataFrame:
-    """Subjects of current status facts that a document's first line names."""
-    facts = table(spark, root, "kg_triples").where("subject like 'issue:%'").select(F.substring("subject", 7, 200).alias("id")).distinct().withColumn("status", F.lit("open"))
-    return drift.merged_but_open(texts(spark, root, "documents").select(tx.derive_title("text").alias("t")), facts, F.array_union(tx.any_id_scan("t"), F.regexp_extract_all("t", F.lit("[a-z]+-[0-9]{8}"), F.lit(0)))).select("id")
-
-
 def close_ids(spark: SparkSession, root: str) -> DataFrame:
     """Sub-commands of the transcripts' shell calls, as lexed: how many hold a search."""
     c = transcripts.top_blocks(nested.parse_lines(texts(spark, root, "agent_records"))).where("command <> ''")
@@ -118,7 +107,7 @@ def stamp_vs_current(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        path_classes, doc_citations, doc_cardinality, drift_set, item_decision, upstream_pairs, merged_not_closed, close_ids, deny_search,
+        doc_citations, doc_cardinality, drift_set, item_decision, upstream_pairs, close_ids, deny_search,
         wing_resolution, label_union, partition_wild, set_operations, stamp_vs_current,
     )
 }
@@ -131,11 +120,6 @@ _WORDS6 = """list_distinct(list_filter(regexp_split_to_array(regexp_replace(lowe
 _KEYS = f"""list_distinct(list_concat(regexp_extract_all("text", '{_IDS}', 1), regexp_extract_all("text", '{_PATH}')))"""
 
 SQL = {
-    "path_classes": f"""with p as (select unnest(list_distinct(regexp_extract_all("text", '{_PATH}'))) path from documents),
-c as (select path, case when regexp_matches(path, '\\.(md|rst|txt|adoc)$|(^|/)docs/') then 'other'
-  when regexp_matches(path, '(^|/)(tests?|__tests__|spec)/|(^|/)test_[^/]*$|[._](test|spec)\\.[a-z]+$|(^|/)conftest\\.py$') then 'test'
-  when regexp_matches(path, '\\.(py|sh|bash|js|jsx|ts|tsx|go|rs|java|rb|c|cc|cpp|h|sql|scala|kt)$') then 'source' else 'other' end "class" from p)
-select "class", count(*) n, count(distinct path) n_paths from c group by 1""",
     "doc_citations": """select doc_id, id from (select doc_id, unnest(list_distinct(regexp_extract_all("text", 'drawer_[a-z0-9_-]+_[0-9a-f]{24}'))) id from documents) where id not in (select id from drawers)""",
     "doc_cardinality": """select source, count(*) n, count(*) filter (n_chars <> length("text")) n_wrong from documents where n_chars is not null and "text" is not null group by 1""",
     "drift_set": f"""with a as (select {_TITLE} k, min(sha256("text")) a from documents group by 1), b as (select title k, min(sha256("text")) b from drawers where parent_drawer_id is null and title <> '' group by 1)
@@ -144,12 +128,9 @@ select case when a is null then 'FAIL source missing' when b is null then 'DRIFT
     "upstream_pairs": f"""with i as (select item_id, "text" from eval_items), d as (select doc_id, "text" from documents),
 ik as (select distinct item_id, unnest({_KEYS}) k from i), dk as (select distinct doc_id, unnest({_KEYS}) k from d),
 iw as (select distinct item_id, unnest({_WORDS6}) k from i), dw as (select distinct doc_id, unnest({_WORDS6}) k from d),
-rare as (select k from dw group by k having count(*) <= 5),
 s as (select distinct item_id, doc_id from ik join dk using (k) where item_id <> doc_id),
-w as (select distinct item_id, doc_id from iw join dw using (k) join rare using (k) where item_id <> doc_id)
+w as (select distinct item_id, doc_id from iw join dw using (k) where item_id <> doc_id)
 select item_id open_id, doc_id closed_id, 'strong' strength from s union all select item_id, doc_id, 'weak' from w where (item_id, doc_id) not in (select (item_id, doc_id) from s)""",
-    "merged_not_closed": f"""with n as (select unnest(list_concat(regexp_extract_all(t, '{_IDS}', 1), regexp_extract_all(t, '[a-z]+-[0-9]{{8}}'))) id from (select {_TITLE} t from documents))
-select distinct substr(subject, 7, 200) id from kg_triples where subject like 'issue:%' and substr(subject, 7, 200) in (select id from n)""",
     "deny_search": "select distinct id from kg_triples where regexp_matches(object, predicate)",
     "wing_resolution": """select doc_id, coalesce(nullif(wing, ''), nullif(source, ''), 'unfiled') wing, case when coalesce(wing, '') <> '' then 'wing' when coalesce(source, '') <> '' then 'source' else 'default' end taken_from from documents""",
     "label_union": r"""select doc_id from doc_labels where category <> 'none' union select doc_id from documents where regexp_matches("text", '(?i)\bfail(ed|ure)?\b')""",

@@ -106,11 +106,6 @@ def pr_score(spark: SparkSession, root: str) -> DataFrame:
     return u.select("doc_id", mining.pull_score(title="subject").alias("score"))
 
 
-def history_mine(spark: SparkSession, root: str) -> DataFrame:
-    """Surviving units by cluster, clusters of at least two."""
-    return mining.clusters(mining.surviving(_units(spark, root), mining.commit_score()), tx.cluster_key("files"))
-
-
 def manifest_triples(spark: SparkSession, root: str) -> DataFrame:
     u = mining.surviving(_units(spark, root), mining.commit_score())
     drafts = u.select(F.col("doc_id").cast("string").alias("id"), F.col("subject").alias("title"), tx.cluster_key("files").alias("cluster"), F.lit("documents").alias("source"))
@@ -122,7 +117,7 @@ QUERIES = {
     for f in (
         scan_transcript_lines, tolerant_event_filter, struggle_signals, stage_spend, spend_total, context_tier, tier_escalations,
         tool_result_pair, result_text, last_bash_latch, final_report, commands, claim_provenance, evidence_slots, fence_state,
-        commit_score, pr_score, history_mine, manifest_triples,
+        commit_score, pr_score, manifest_triples,
     )
 }
 
@@ -201,7 +196,6 @@ select doc_id, count(*) filter (not fence and n % 2 = 1)::int inside, count(*) f
     "commit_score": f"with {_UNIT} select doc_id, score from cs",
     "pr_score": f"""with {_UNIT} select doc_id, (doc_id % 2 = 0)::int + (strlen(body) >= 60)::int + 2 + regexp_matches(body, '(?im){mining.CLOSES}')::int + regexp_matches(files, '(?im){mining.DECISION_FILES}')::int
   + regexp_matches(subject || chr(10) || body, '(?im){mining.RATIONALE}|adopt')::int score from cs""",
-    "history_mine": f'with {_UNIT} select cluster_ "cluster", count(*) n from cs where score >= 2 group by 1 having count(*) >= 2',
     "manifest_triples": f"""with {_UNIT} select doc_id::varchar subject, 'has_title' predicate, subject object from cs where score >= 2 union all
 select doc_id::varchar, 'in_cluster', cluster_ from cs where score >= 2 union all select doc_id::varchar, 'mined_from', 'documents' from cs where score >= 2""",
 }

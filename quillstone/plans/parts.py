@@ -92,52 +92,6 @@ def validate_jsonl(spark: SparkSession, root: str) -> DataFrame:
 # --- the store -------------------------------------------------------------------------------------
 
 
-def get_drawer(spark: SparkSession, root: str) -> DataFrame:
-    d = table(spark, root, "drawers")
-    least = d.agg(F.min("id").alias("id"))
-    return d.join(F.broadcast(least), "id", "left_semi").drop("embedding")
-
-
-def row_insert(spark: SparkSession, root: str) -> DataFrame:
-    """Facts with a new fact per subject appended."""
-    t = table(spark, root, "kg_triples").select("id", "subject", "predicate", "object", "current")
-    new = t.select("subject").distinct().select(F.concat(F.lit("triple_"), F.substring(F.sha2("subject", 256), 1, 16)).alias("id"), "subject", F.lit("seen_in").alias("predicate"), F.lit("store").alias("object"), F.lit(True).alias("current"))
-    return t.unionByName(new).groupBy("predicate").agg(F.count("*").alias("n"), F.count_if("current").alias("n_current"))
-
-
-def update_drawer(spark: SparkSession, root: str) -> DataFrame:
-    """Rows after giving every logical drawer its text twice over under its old id."""
-    d = census.logical(table(spark, root, "drawers")).select("id", F.concat("text", "text").alias("text")).distinct()
-    child = tx.exploded_chunks(d).select("id", F.md5("text").alias("text_md5"), "chunk_index", F.col("parent_id").alias("parent_drawer_id"))
-    return d.select("id", F.md5("text").alias("text_md5"), F.lit(None).cast("int").alias("chunk_index"), F.lit(None).cast("string").alias("parent_drawer_id")).unionByName(child)
-
-
-def rechunk(spark: SparkSession, root: str) -> DataFrame:
-    d = census.logical(table(spark, root, "drawers")).select("id", "text").distinct()
-    child = tx.exploded_chunks(d)
-    return d.select(F.col("id").alias("parent_id"), "id", F.lit(None).cast("int").alias("chunk_index"), F.length("text").alias("n_chars")).unionByName(child.select("parent_id", "id", "chunk_index", F.length("text").alias("n_chars")))
-
-
-def migrate_kg(spark: SparkSession, root: str) -> DataFrame:
-    """Facts as exported and loaded again: defaults filled, one row per id."""
-    t = table(spark, root, "kg_triples")
-    out = t.select("id", "subject", "predicate", "object", "confidence", "current", *[F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss").alias(c) for c in ("valid_from", "valid_to", "created_at")])
-    rows = files.facts(spark, _file(out.select(F.to_json(F.struct("*")).alias("value"))))
-    time = files.normalize_time
-    rows = rows.select("id", "subject", "predicate", "object", F.coalesce("confidence", F.lit(1.0)).cast("double").alias("confidence"), F.coalesce("current", F.lit(True)).alias("current"), time("valid_from").alias("valid_from"), time("created_at").alias("created_at"))
-    one = store.latest(rows, ["id"], [F.desc_nulls_last("created_at"), F.desc_nulls_last("object"), F.desc_nulls_last("valid_from"), F.desc("confidence")])
-    return one.withColumn("confidence", F.round("confidence", 4))
-
-
-def migrate_drawers(spark: SparkSession, root: str) -> DataFrame:
-    """Drawers as exported without titles: derived again, missing times filled, one row per id."""
-    d = table(spark, root, "drawers")
-    out = d.select("id", "wing", "room", "text", tx.iso("filed_at").alias("filed_at"))
-    rows = files.drawers(spark, _file(out.select(F.to_json(F.struct("*")).alias("value"))))
-    rows = rows.select("id", tx.derive_title("text").alias("title"), F.coalesce(files.normalize_time("filed_at"), F.lit(NOW).cast("timestamp_ntz")).alias("filed_at"))
-    return rows.groupBy("id").agg(F.max("title").alias("title"), F.max("filed_at").alias("filed_at"))
-
-
 def upsert_anti(spark: SparkSession, root: str) -> DataFrame:
     """Drawers after an upsert of all logical ones under room 'moved'."""
     d = table(spark, root, "drawers").select("id", "room").groupBy("id").agg(F.min("room").alias("room"))
@@ -145,27 +99,6 @@ def upsert_anti(spark: SparkSession, root: str) -> DataFrame:
     return store.upsert(d, new, ["id"]).groupBy("room").agg(F.count("*").alias("n"))
 
 
-def delete_tunnel(spark: SparkSession, root: str) -> DataFrame:
-    t = table(spark, root, "tunnels")
-    return t.join(F.broadcast(t.agg(F.min("id").alias("id"))), "id", "left_anti").select("id").distinct()
-
-
-def diary_write(spark: SparkSession, root: str) -> DataFrame:
-    d = texts(spark, root, "documents").where("lang is not null and text is not null")
-    return d.select("doc_id", tx.drawer_id(F.concat(F.lit("wing_"), "lang"), F.lit("diary"), "text").alias("drawer_id"))
-
-
-def stamp_write(spark: SparkSession, root: str) -> DataFrame:
-    """Per wing the last filing seen and the last one of a logical drawer."""
-    d = table(spark, root, "drawers")
-    return d.groupBy("wing").agg(F.max("filed_at").alias("checked"), F.max(F.when(F.col("parent_drawer_id").isNull(), F.col("filed_at"))).alias("synced"))
-
-
-def exists_probe(spark: SparkSession, root: str) -> DataFrame:
-    hit = table(spark, root, "drawers").where((F.col("wing") == WING) & (F.col("room") == ROOM)).select("id").limit(1)
-    return hit.agg((F.count("*") > 0).alias("found"))
-
-
 def chunk_id(spark: SparkSession, root: str) -> DataFrame:
     d = table(spark, root, "drawers").where("chunk_index is not null and parent_drawer_id <> ''")
     return d.select("id", tx.chunk_id("parent_drawer_id", "chunk_index").alias("chunk_id")).distinct()
@@ -187,10 +120,6 @@ def fact_shape(spark: SparkSession, root: str) -> DataFrame:
     return graph.facts_about(t, "project:loomcraft", "outgoing", "2024-06-01 00:00:00").withColumn("valid_from", tx.iso("valid_from")).withColumn("valid_to", tx.iso("valid_to"))
 
 
-def label_regex_filter(spark: SparkSession, root: str) -> DataFrame:
-    return texts(spark, root, "documents").where(F.col("text").rlike(r"(?i)\b(broker|mutex|watermark)\b")).select("doc_id")
-
-
 def preview_lookup(spark: SparkSession, root: str) -> DataFrame:
     t = table(spark, root, "tunnels").select("id", "target_drawer_id").distinct()
     d = table(spark, root, "drawers").groupBy(F.col("id").alias("target_drawer_id")).agg(F.min(F.substring("text", 1, 300)).alias("p"))
@@ -219,25 +148,6 @@ def wings_split(spark: SparkSession, root: str) -> DataFrame:
     return joined.select("room", F.explode(F.split("wings", ",")).alias("wing"))
 
 
-def page_total(spark: SparkSession, root: str) -> DataFrame:
-    d = census.logical(table(spark, root, "drawers")).where(F.col("wing") == WING).select("id").distinct()
-    return d.crossJoin(F.broadcast(d.agg(F.count("*").alias("total"))))
-
-
-def active_cycles(spark: SparkSession, root: str) -> DataFrame:
-    """Logical drawers with an open question that have a tag."""
-    d = census.logical(table(spark, root, "drawers")).where(F.col("text").rlike("(?i)open question"))
-    return d.join(table(spark, root, "drawer_tags").select(F.col("drawer_id").alias("id")), "id", "left_semi").select("id", "wing").distinct()
-
-
-def prior_art(spark: SparkSession, root: str) -> DataFrame:
-    """What is known about one project: facts, drawers by title and diary entries."""
-    d = census.logical(table(spark, root, "drawers"))
-    f = table(spark, root, "kg_triples").where("subject = 'project:loomcraft' and current").select(F.lit("fact").alias("kind"), "id")
-    t = d.where(F.lower("title").contains("loomcraft")).select(F.lit("drawer").alias("kind"), "id")
-    return f.unionByName(t).unionByName(d.where("room = 'diary' and wing = 'loomcraft'").select(F.lit("diary").alias("kind"), "id")).distinct()
-
-
 # --- scalars ---------------------------------------------------------------------------------------
 
 
@@ -287,12 +197,6 @@ def id_chip(spark: SparkSession, root: str) -> DataFrame:
     return ids.select("id", F.regexp_replace("id", "^[a-z0-9_]+-", "").alias("chip"))
 
 
-def command_match(spark: SparkSession, root: str) -> DataFrame:
-    c = transcripts.top_blocks(nested.parse_lines(texts(spark, root, "agent_records"))).where("command <> ''").select("record_id", "i", "command")
-    verb = F.when(F.col("command").rlike(r"(^|[;&|]\s*)git\s+(commit|push|merge)\b"), "git").when(F.col("command").rlike(r"\b(sed|grep|jq|wc|cat|diff)\b"), "read").otherwise("other")
-    return c.select("record_id", "i", verb.alias("verb"))
-
-
 def normalize_dt(spark: SparkSession, root: str) -> DataFrame:
     t = table(spark, root, "kg_triples").select("id", tx.iso("valid_from").alias("x")).distinct()
     return t.select("id", files.normalize_time("x").alias("valid_from"))
@@ -313,11 +217,6 @@ def path_sets(spark: SparkSession, root: str) -> DataFrame:
     return d.select("doc_id", F.size(F.array_intersect("a", "b")).alias("common"), F.size(F.array_union("a", "b")).alias("all_"))
 
 
-def state_get(spark: SparkSession, root: str) -> DataFrame:
-    p = nested.parse_lines(texts(spark, root, "agent_records"))
-    return p.selectExpr("record_id", "coalesce(try_variant_get(doc, '$.sessionId', 'string'), '') as session_id")
-
-
 def content_text(spark: SparkSession, root: str) -> DataFrame:
     return transcripts.events(nested.parse_lines(texts(spark, root, "agent_records"))).select("record_id", "text")
 
@@ -356,13 +255,6 @@ def tool_calls_running(spark: SparkSession, root: str) -> DataFrame:
     return _kept(spark, root).select("record_id", F.count_if((F.col("role") == "assistant") & (F.col("n_tool") > 0)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("tools"))
 
 
-def ring5(spark: SparkSession, root: str) -> DataFrame:
-    """The last five assistant texts before each event since the last resetting turn."""
-    w = Window.partitionBy(*_IN_GROUP).orderBy("line_no", "record_id")
-    k = _kept(spark, root).where("role = 'assistant'")
-    return k.select("record_id", F.md5(F.array_join(F.collect_list("text").over(w.rowsBetween(-5, -1)), " ")).alias("ring_md5"))
-
-
 def next_turn_upgrade(spark: SparkSession, root: str) -> DataFrame:
     w = Window.partitionBy("file_name").orderBy("line_no", "record_id")
     k = _kept(spark, root).withColumn("next", F.lead("role").over(w))
@@ -393,38 +285,12 @@ def newest_source(spark: SparkSession, root: str) -> DataFrame:
     return d.groupBy("wing").agg(F.max(F.struct("filed_at", "source_file"))["source_file"].alias("source_file"))
 
 
-def since_synced(spark: SparkSession, root: str) -> DataFrame:
-    """Wings whose newest drawer is over seven days older than the newest of all."""
-    d = table(spark, root, "drawers").groupBy("wing").agg(F.max("filed_at").alias("last"))
-    s = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
-    every = d.agg(F.max("last").alias("top"))
-    return d.crossJoin(F.broadcast(every)).select("wing", F.floor((s("top") - s("last")) / 86400).alias("age_days")).where("age_days > 7")
-
-
-def orphan_total(spark: SparkSession, root: str) -> DataFrame:
-    return problem_plans.p1_counts(spark, root).agg(F.sum("n_refs").alias("n"))
-
-
-def orphan_escalation(spark: SparkSession, root: str) -> DataFrame:
-    """Months with more references without record than the month before."""
-    c = problem_plans.p1_counts(spark, root).where("month <> ''").groupBy("month").agg(F.sum("n_refs").alias("n"))
-    # One row a month: the window is small whatever the number of references.
-    return c.withColumn("before", F.coalesce(F.lag("n").over(Window.orderBy("month")), F.lit(0))).where("n > before and n > 0").select("month", "n")
-
-
 def hit_counts(spark: SparkSession, root: str) -> DataFrame:
     p = nested.parse_lines(texts(spark, root, "agent_records"))
     hits = log_plans.struggle_signals(spark, root).agg(F.count("*").alias("hits"), F.countDistinct("file_name").alias("files_hit"))
     return hits.crossJoin(F.broadcast(p.agg(F.countDistinct("file_name").alias("scanned"))))
 
 
-def neighbour_stitch(spark: SparkSession, root: str) -> DataFrame:
-    """Chunks 1, 2 and 3 of each parent, by value of the index, joined by a blank line and cut."""
-    d = table(spark, root, "drawers").where("parent_drawer_id <> '' and chunk_index between 1 and 3 and text is not null").groupBy("parent_drawer_id", "chunk_index").agg(F.min("text").alias("text"))
-    s = d.groupBy("parent_drawer_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "text"))).alias("c"))
-    return s.select("parent_drawer_id", F.md5(F.substring(F.array_join("c.text", "\n\n"), 1, search.STITCH_MAX)).alias("stitched_md5"))
-
-
 # --- retrieval parts -------------------------------------------------------------------------------
 
 
@@ -444,12 +310,6 @@ def avgdl(spark: SparkSession, root: str) -> DataFrame:
     return bm25.build(_docs(spark, root)).terms.agg(F.round(F.max("avgdl"), 6).alias("avgdl"))
 
 
-def bm25_score_sum(spark: SparkSession, root: str) -> DataFrame:
-    """Scores of all documents for the first evaluation text."""
-    q = table(spark, root, "eval_items").orderBy("item_id").limit(1).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return bm25.scores(bm25.build(_docs(spark, root)), q).select(F.col("cid").alias("doc_id"), F.round("score", 6).alias("score"))
-
-
 def min_dist_per_doc(spark: SparkSession, root: str) -> DataFrame:
     d = table(spark, root, "drawers")
     near = search.distances(search.canonical(d).select("cid", "embedding"), retrieval_plans._probe(d)[1]).where("dist is not null")
@@ -491,25 +351,17 @@ def reciprocal_rank(spark: SparkSession, root: str) -> DataFrame:
     return r.groupBy("kind").agg(F.round(F.sum(evaluate.reciprocal_rank(F.col("found"), F.col("relevant"))), 6).alias("rr_sum"))
 
 
-def before_after(spark: SparkSession, root: str) -> DataFrame:
-    """Metrics at five and at ten of one ranking, and whether ten would be accepted over five."""
-    r = retrieval_plans._rankings(spark, root)
-    at = lambda k: evaluate.metrics(r, k).where("kind = 'all'").select(F.col("recall").alias(f"recall_{k}"), F.col("mrr").alias(f"mrr_{k}"))
-    both = at(5).crossJoin(at(10))
-    return both.select(F.round("recall_5", 6).alias("before"), F.round("recall_10", 6).alias("after"), ((F.col("recall_10") > F.col("recall_5")) & (F.col("mrr_10") >= F.col("mrr_5"))).alias("accepted"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         scan_jsonl, scan_corpus, scan_ground_truth, scan_protected, scan_git_log, scan_pr_list, scan_ready_issues, scan_frontmatter, validate_jsonl,
-        get_drawer, row_insert, update_drawer, rechunk, migrate_kg, migrate_drawers, upsert_anti, delete_tunnel, diary_write, stamp_write, exists_probe,
-        chunk_id, preview_200, snippet_300, fact_shape, label_regex_filter, preview_lookup, self_wing_hop, files_overlap, kg_both, wings_split,
-        page_total, active_cycles, prior_art, truncate_entry, json_escape, failure_regex, test_path, norm_path, is_path, pr_url, repo_slug, id_chip,
-        command_match, normalize_dt, recency_key, token_sets, path_sets, state_get, content_text, tool_count, nested_explode, consec_assistant,
-        tool_calls_running, ring5, next_turn_upgrade, header_lookback, longest_first, max_units, newest_source, since_synced, orphan_total,
-        orphan_escalation, hit_counts, neighbour_stitch, bm25_df, idf, avgdl, bm25_score_sum, min_dist_per_doc, best_chunk, rrf_sum, dup_top50,
-        l2_to_cosine, recall_at_k, reciprocal_rank, before_after,
+        upsert_anti, 
+        chunk_id, preview_200, snippet_300, fact_shape, preview_lookup, self_wing_hop, files_overlap, kg_both, wings_split,
+        truncate_entry, json_escape, failure_regex, test_path, norm_path, is_path, pr_url, repo_slug, id_chip,
+        normalize_dt, recency_key, token_sets, path_sets, content_text, tool_count, nested_explode, consec_assistant,
+        tool_calls_running, next_turn_upgrade, header_lookback, longest_first, max_units, newest_source, 
+        hit_counts, bm25_df, idf, avgdl, min_dist_per_doc, best_chunk, rrf_sum, dup_top50,
+        l2_to_cosine, recall_at_k, reciprocal_rank, 
     )
 }
 
@@ -536,39 +388,18 @@ union select drawer_id from drawer_deletions where drawer_id is not null union s
     "scan_ready_issues": "select item_id::varchar id, kind deps from eval_items",
     "scan_frontmatter": """select doc_id, nullif(wing, '') wing from documents where "text" is not null""",
     "validate_jsonl": """select file_name, count(*) n, count(*) filter (not case when json_valid(raw) then json_type(raw::json) = 'OBJECT' else false end) n_bad from agent_records where trim(raw) <> '' group by 1""",
-    "get_drawer": "select * exclude (embedding) from drawers where id = (select min(id) from drawers)",
-    "row_insert": """select predicate, count(*) n, count(*) filter ("current") n_current from (select predicate, "current" from kg_triples union all select 'seen_in', true from (select distinct subject from kg_triples)) group by 1""",
-    "update_drawer": """with d as (select distinct id, "text" || "text" t from drawers where parent_drawer_id is null)
-select id, md5(t) text_md5, null::int chunk_index, null::varchar parent_drawer_id from d union all
-select id || '_chunk_' || lpad(i::varchar, 6, '0'), md5(substr(t, (i * 800 + 1)::bigint, 800)), i::int, id from (select id, t, unnest(range(0, ceil(length(t) / 800.0)::bigint)) i from d where length(t) > 800)""",
-    "rechunk": """with d as (select distinct id, "text" t from drawers where parent_drawer_id is null)
-select id parent_id, id, null::int chunk_index, length(t)::int n_chars from d union all
-select id, id || '_chunk_' || lpad(i::varchar, 6, '0'), i::int, length(substr(t, (i * 800 + 1)::bigint, 800))::int from (select id, t, unnest(range(0, ceil(length(t) / 800.0)::bigint)) i from d where length(t) > 800)""",
-    "migrate_kg": """select id, subject, predicate, object, round(coalesce(confidence, 1.0)::double, 4) confidence, coalesce("current", true) "current", valid_from, created_at from kg_triples
-qualify row_number() over (partition by id order by created_at desc nulls last, object desc nulls last, valid_from desc nulls last, coalesce(confidence, 1.0) desc) = 1""",
-    "migrate_drawers": f"select id, max({_TITLE}) title, max(coalesce(filed_at, timestamp '{NOW}')) filed_at from drawers group by id",
     "upsert_anti": """with l as (select distinct id from drawers where parent_drawer_id is null), a as (select id, min(room) room from drawers group by id)
 select room, count(*) n from (select room from a where id not in (select id from l) union all select 'moved' from l) group by 1""",
-    "delete_tunnel": "select distinct id from tunnels where id <> (select min(id) from tunnels)",
-    "diary_write": """select doc_id, 'drawer_wing_' || lang || '_diary_' || substr(sha256(length('wing_' || lang) || ':wing_' || lang || '5:diary' || length("text") || ':' || "text"), 1, 24) drawer_id
-from documents where lang is not null and "text" is not null""",
-    "stamp_write": "select wing, max(filed_at) checked, max(filed_at) filter (parent_drawer_id is null) synced from drawers group by 1",
-    "exists_probe": f"select count(*) > 0 found from drawers where wing = '{WING}' and room = '{ROOM}'",
     "chunk_id": "select distinct id, parent_drawer_id || '_chunk_' || lpad(chunk_index::varchar, 6, '0') chunk_id from drawers where chunk_index is not null and parent_drawer_id <> ''",
     "preview_200": 'select doc_id, substr("text", 1, 200) preview from documents',
     "snippet_300": 'select doc_id, substr("text", 1, 300) snippet from documents',
     "fact_shape": """select 'outgoing' direction, id, subject, predicate, object, round(confidence::double, 4) confidence, strftime(valid_from, '%Y-%m-%dT%H:%M:%S') valid_from, strftime(valid_to, '%Y-%m-%dT%H:%M:%S') valid_to, "current"
 from kg_triples where subject = 'project:loomcraft' and (valid_from is null or valid_from <= timestamp '2024-06-01') and (valid_to is null or valid_to > timestamp '2024-06-01')""",
-    "label_regex_filter": r"""select doc_id from documents where regexp_matches("text", '(?i)\b(broker|mutex|watermark)\b')""",
     "preview_lookup": """with t as (select distinct id, target_drawer_id d from tunnels) select t.id, coalesce(p, '') preview from t left join (select id, min(substr("text", 1, 300)) p from drawers group by id) x on x.id = t.d""",
     "self_wing_hop": "select distinct x.room a, y.room b from drawers x join drawers y on x.wing = y.wing and x.room < y.room",
     "files_overlap": f"""with p as (select doc_id, unnest({_PATHS.format('"text"')}) p from documents) select distinct x.doc_id a, y.doc_id b from p x join p y on x.p = y.p and x.doc_id < y.doc_id""",
     "kg_both": "select e entity, count(*) n from (select subject e from kg_triples union all select object from kg_triples) group by 1",
     "wings_split": "select distinct room, wing from drawers where wing is not null and room in (select room from drawers group by room having count(distinct wing) >= 2)",
-    "page_total": f"with d as (select distinct id from drawers where parent_drawer_id is null and wing = '{WING}') select id, (select count(*) from d) total from d",
-    "active_cycles": """select distinct id, wing from drawers where parent_drawer_id is null and regexp_matches("text", '(?i)open question') and id in (select drawer_id from drawer_tags)""",
-    "prior_art": """select 'fact' kind, id from kg_triples where subject = 'project:loomcraft' and "current" union select 'drawer', id from drawers where parent_drawer_id is null and contains(lower(title), 'loomcraft')
-union select 'diary', id from drawers where parent_drawer_id is null and room = 'diary' and wing = 'loomcraft'""",
     "truncate_entry": r"""select doc_id, case when length(b) > 200 then substr(b, 1, 200) || '...' else b end entry from (select doc_id, regexp_replace("text", '[\t-\r ]+$', '') b from documents)""",
     "json_escape": r"""select doc_id, md5(replace(replace(replace(replace(replace("text", '\', '\\'), '"', '\"'), chr(9), '\t'), chr(10), '\n'), chr(13), '')) escaped_md5 from documents""",
     "failure_regex": f"""select doc_id from documents where regexp_matches("text", '{transcripts.FAILURE}')""",
@@ -581,22 +412,18 @@ select raw from n where p <> '' and not regexp_matches(p, '[\t-\r ]') and not st
     "pr_url": """select doc_id, case when wing is null then null else 'https://github.com/org/' || wing || '/pull/' || doc_id end url from documents""",
     "repo_slug": "select distinct wing, 'org/' || wing slug from drawers where wing is not null",
     "id_chip": f"""select id, regexp_replace(id, '^[a-z0-9_]+-', '') chip from (select distinct unnest(regexp_extract_all("text", '{scalar_plans._IDS}', 1)) id from documents)""",
-    "command_match": rf"""with {log_plans._TB} select record_id, i, case when regexp_matches(cmd, '(^|[;&|]\s*)git\s+(commit|push|merge)\b') then 'git' when regexp_matches(cmd, '\b(sed|grep|jq|wc|cat|diff)\b') then 'read' else 'other' end verb from tb where cmd <> ''""",
     "normalize_dt": "select distinct id, valid_from from kg_triples",
     "recency_key": "select id, min(coalesce(-epoch(filed_at), 'inf'::double)) key from drawers group by id",
     "token_sets": f"""with t as (select doc_id, {log_plans._WORDS.format(_TITLE)} a, {log_plans._WORDS.format('"text"')} b from documents where "text" is not null)
 select doc_id, len(list_intersect(a, b))::int common, len(list_distinct(list_concat(a, b)))::int all_ from t""",
     "path_sets": f"""with t as (select doc_id, {_PATHS.format(_TITLE)} a, {_PATHS.format('"text"')} b from documents where "text" is not null)
 select doc_id, len(list_intersect(a, b))::int common, len(list_distinct(list_concat(a, b)))::int all_ from t""",
-    "state_get": f"with {log_plans._OK} select record_id, coalesce(j->>'$.sessionId', '') session_id from ok",
     "content_text": f'with {log_plans._EVENTS} select record_id, "text" from ev',
     "tool_count": f"with {log_plans._EVENTS} select record_id, n_tool from ev where n_tool > 0",
     "nested_explode": f"""with {log_plans._OK}, {log_plans._ITEMS}, t as (select record_id, i::int i, b->'$.input.todos' c from it where json_type(b->'$.input.todos') = 'ARRAY'),
 u as (select record_id, i, (n - 1)::int k, json_extract(c, '$[' || (n - 1)::varchar || ']') x from (select record_id, i, c, unnest(range(1, json_array_length(c)::bigint + 1)) n from t)) select record_id, i, k, coalesce(x->>'$.status', '') status from u""",
     "consec_assistant": f"""with {_KEPT} select record_id, count(*) filter ("role" = 'assistant') over (partition by file_name, g order by line_no, record_id rows between unbounded preceding and current row) consec from kg""",
     "tool_calls_running": f"""with {_KEPT} select record_id, count(*) filter ("role" = 'assistant' and n_tool > 0) over (partition by file_name order by line_no, record_id rows between unbounded preceding and current row) tools from kg""",
-    "ring5": f"""with {_KEPT}, a as (select * from kg where "role" = 'assistant')
-select record_id, md5(coalesce(array_to_string(list("text") over (partition by file_name, g order by line_no, record_id rows between 5 preceding and 1 preceding), ' '), '')) ring_md5 from a""",
     "next_turn_upgrade": f"""with {_KEPT}, n as (select *, lead("role") over (partition by file_name order by line_no, record_id) nx from kg) select record_id, coalesce(nx = 'assistant', false) answered from n where "role" = 'user'""",
     "header_lookback": r"""with l as (select doc_id, generate_subscripts(a, 1) - 1 i, unnest(a) x from (select doc_id, string_split("text", chr(10)) a from documents where "text" is not null)),
 f as (select *, regexp_matches(x, '^[\t-\r ]*\[') s from l),
@@ -605,16 +432,10 @@ select doc_id, i::int "at", above::int above from w where s""",
     "longest_first": """with d as (select distinct id, wing, room, length("text") n from drawers where parent_drawer_id is null) select id, row_number() over (partition by wing, room order by n desc, id)::int "rank" from d""",
     "max_units": f"with {log_plans._UNIT} select doc_id, score from cs where score >= 2 order by doc_id limit 30",
     "newest_source": "select wing, arg_max(source_file, (filed_at, source_file)) source_file from drawers where source_file is not null and filed_at is not null group by 1",
-    "since_synced": """with d as (select wing, max(filed_at) l from drawers group by 1), a as (select wing, floor((epoch((select max(l) from d))::bigint - epoch(l)::bigint) / 86400.0)::bigint age_days from d) select * from a where age_days > 7""",
-    "orphan_total": f"select sum(n_refs)::bigint n from ({_COUNTS})",
-    "orphan_escalation": f"""with c as (select "month", sum(n_refs)::bigint n from ({_COUNTS}) where "month" <> '' group by 1), l as (select *, coalesce(lag(n) over (order by "month"), 0) b from c) select "month", n from l where n > b and n > 0""",
     "hit_counts": f"""select count(*) hits, count(distinct file_name) files_hit, (select count(distinct file_name) from agent_records where json_valid(raw) and case when json_valid(raw) then json_type(raw::json) = 'OBJECT' else false end) scanned from ({log_plans.SQL["struggle_signals"].replace("select record_id, file_name, cls", "select record_id, file_name, cls", 1)})""",
-    "neighbour_stitch": """select parent_drawer_id, md5(substr(string_agg(t, chr(10) || chr(10) order by chunk_index), 1, 10000)) stitched_md5
-from (select parent_drawer_id, chunk_index, min("text") t from drawers where parent_drawer_id <> '' and chunk_index between 1 and 3 and "text" is not null group by 1, 2) group by 1""",
     "bm25_df": f"with {_DOCS} select t token, df::bigint df from term",
     "idf": f"with {_DOCS} select t token, round(idf, 6) idf from term",
     "avgdl": f"with {_DOCS} select round(max(avgdl), 6) avgdl from term",
-    "bm25_score_sum": f"with {_DOCS} select cid doc_id, round(s, 6) score from score",
     "min_dist_per_doc": f"with {_PROBE} select {_CID} cid, round(min({_D2P}), 6) dist from drawers, probe where {_USABLE} group by 1",
     "best_chunk": f"with {_PROBE}, d as (select {_CID} cid, chunk_index, {_D2P} dist from drawers, probe where {_USABLE} and chunk_index is not null) select cid, min_by(chunk_index, (dist, chunk_index)) best from d group by 1",
     "rrf_sum": f"""with {_PROBE}, {retrieval_plans._KEY}, {retrieval_plans._klane()}, {retrieval_plans._vlane()} select cid, round(sum(1.0::double / (60 + "rank")), 9) score from (select * from vlane union all select * from klane) group by cid""",
@@ -623,6 +444,4 @@ from (select parent_drawer_id, chunk_index, min("text") t from drawers where par
     "recall_at_k": f"""with {_RANK}, s as (select rel.query_id, any_value(kind)::varchar kind, count(f.id) filter (p <= 5) c, count(*) n from rel left join f using (query_id, id) group by 1)
 select kind, round(sum(c / n), 6) recall_sum, sum(c)::bigint n_common from s group by 1""",
     "reciprocal_rank": f"""with {_RANK}, s as (select rel.query_id, any_value(kind)::varchar kind, coalesce(1.0::double / min(p), 0) m from rel left join f using (query_id, id) group by 1) select kind, round(sum(m), 6) rr_sum from s group by 1""",
-    "before_after": f"""with {_RANK}, s as (select rel.query_id, count(f.id) filter (p <= 5) / count(*) a, count(f.id) filter (p <= 10) / count(*) b from rel left join f using (query_id, id) group by 1)
-select round(avg(a), 6) "before", round(avg(b), 6) "after", avg(b) > avg(a) accepted from s""",
 }

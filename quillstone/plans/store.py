@@ -145,11 +145,6 @@ def list_tags(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "drawer_tags").select("drawer_id", "tag").distinct().groupBy("tag").agg(F.count("*").alias("n"))
 
 
-def tag_drawer(spark: SparkSession, root: str) -> DataFrame:
-    """Set semantics on the pair: the first time stays."""
-    return table(spark, root, "drawer_tags").groupBy("drawer_id", "tag").agg(F.min("created_at").alias("created_at"))
-
-
 def untag_drawer(spark: SparkSession, root: str) -> DataFrame:
     gone = table(spark, root, "drawer_deletions").select("drawer_id")
     return table(spark, root, "drawer_tags").select("drawer_id", "tag").distinct().join(gone, "drawer_id", "left_anti").groupBy("tag").agg(F.count("*").alias("n"))
@@ -205,17 +200,6 @@ def row_upsert(spark: SparkSession, root: str) -> DataFrame:
     return latest(table(spark, root, "drawers"), ["id"], [F.desc_nulls_last("filed_at"), F.asc_nulls_last("added_by"), F.asc_nulls_last("source_file")]).select("id", "filed_at", "added_by")
 
 
-def create_tunnel(spark: SparkSession, root: str) -> DataFrame:
-    """Symmetric upsert: the latest orientation wins, the first time stays; both ends must hold drawers."""
-    t = table(spark, root, "tunnels")
-    tid = tx.tunnel_id("source_wing", "source_room", "target_wing", "target_room")
-    ends = table(spark, root, "drawers").select("wing", "room").distinct()
-    side = lambda s: ends.select(F.col("wing").alias(f"{s}_wing"), F.col("room").alias(f"{s}_room"))
-    t = t.join(side("source"), ["source_wing", "source_room"], "left_semi").join(side("target"), ["target_wing", "target_room"], "left_semi").withColumn("tunnel_id", tid)
-    last = F.max(F.struct("created_at", "id", "source_wing", "source_room", "target_wing", "target_room"))
-    return t.groupBy("tunnel_id").agg(last.alias("l"), F.min("created_at").alias("created_at")).select("tunnel_id", "l.source_wing", "l.source_room", "l.target_wing", "l.target_room", "created_at")
-
-
 def dead_ids(spark: SparkSession, root: str) -> DataFrame:
     """Issue ids cited in documents that no drawer title leads with."""
     cited = texts(spark, root, "documents").select(F.explode(tx.any_id_scan("text")).alias("issue_id")).distinct()
@@ -223,15 +207,6 @@ def dead_ids(spark: SparkSession, root: str) -> DataFrame:
     return cited.join(known, "issue_id", "left_anti")
 
 
-def template_drift(spark: SparkSession, root: str) -> DataFrame:
-    """Documents against drawers by title: absent, differs or same text, counted."""
-    one = lambda df, t: df.groupBy("k").agg(F.min(F.md5("text")).alias(t))
-    docs = one(texts(spark, root, "documents").select(tx.derive_title("text").alias("k"), "text"), "a")
-    drawers = one(census.logical(table(spark, root, "drawers")).select(F.coalesce(F.nullif("title", F.lit("")), tx.derive_title("text")).alias("k"), "text"), "b")
-    state = F.when(F.col("b").isNull(), "absent").when(F.col("a").isNull(), "unlisted").when(F.col("a") == F.col("b"), "same").otherwise("differs")
-    return docs.join(drawers, "k", "full").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
-
-
 def catalogue_drift(spark: SparkSession, root: str) -> DataFrame:
     """Predicates listed against predicates used: missing, single or duplicate uses."""
     used = table(spark, root, "kg_triples").groupBy("predicate").agg(F.count("*").alias("n"))
@@ -313,12 +288,6 @@ def escalation_only(spark: SparkSession, root: str) -> DataFrame:
     return e.withColumn("before", F.coalesce(F.lag("tier").over(w), F.lit(0))).where("tier > before").select("event_id", "user_id", "tier")
 
 
-def state_merge(spark: SparkSession, root: str) -> DataFrame:
-    """Last value and counters per user from an event log."""
-    e = table(spark, root, "events")
-    return e.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type"))["event_type"].alias("last_type"), F.count("*").alias("n"), F.count_if(F.col("event_type") == "click").alias("clicks"), F.max("ts").alias("stamped"))
-
-
 def hourly_counts(spark: SparkSession, root: str) -> DataFrame:
     e = table(spark, root, "events")
     return e.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "event_type").agg(F.count("*").alias("n"))
@@ -340,23 +309,16 @@ def eav_pivot(spark: SparkSession, root: str) -> DataFrame:
     return wide
 
 
-def canonical_export(spark: SparkSession, root: str) -> DataFrame:
-    """Rank of each fact in the canonical order: single-valued ones as stored, then the rest by byte order."""
-    t = table(spark, root, "kg_triples").join(F.broadcast(table(spark, root, "kg_predicates")), "predicate")
-    key = F.when(F.col("single_valued"), F.concat(F.lit("0"), "id")).otherwise(F.concat(F.lit("1"), "subject", F.lit("\x1f"), "predicate", F.lit("\x1f"), "object"))
-    return t.groupBy(key.alias("line")).agg(F.count("*").alias("n"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         scan_logical, scan_candidates, scan_index_corpus, scope_filter, like_ci, wing_denylist, either_side, list_tunnels, temporal_asof,
         current_only, kg_query, kg_query_current, kg_stats, kg_stats_fallback, entity_union, kg_invalidate, status, list_wings, taxonomy,
         taxonomy_nested, top_wings, find_tunnels, find_tunnels_all, tunnel_graph_stats, endpoint_count, list_page, diary_recent,
-        traverse_graph, follow_tunnels, tag_semi, list_tags, tag_drawer, untag_drawer, parents_with_children, parent_semi,
-        reassemble_chunks, delete_by_source, delete_drawer, add_drawer, row_upsert, create_tunnel, dead_ids, template_drift,
+        traverse_graph, follow_tunnels, tag_semi, list_tags, untag_drawer, parents_with_children, parent_semi,
+        reassemble_chunks, delete_by_source, delete_drawer, add_drawer, row_upsert, dead_ids, 
         catalogue_drift, lines_not_listed, dup_triples, latency_stats, fail_fraction, count_jsonl, scan_tail_n, offsets, budget_prefix,
-        first_occurrence, escalation_only, state_merge, hourly_counts, since_last_gap, eav_pivot, canonical_export,
+        first_occurrence, escalation_only, hourly_counts, since_last_gap, eav_pivot, 
     )
 }
 
@@ -411,7 +373,6 @@ select f.id, direction, wing, room, "label", kind, coalesce(t, '') preview from
     "tag_semi": """with t as (select tag from drawer_tags group by tag order by count(*) desc, tag limit 2)
 select distinct id, wing, room from drawers where id in (select drawer_id from drawer_tags where tag in (select tag from t) group by drawer_id having count(distinct tag) = 2)""",
     "list_tags": "select tag, count(distinct drawer_id) n from drawer_tags group by tag",
-    "tag_drawer": "select drawer_id, tag, min(created_at) created_at from drawer_tags group by 1, 2",
     "untag_drawer": "select tag, count(distinct drawer_id) n from drawer_tags where drawer_id not in (select drawer_id from drawer_deletions where drawer_id is not null) group by tag",
     "parents_with_children": "select distinct id from drawers where parent_drawer_id is null and id not in (select parent_drawer_id from drawers where parent_drawer_id <> '')",
     "parent_semi": f"select distinct id, {_CID} cid from drawers where {_CID} in (select id from drawers where parent_drawer_id is null and {_SCOPE})",
@@ -426,16 +387,8 @@ c as (select id, unnest(range(0, ceil(length("text") / 800.0)::bigint)) i, "text
 select distinct id, md5("text") text_md5, md5(case when length("text") > 800 then title else "text" end) embed_md5, null::int chunk_index, null::varchar parent_drawer_id, length("text") > 800 is_parent from p
 union all select distinct id || '_chunk_' || lpad(i::varchar, 6, '0'), md5(substr("text", (i * 800 + 1)::bigint, 800)), md5(substr("text", (i * 800 + 1)::bigint, 800)), i::int, id, false from c""",
     "row_upsert": "select id, filed_at, added_by from drawers qualify row_number() over (partition by id order by filed_at desc nulls last, added_by asc nulls last, source_file asc nulls last) = 1",
-    "create_tunnel": """with t as (select *, source_wing || '/' || source_room a, target_wing || '/' || target_room b from tunnels
-  where (source_wing, source_room) in (select (wing, room) from drawers) and (target_wing, target_room) in (select (wing, room) from drawers)),
-k as (select *, substr(sha256(least(a, b) || '|' || greatest(a, b)), 1, 16) tunnel_id, min(created_at) over (partition by least(a, b), greatest(a, b)) f from t)
-select tunnel_id, source_wing, source_room, target_wing, target_room, f created_at from k
-qualify row_number() over (partition by tunnel_id order by created_at desc nulls last, id desc, source_wing desc, source_room desc) = 1""",
     "dead_ids": rf"""select distinct i issue_id from (select unnest(regexp_extract_all("text", '{_IDS}', 1)) i from documents)
 where i not in (select f from (select {_LEAD} f from drawers) where regexp_matches(f, '^[a-z][a-z0-9]*-[a-z0-9][a-z0-9.]*$'))""",
-    "template_drift": f"""with a as (select {_TITLE} k, min(md5("text")) a from documents group by 1),
-b as (select coalesce(nullif(title, ''), {_TITLE}) k, min(md5("text")) b from drawers where parent_drawer_id is null group by 1)
-select case when b is null then 'absent' when a is null then 'unlisted' when a = b then 'same' else 'differs' end state, count(*) n from a full join b using (k) group by 1""",
     "catalogue_drift": """select predicate, coalesce(n, 0) n, case when coalesce(n, 0) = 0 then 'MISSING' when n > 1 then 'DUPLICATE' else 'OK' end state
 from kg_predicates left join (select predicate, count(*) n from kg_triples group by 1) using (predicate)""",
     "lines_not_listed": "select replace(lower(trim(source)), '-', '_') source from documents where source is not null except select source from mix_targets",
@@ -455,12 +408,9 @@ select wing, id, size from s where r = 1 or size <= 10000""",
 select doc_id, issue_id, (row_number() over (partition by doc_id order by min(i)) - 1)::int "at" from o group by doc_id, issue_id""",
     "escalation_only": """with t as (select event_id, user_id, ts, case when value > 90 then 2 when value > 60 then 1 else 0 end tier from events)
 select event_id, user_id, tier from (select *, coalesce(lag(tier) over (partition by user_id order by ts, event_id), 0) b from t) where tier > b""",
-    "state_merge": """select user_id, arg_max(event_type, (ts, event_id)) last_type, count(*) n, count(*) filter (event_type = 'click') clicks, max(ts) stamped from events group by 1""",
     "hourly_counts": """select date_trunc('hour', ts) "hour", event_type, count(*) n from events group by 1, 2""",
     "since_last_gap": """with g as (select *, epoch(ts)::bigint - lag(epoch(ts)::bigint) over (partition by user_id order by ts, event_id) gap from events),
 s as (select *, max(ts) filter (gap > 10800) over (partition by user_id) since from g)
 select user_id, since, count(*) n from s where ts >= since group by 1, 2""",
     "eav_pivot": "select id, min(wing) wing, min(room) room, min(source_file) source_file from drawers group by id",
-    "canonical_export": """select case when single_valued then '0' || id else '1' || subject || chr(31) || predicate || chr(31) || object end line, count(*) n
-from kg_triples join kg_predicates using (predicate) group by 1""",
 }

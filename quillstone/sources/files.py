@@ -71,6 +71,12 @@ def protected_ids(lines: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.expr(ids)).alias("id")).where("id <> ''").distinct()
 
 
+def in_window(path: Column, modified: Column, days: int, now: str) -> Column:
+    """Whether a file is a *.jsonl directly in its folder and was modified less than `days` whole days before now."""
+    age = F.floor((F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(modified.cast("timestamp"))) / 86400)
+    return path.rlike(r"^[^/]+\.jsonl$") & (age < days)
+
+
 def transcript_lines(spark: SparkSession, path: str, days: int | None = None, now: str | None = None) -> DataFrame:
     """(record_id, file_name, line_no, raw) of the *.jsonl files directly in a folder.
 
@@ -79,8 +85,7 @@ def transcript_lines(spark: SparkSession, path: str, days: int | None = None, no
     """
     files = spark.read.format("text").option("wholetext", True).option("pathGlobFilter", "*.jsonl").load(path).select("value", "_metadata.file_name", "_metadata.file_modification_time")
     if days is not None:
-        age = F.floor((F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("file_modification_time")) / 86400)
-        files = files.where(age < days)
+        files = files.where(in_window(F.col("file_name"), F.col("file_modification_time"), days, now))
     lines = files.select("file_name", F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("at", "raw"))
     return lines.select(F.xxhash64("file_name", "at").alias("record_id"), "file_name", (F.col("at") + 1).alias("line_no"), "raw")
 
@@ -140,13 +145,16 @@ def yaml_scalar(text: str | Column, key: str) -> Column:
     return F.nullif(bare, F.lit(""))
 
 
-def worktrees(lines: DataFrame) -> DataFrame:
-    """(path, head, branch, locked) from a porcelain listing as (line_no, value): the last `worktree` line before owns a line."""
-    w = Window.orderBy("line_no")
+def worktrees(lines: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, path, head, branch, locked) from porcelain listings as (*by, line_no, value): the last `worktree` line before owns a line.
+
+    A listing is that of one checkout, so it is short; by names what tells listings apart.
+    """
+    w = Window.partitionBy(*by).orderBy("line_no")
     word, rest = F.substring_index("value", " ", 1), F.expr("substr(value, instr(value, ' ') + 1)")
     owned = lines.withColumn("path", F.last(F.when(word == "worktree", rest), ignorenulls=True).over(w)).where("path is not null")
     pick = lambda name: F.max(F.when(word == name, rest))
-    return owned.groupBy("path").agg(pick("HEAD").alias("head"), pick("branch").alias("branch"), F.max(F.when(word == "locked", F.when(F.col("value") == "locked", F.lit("")).otherwise(rest))).alias("locked"))
+    return owned.groupBy(*by, "path").agg(pick("HEAD").alias("head"), pick("branch").alias("branch"), F.max(F.when(word == "locked", F.when(F.col("value") == "locked", F.lit("")).otherwise(rest))).alias("locked"))
 
 
 def attributes(entities: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
