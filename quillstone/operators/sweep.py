@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as tx
 from quillstone.functions import vector as vx
-from quillstone.session import checkpointed
+from quillstone.operators.links import components
+from quillstone.session import checkpointed, fresh_folder
 
 BLOCK_ROWS = 2000
 
@@ -85,6 +86,90 @@ def incompatible(items: DataFrame, order: str) -> DataFrame:
     return pairs.union(dep_edges(items, order)).distinct() if "deps" in items.columns else pairs
 
 
+def claims(items: DataFrame, order: str) -> DataFrame:
+    """(id, o, p): what each item (id, order, paths[, deps]) claims: its paths, and every dependency between two items as one more.
+
+    Two items conflict if they claim the same; no pair of them is ever written down.
+    """
+    paths = items.select("id", F.col(order).alias("o"), F.explode(F.array_distinct("paths")).alias("p")).where("p is not null")
+    if "deps" not in items.columns:
+        return paths.distinct()
+    edges = dep_edges(items, order)
+    name = F.concat_ws("\x1f", F.lit(""), F.col("a").cast("string"), F.col("b").cast("string"))
+    ends = edges.select(F.explode(F.array("a", "b")).alias("id"), name.alias("p")).join(items.select("id", F.col(order).alias("o")), "id").select("id", "o", "p")
+    return paths.unionByName(ends).distinct()
+
+
+def _decide(rows: DataFrame, group: str, waves: bool) -> DataFrame:
+    """First-fit waves, or the greedy choice as wave 1 and 0, of each group of claims, in one pass in order over each."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["o", "id"], kind="stable")
+        ids, paths = pdf["id"].to_numpy(), pdf["p"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        # Per path the waves taken, as the bits of a number.
+        taken: dict[str, int] = {}
+        out = np.zeros(len(starts), dtype=np.int64)
+        for n, (s, e) in enumerate(zip(starts, [*starts[1:], len(ids)])):
+            used = 0
+            for p in paths[s:e]:
+                used |= taken.get(p, 0)
+            if not waves and used:
+                continue
+            free = ~used & (used + 1)
+            for p in paths[s:e]:
+                taken[p] = taken.get(p, 0) | free
+            out[n] = free.bit_length()
+        return pd.DataFrame({"id": ids[starts], "wave": out})
+
+    return rows.groupBy(group).applyInPandas(run, f"id {kind}, wave int")
+
+
+def _in_rounds(rows: DataFrame, waves: bool) -> DataFrame:
+    """As _decide() for a group too large for one task: a round settles every item that is the first unsettled one of all it claims."""
+    spark = rows.sparkSession
+    decided = fresh_folder(spark, "decided")
+    kind = f"id {rows.schema['id'].dataType.simpleString()}, wave int"
+    open_ = checkpointed(rows.select("id", "o", "p"))
+    used = spark.createDataFrame([], "p string, w int")
+    while not open_.isEmpty():
+        first = open_.groupBy("p").agg(F.min(F.struct("o", "id")).alias("m"))
+        ready = open_.join(first, "p").groupBy("id").agg(F.bool_and(F.col("m.id") == F.col("id")).alias("r")).where("r").select("id")
+        mine = open_.join(ready, "id", "left_semi")
+        told = mine.join(used, "p", "left").groupBy("id").agg(F.collect_set("w").alias("t"))
+        now = checkpointed(told.select("id", F.array_min(F.array_except(F.sequence(F.lit(1), F.size("t") + 1), "t")).alias("wave")))
+        fresh = open_.join(now, "id").select("p", F.col("wave").alias("w"))
+        if waves:
+            used = checkpointed(used.unionByName(fresh))
+            done = now
+        else:
+            lost = open_.join(fresh.select("p").distinct(), "p", "left_semi").select("id").distinct().join(now, "id", "left_anti")
+            done = checkpointed(now.unionByName(lost.select("id", F.lit(0).alias("wave"))))
+        done.select("id", F.col("wave").cast("int").alias("wave")).write.mode("append").parquet(decided)
+        open_ = checkpointed(open_.join(done, "id", "left_anti"))
+    there = spark.read.schema(kind)
+    return there.parquet(decided) if not rows.isEmpty() else spark.createDataFrame([], kind)
+
+
+def first_fit(claimed: DataFrame, waves: bool = True, most: int = 4_000_000) -> DataFrame:
+    """(id, wave) of the items of claims(): the least wave without an earlier item of the same claim.
+
+    Without waves the greedy choice: 1 if no earlier chosen item claims the same, else 0. Order is o,
+    then id. Connected items are decided together, in order, by one task as long as they make at most
+    `most` claims; a larger component is decided in rounds over all executors, with the same result.
+    """
+    claimed = checkpointed(claimed)
+    if claimed.limit(most + 1).count() <= most:
+        return _decide(claimed.withColumn("g", F.lit(0)), "g", waves)
+    node = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    labels = components(claimed.select(node("i", "id").alias("a"), node("p", "p").alias("b")))
+    rows = claimed.join(labels.withColumnRenamed("node", "n"), node("i", "id") == F.col("n")).select("id", "o", "p", F.col("label").alias("g"))
+    large = checkpointed(rows.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > most).select("g"))
+    small = _decide(rows.join(large, "g", "left_anti"), "g", waves)
+    return small.unionByName(_in_rounds(rows.join(large, "g", "left_semi"), waves))
+
+
 def _close_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     """(a, b, dist): pairs that meet in a block and are within the cosine distance.
 

@@ -119,8 +119,19 @@ _TOKENS = f"list_distinct(regexp_extract_all(lower({{0}}), '{tx.TITLE_TOKEN}'))"
 _WORDS6 = """list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower("text"), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda t: length(t) >= 6))"""
 _KEYS = f"""list_distinct(list_concat(regexp_extract_all("text", '{_IDS}', 1), regexp_extract_all("text", '{_PATH}')))"""
 
+_FIRST_WORD = r"lower(regexp_extract(coalesce(title, ''), '^[# ]*\s*(\S+)', 1))"
+_LEAD = f"case when regexp_matches({_FIRST_WORD}, '^[a-z][a-z0-9]*-[a-z0-9][a-z0-9.]*$') then {_FIRST_WORD} end"
+_SLUG = drift._SLUG
+
 SQL = {
-    "doc_citations": """select doc_id, id from (select doc_id, unnest(list_distinct(regexp_extract_all("text", 'drawer_[a-z0-9_-]+_[0-9a-f]{24}'))) id from documents) where id not in (select id from drawers)""",
+    "doc_citations": rf"""with t as (select doc_id, "text" t from documents where "text" is not null),
+tok as (select doc_id, regexp_replace(regexp_replace(x, '\.+$', ''), '^_(.+)_$', '\1') x from (select doc_id, unnest(regexp_extract_all(t, '(^|[^A-Za-z0-9_./-])([A-Za-z0-9_.-]+/[A-Za-z0-9_./-]+)', 2)) x from t)),
+c as (select doc_id, 'drawer' kind, unnest(regexp_extract_all(t, 'drawer_[a-z0-9_-]+_[0-9a-f]{{24}}')) id from t union select doc_id, 'issue', unnest(regexp_extract_all(t, '{_IDS}', 1)) from t
+  union select doc_id, 'path', x from tok where regexp_matches(x, '[A-Za-z0-9_-]\.[A-Za-z][A-Za-z0-9]*$')
+  union select doc_id, 'slug', trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) from (select doc_id, unnest(regexp_extract_all(t, '{_SLUG}', 1)) x from t)),
+k as (select 'drawer' kind, id from drawers union select 'issue', {_LEAD} from drawers union select 'path', source_file from drawers
+  union select 'slug', trim(regexp_replace(lower(coalesce(x, '')), '[^a-z0-9]+', ' ', 'g')) from (select unnest([id, title, room, concat_ws('/', wing, room)]) x from drawers))
+select c.* from c where not exists (select 1 from k where k.kind = c.kind and k.id = c.id)""",
     "doc_cardinality": """select source, count(*) n, count(*) filter (n_chars <> length("text")) n_wrong from documents where n_chars is not null and "text" is not null group by 1""",
     "drift_set": f"""with a as (select {_TITLE} k, min(sha256("text")) a from documents group by 1), b as (select title k, min(sha256("text")) b from drawers where parent_drawer_id is null and title <> '' group by 1)
 select case when a is null then 'FAIL source missing' when b is null then 'DRIFT absent' when a = b then 'OK' else 'DRIFT differs' end state, count(*) n from a full join b using (k) group by 1""",

@@ -133,8 +133,12 @@ def self_wing_hop(spark: SparkSession, root: str) -> DataFrame:
 
 
 def files_overlap(spark: SparkSession, root: str) -> DataFrame:
+    """Documents that share a path: per path the first of them and each of them."""
     d = texts(spark, root, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("o"), tx.extract_paths("text").alias("paths"))
-    return sweep.path_conflicts(d, "o")
+    c = sweep.claims(d, "o")
+    # Membership: a path with m documents is m rows, not the m * m pairs that it stands for.
+    named = c.groupBy("p").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return c.join(named, "p").select(F.md5("p").alias("path_md5"), "first", "id")
 
 
 def kg_both(spark: SparkSession, root: str) -> DataFrame:
@@ -397,7 +401,8 @@ select room, count(*) n from (select room from a where id not in (select id from
 from kg_triples where subject = 'project:loomcraft' and (valid_from is null or valid_from <= timestamp '2024-06-01') and (valid_to is null or valid_to > timestamp '2024-06-01')""",
     "preview_lookup": """with t as (select distinct id, target_drawer_id d from tunnels) select t.id, coalesce(p, '') preview from t left join (select id, min(substr("text", 1, 300)) p from drawers group by id) x on x.id = t.d""",
     "self_wing_hop": "select distinct x.room a, y.room b from drawers x join drawers y on x.wing = y.wing and x.room < y.room",
-    "files_overlap": f"""with p as (select doc_id, unnest({_PATHS.format('"text"')}) p from documents) select distinct x.doc_id a, y.doc_id b from p x join p y on x.p = y.p and x.doc_id < y.doc_id""",
+    "files_overlap": f"""with p as (select doc_id, unnest({_PATHS.format('"text"')}) p from documents), w as (select *, min(doc_id) over (partition by p) f, count(*) over (partition by p) n from p)
+select md5(p) path_md5, f "first", doc_id id from w where n > 1""",
     "kg_both": "select e entity, count(*) n from (select subject e from kg_triples union all select object from kg_triples) group by 1",
     "wings_split": "select distinct room, wing from drawers where wing is not null and room in (select room from drawers group by room having count(distinct wing) >= 2)",
     "truncate_entry": r"""select doc_id, case when length(b) > 200 then substr(b, 1, 200) || '...' else b end entry from (select doc_id, regexp_replace("text", '[\t-\r ]+$', '') b from documents)""",

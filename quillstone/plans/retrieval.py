@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as tx
 from quillstone.functions import vector as vx
 from quillstone.operators import bm25, evaluate, search, sweep
+from quillstone.plans import scalars as scalar_plans
 from quillstone.sources.tables import table, texts
 
 WING = "harbor_atlas"
@@ -117,14 +118,14 @@ def _with_paths(spark: SparkSession, root: str) -> DataFrame:
 def wave_schedule(spark: SparkSession, root: str) -> DataFrame:
     """First-fit groups of the documents that name a path, none in common, in order of id."""
     items = _with_paths(spark, root).where("size(paths) > 0")
-    return sweep.waves(items, sweep.incompatible(items, "o"))
+    return sweep.first_fit(sweep.claims(items, "o"))
 
 
 def seam_scan(spark: SparkSession, root: str) -> DataFrame:
     """Documents that share no path with an earlier chosen one, greedily in order of id; those without a path always."""
     items = _with_paths(spark, root)
-    state = sweep.greedy(sweep.path_conflicts(items, "o"))
-    return items.join(state.where("not kept"), "id", "left_anti").select("id")
+    state = sweep.first_fit(sweep.claims(items, "o"), waves=False)
+    return items.join(state.where("wave = 0"), "id", "left_anti").select("id")
 
 
 QUERIES = {
@@ -191,10 +192,39 @@ own as (select cid, wing, room, title, "text" from rws where id = cid)"""
 _TOPTAG = "(select tag from drawer_tags group by tag order by count(*) desc, tag limit 1)"
 _TAGGED = f"id in (select drawer_id from drawer_tags where tag = {_TOPTAG})"
 
+_PATHED = f"""it as (select doc_id id, list_distinct(regexp_extract_all("text", '{scalar_plans._PATH}')) ps from documents where "text" is not null),
+nn as (select *, row_number() over (order by id) n from it where len(ps) > 0)"""
+
+_FIRST_WORD = r"lower(regexp_extract(coalesce(title, ''), '^[# ]*\s*(\S+)', 1))"
+_TITLE_TOKENS = f"list_distinct(regexp_extract_all(lower(coalesce(title, '')), '{tx.TITLE_TOKEN}'))"
+_LEAD = f"case when regexp_matches({_FIRST_WORD}, '^[a-z][a-z0-9]*-[a-z0-9][a-z0-9.]*$') then {_FIRST_WORD} end"
+_SWEEP = f"""d0 as (select distinct on (id) id, wing, room, coalesce(length("text"), 0) n, embedding::double[] v, {_TITLE_TOKENS} tk, {_LEAD} ld
+  from drawers where parent_drawer_id is null and {_USABLE}),
+pr as (select a.id a, b.id b, 1 - list_cosine_similarity(a.v, b.v) dist, a.n an from d0 a join d0 b on a.wing is not distinct from b.wing and a.room is not distinct from b.room and a.id <> b.id
+  and (a.n > b.n or (a.n = b.n and a.id < b.id)) and list_bool_or(list_transform(a.v, lambda x: x <> 0)) and list_bool_or(list_transform(b.v, lambda x: x <> 0))
+  where 1 - list_cosine_similarity(a.v, b.v) <= 0.08 and (a.ld = b.ld or (len(a.tk) = 0 and len(b.tk) = 0) or len(list_intersect(a.tk, b.tk)) >= 0.8 * len(list_distinct(list_concat(a.tk, b.tk))))),
+cf as (select b, list(a) xs, row_number() over (order by any_value(bn) desc, b) k from (select pr.*, d0.n bn from pr join d0 on d0.id = pr.b) group by b),
+kp(k, b, gone) as (select 0::bigint, null::varchar, []::varchar[] union all
+  select cf.k, cf.b, case when len(list_filter(cf.xs, lambda x: not list_contains(kp.gone, x))) > 0 then list_append(kp.gone, cf.b) else kp.gone end from kp join cf on cf.k = kp.k + 1),
+gn as (select unnest(gone) id from (select gone from kp order by k desc limit 1))"""
+
 _NEAR = f"""e as (select b.vec_id query_id, a.vec_id id, {_D2.format(a="a.embedding", b="b.embedding")} dist from embeddings a, embeddings b where b.vec_id % 20 = 0),
 r as (select *, row_number() over (partition by query_id order by dist, id)::int "rank" from e)"""
 
 SQL = {
+    # A pass in order, as a recursion that carries what earlier documents took.
+    "wave_schedule": f"""with recursive {_PATHED},
+r(n, id, w, taken) as (select 0::bigint, null::bigint, 0, []::varchar[] union all
+  select n, id, w, list_concat(taken, list_transform(ps, lambda p: w || ' ' || p)) from (
+    select nn.n, nn.id, nn.ps, taken, list_filter(range(1, nn.n + 1), lambda x: not list_has_any(list_transform(nn.ps, lambda p: x || ' ' || p), taken))[1]::int w from r join nn on nn.n = r.n + 1))
+select id, w wave from r where n > 0""",
+    "seam_scan": f"""with recursive {_PATHED},
+r(n, id, ok, taken) as (select 0::bigint, null::bigint, false, []::varchar[] union all
+  select nn.n, nn.id, not list_has_any(nn.ps, taken), case when list_has_any(nn.ps, taken) then taken else list_concat(taken, nn.ps) end from r join nn on nn.n = r.n + 1)
+select doc_id id from documents where doc_id not in (select id from r where n > 0 and not ok)""",
+    "near_dup_sweep": f"""with recursive {_SWEEP}
+select pr.b id, min_by(pr.a, (pr.dist, -pr.an, pr.a)) canonical_id, any_value(wing) wing, any_value(room) room, round(min(pr.dist), 6) distance
+from pr join gn on gn.id = pr.b join d0 on d0.id = pr.b where pr.a not in (select id from gn) group by 1""",
     "bm25_stats": f"""with {_bm25(_UNITS, "select 0 query_id, 'x' query")}
 select count(*) n_terms, sum(df)::bigint n_postings, round(max(avgdl), 6) avgdl, round(avg(idf), 6) mean_idf from term""",
     "bm25_top10": f"""with {_bm25('select doc_id unit, doc_id cid, coalesce("text", chr(0)) body from documents', 'select item_id query_id, "text" query from eval_items')}

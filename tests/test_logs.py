@@ -263,6 +263,29 @@ def test_seam_scan_admits_documents_without_paths(spark, tmp_path):
     assert sorted(tuple(r) for r in retrieval_plans.wave_schedule(spark, str(tmp_path)).collect()) == [(1, 1), (3, 2), (5, 1)]
 
 
+@pytest.mark.parametrize("most", [4_000_000, 12, 1])
+def test_first_fit_equals_a_loop_however_it_is_decided(spark, most):
+    rng = random.Random(5)
+    # Two components and single items; ties of order go by id; a dependency is one more conflict.
+    items = [(f"i{i:02d}", i // 2, [f"p{rng.randrange(6) + 6 * (i % 2)}" for _ in range(rng.randrange(0, 3))], ["i03"] if i == 9 else []) for i in range(36)]
+    ordered = sorted(items, key=lambda x: (x[1], x[0]))
+    claimed = {i: set(paths) | ({"dep"} if i in ("i03", "i09") else set()) for i, _, paths, _ in items}
+    wave: dict = {}
+    for i, *_ in ordered:
+        used = {wave[j] for j in wave if claimed[i] & claimed[j]}
+        wave[i] = next(w for w in range(1, 99) if w not in used)
+    chosen: list = []
+    for i, *_ in ordered:
+        if not any(claimed[i] & claimed[j] for j in chosen):
+            chosen.append(i)
+    df = spark.createDataFrame(items, "id string, o int, paths array<string>, deps array<string>")
+    c = sweep.claims(df, "o")
+    have = {i for i in claimed if claimed[i]}
+    assert {r.id: r.wave for r in sweep.first_fit(c, most=most).collect()} == {i: w for i, w in wave.items() if i in have}
+    assert {r.id for r in sweep.first_fit(c, waves=False, most=most).where("wave = 1").collect()} == set(chosen) & have
+    assert sweep.first_fit(c.where("o < 0"), most=0).count() == 0
+
+
 def test_waves_equal_first_fit(spark):
     rng = random.Random(4)
     items = [(i, i, [f"p{rng.randrange(12)}" for _ in range(rng.randrange(1, 4))]) for i in range(40)]
