@@ -60,14 +60,14 @@ def empty_state(spark) -> OrphanState:
 
 
 def _fold_parents(*parts: DataFrame) -> DataFrame:
-    """One row per id. Everything is min, max or sum, so a hot id is combined before the shuffle."""
+    """One row per id. Everything is a min or max, so a hot id is combined before the shuffle and a batch may come twice."""
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
     return union.groupBy("drawer_id").agg(
         F.min("first_filed").alias("first_filed"),
         F.max("last_filed").alias("last_filed"),
-        F.sum("filings").alias("filings"),
+        F.max("filings").alias("filings"),
         F.max("removed_at").alias("removed_at"),
     )
 
@@ -110,6 +110,23 @@ def _classify(references: DataFrame, parents: DataFrame) -> DataFrame:
     return references.join(parents, "drawer_id", "left").select(*REFERENCE.names, status.alias("status"))
 
 
+def named(references: DataFrame) -> DataFrame:
+    """The references that name something."""
+    return references.where("drawer_id is not null and drawer_id <> ''").select(*REFERENCE.names)
+
+
+def fold_parents(base: DataFrame, filings: DataFrame, deletions: DataFrame) -> DataFrame:
+    """The parent index base after a batch."""
+    return _fold_parents(base, arrivals(filings), removals(deletions))
+
+
+def probe(base: DataFrame, keys: DataFrame, fresh: DataFrame, parents: DataFrame) -> DataFrame:
+    """The references base after a batch: those of the changed keys (drawer_id) and the fresh ones are looked up in parents."""
+    touched = base.join(keys, "drawer_id", "left_semi").select(*REFERENCE.names)
+    untouched = base.join(keys, "drawer_id", "left_anti").select(*REFERENCE.names, "status")
+    return untouched.unionByName(_classify(touched.unionByName(fresh).distinct(), parents)).distinct()
+
+
 def advance(state: OrphanState, references: DataFrame, filings: DataFrame, deletions: DataFrame) -> OrphanState:
     """The state after one batch.
 
@@ -117,14 +134,9 @@ def advance(state: OrphanState, references: DataFrame, filings: DataFrame, delet
     refer to nothing and are left out, repeated rows count once. filings: (drawer_id, filed_at).
     deletions: (drawer_id, deleted_at). Any of them may be empty.
     """
-    changed = _fold_parents(arrivals(filings), removals(deletions))
-    parents = checkpointed(_fold_parents(state.parents, changed))
-    fresh = references.where("drawer_id is not null and drawer_id <> ''").select(*REFERENCE.names)
-    keys = changed.select("drawer_id")
-    touched = state.references.join(keys, "drawer_id", "left_semi").select(*REFERENCE.names)
-    untouched = state.references.join(keys, "drawer_id", "left_anti").select(*REFERENCE.names, "status")
-    probed = _classify(touched.unionByName(fresh).distinct(), parents)
-    return OrphanState(parents, checkpointed(untouched.unionByName(probed).distinct()))
+    parents = checkpointed(fold_parents(state.parents, filings, deletions))
+    keys = filings.select("drawer_id").unionByName(deletions.select("drawer_id")).distinct()
+    return OrphanState(parents, checkpointed(probe(state.references, keys, named(references), parents)))
 
 
 def states(spark, batches: Iterable[tuple[DataFrame, DataFrame, DataFrame]]) -> Iterator[OrphanState]:

@@ -106,7 +106,7 @@ class Store:
         """The manifest of a version, by default the present one; number 0 and no buckets before the first."""
         numbers = self._numbers(name) if number is None else [number]
         if not numbers:
-            return {"number": 0, "buckets": {}, "n": 0}
+            return {"number": 0, "buckets": {}, "n": 0, "full": False}
         jvm = self.spark.sparkContext._jvm
         lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(self._fs.open(self._path(name, "versions", f"{numbers[-1]}.json"))))
         try:
@@ -170,11 +170,18 @@ class Store:
         """
         for _ in range(2):
             seen = self.version(name)
-            some = self.touched(seen, key, touching) if touching is not None and seen["number"] else None
-            rows, n = make(self._load(seen, some)), max(1, seen["n"])
-            if some is None and key is not None:
+            some = self.touched(seen, key, touching) if touching is not None and seen["number"] and not seen["full"] else None
+            if some == []:
+                return seen["number"]
+            rows, n, full = make(self._load(seen, some)), max(1, seen["n"]), False
+            if key is not None:
                 rows = checkpointed(rows)
-                n = max(1, -(-rows.count() // self.rows_per_bucket))
+                size = rows.count()
+                if some is None:
+                    n = max(1, -(-size // self.rows_per_bucket))
+                else:
+                    # The next change spreads the table over more buckets.
+                    full = size > 4 * self.rows_per_bucket * len(some)
             number = seen["number"] + 1
             folder = f"{self.root}/{name}/data/{number}-{uuid.uuid4().hex[:8]}"
             if key is None or n == 1:
@@ -186,7 +193,7 @@ class Store:
             if some is not None and not set(map(int, fresh)) <= set(some):
                 raise ValueError(f"a change of {name} made rows outside of what it touches")
             kept = {b: p for b, p in seen["buckets"].items() if some is not None and int(b) not in some}
-            if self._commit(name, {"number": number, "n": n, "buckets": kept | fresh, "schema": rows.schema.jsonValue()}):
+            if self._commit(name, {"number": number, "n": n, "full": full, "buckets": kept | fresh, "schema": rows.schema.jsonValue()}):
                 return number
         raise ConcurrentModificationError(name)
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillstone.operators import orphans
+from quillstone.operators.store import Store
+from quillstone.session import checkpointed
 
 
 def json_stream(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 100) -> DataFrame:
@@ -44,26 +46,33 @@ def hourly_counts(events: DataFrame, time: str = "ts", kind: str = "event_type",
 
 
 class OrphanStream:
-    """The orphan ledger fed by batches: state is one version folder per batch, so a repeated batch is overwritten."""
+    """The orphan ledger fed by batches, its two tables in hashed buckets of a store: a batch rewrites the buckets of its keys.
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    All of it is a min, a max or a set, so a batch that comes again after a failure changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, rows_per_bucket: int = 200_000) -> None:
+        self.spark, self.store = spark, Store(spark, root, rows_per_bucket)
 
-    def state(self, number: int) -> orphans.OrphanState:
-        if number < 0:
-            return orphans.empty_state(self.spark)
-        base = f"{self.root}/{number}"
-        return orphans.OrphanState(self.spark.read.parquet(f"{base}/parents"), self.spark.read.parquet(f"{base}/references"))
+    def state(self, number: int | None = None) -> orphans.OrphanState:
+        """The ledger after the last batch; number is that of the last batch, if given."""
+        empty = orphans.empty_state(self.spark)
+        parents, references = self.store.read("parents"), self.store.read("references")
+        return orphans.OrphanState(empty.parents if parents is None else parents, empty.references if references is None else references)
 
     def apply(self, batch: DataFrame, number: int) -> None:
         """batch: (op, ref_field, row_key, drawer_id, at) with op in reference, filing, deletion."""
-        at = F.col("at").cast("timestamp_ntz")
-        refs = batch.where("op = 'reference'").select("ref_field", "row_key", "drawer_id", at.alias("ref_time"))
-        filed = batch.where("op = 'filing'").select("drawer_id", at.alias("filed_at"))
-        gone = batch.where("op = 'deletion'").select("drawer_id", at.alias("deleted_at"))
-        after = orphans.advance(self.state(number - 1), refs, filed, gone)
-        after.parents.write.mode("overwrite").parquet(f"{self.root}/{number}/parents")
-        after.references.write.mode("overwrite").parquet(f"{self.root}/{number}/references")
+        at, key = F.col("at").cast("timestamp_ntz"), F.col("drawer_id")
+        empty = orphans.empty_state(self.spark)
+        batch = checkpointed(batch.select("op", "ref_field", "row_key", "drawer_id", at.alias("at")))
+        fresh = orphans.named(batch.where("op = 'reference'").select("ref_field", "row_key", "drawer_id", F.col("at").alias("ref_time")))
+        filed = batch.where("op = 'filing' and drawer_id is not null").select("drawer_id", F.col("at").alias("filed_at"))
+        gone = batch.where("op = 'deletion' and drawer_id is not null").select("drawer_id", F.col("at").alias("deleted_at"))
+        changed = filed.select("drawer_id").unionByName(gone.select("drawer_id")).distinct()
+        self.store.change("parents", lambda base: orphans.fold_parents(empty.parents if base is None else base, filed, gone), key, changed)
+        keys = changed.unionByName(fresh.select("drawer_id")).distinct()
+        parents = self.store.near("parents", key, keys)
+        self.store.change("references", lambda base: orphans.probe(empty.references if base is None else base, changed, fresh, parents), key, keys)
 
 
 def unseen(rows: DataFrame, processed: DataFrame, keys: list[str]) -> DataFrame:
