@@ -28,12 +28,12 @@ def versions(facts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def coalesce_history(unit: DataFrame, keys: list[str], block_seconds: int = 1 << 22) -> DataFrame:
+def coalesce_history(unit: DataFrame, keys: list[str], block_seconds: int = 1 << 16) -> DataFrame:
     """(keys, object, start_s, end_s): maximal runs of touching versions with one object.
 
-    unit: (keys, o, s, e), one row per key and start. Time is cut into blocks of block_seconds.
-    Inside a block, which holds at most one version a second, a window cuts each version at the next
-    start and joins equal neighbours. Then blocks merge pairwise, level by level, until one is left
+    unit: (keys, o, s, e), one row per key and start. Time is cut into blocks of block_seconds, 18 hours
+    by default, the leaves of the tree. Inside a leaf, which holds few versions and at most one a second,
+    a window cuts each version at the next start and joins equal neighbours. Then blocks merge pairwise, level by level, until one is left
     per key: a merge sees only the first and last run of either side, so an entity with a third of
     all versions is never gathered in one task; whatever can no longer change leaves at once.
     end_s is -1 for a run that is open. Null objects equal each other.
@@ -102,7 +102,7 @@ def coalesce_history(unit: DataFrame, keys: list[str], block_seconds: int = 1 <<
     )
 
 
-def fact_history(triples: DataFrame, predicates: DataFrame, block_seconds: int = 1 << 22) -> DataFrame:
+def fact_history(triples: DataFrame, predicates: DataFrame, block_seconds: int = 1 << 16) -> DataFrame:
     """(subject, predicate, object, start_s, end_s) of the single-valued predicates.
 
     predicates: (predicate, single_valued), one row per predicate; it is broadcast only if Spark
