@@ -22,8 +22,25 @@ def reciprocal_rank(found: Column, relevant: Column) -> Column:
 def metrics(rankings: DataFrame, k: int = 10) -> DataFrame:
     """(kind, n, recall, mrr) of (kind, found, relevant), per kind and for 'all'; an empty kind is 'unspecified'."""
     kind = F.coalesce(F.nullif("kind", F.lit("")), F.lit("unspecified"))
-    scored = rankings.select(kind.alias("kind"), recall_at_k(F.col("found"), F.col("relevant"), k).alias("r"), reciprocal_rank(F.col("found"), F.col("relevant")).alias("m"))
-    both = scored.unionByName(scored.withColumn("kind", F.lit("all")))
+    return averaged(rankings.select(kind.alias("kind"), recall_at_k(F.col("found"), F.col("relevant"), k).alias("r"), reciprocal_rank(F.col("found"), F.col("relevant")).alias("m")))
+
+
+def scored(hits: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, kind, n_common, r, m) from rows instead of lists: no set of relevant ids is ever gathered.
+
+    hits: (query_id, rank), the places of relevant ids in each ranking; queries: (query_id, kind,
+    n_relevant). r is recall at k, 0 without relevant ids; m the reciprocal of the first place.
+    """
+    per = hits.groupBy("query_id").agg(F.count_if(F.col("rank") <= k).alias("c"), F.min("rank").alias("first"))
+    c = F.coalesce("c", F.lit(0))
+    r = F.when(F.col("n_relevant") > 0, c / F.col("n_relevant")).otherwise(0.0)
+    return queries.join(per, "query_id", "left").select("query_id", "kind", c.alias("n_common"), r.alias("r"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("m"))
+
+
+def averaged(scores: DataFrame) -> DataFrame:
+    """(kind, n, recall, mrr) of scored() rows, per kind and for 'all'; an empty kind is 'unspecified'."""
+    one = scores.select(F.coalesce(F.nullif("kind", F.lit("")), F.lit("unspecified")).alias("kind"), "r", "m")
+    both = one.unionByName(one.withColumn("kind", F.lit("all")))
     return both.groupBy("kind").agg(F.count("*").alias("n"), F.avg("r").alias("recall"), F.avg("m").alias("mrr"))
 
 

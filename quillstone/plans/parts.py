@@ -346,13 +346,11 @@ def l2_to_cosine(spark: SparkSession, root: str) -> DataFrame:
 
 
 def recall_at_k(spark: SparkSession, root: str) -> DataFrame:
-    r = retrieval_plans._rankings(spark, root)
-    return r.groupBy("kind").agg(F.round(F.sum(evaluate.recall_at_k(F.col("found"), F.col("relevant"), 5)), 6).alias("recall_sum"), F.sum(F.size(F.array_intersect(F.slice("found", 1, 5), "relevant"))).alias("n_common"))
+    return retrieval_plans._scored(spark, root, 5).groupBy("kind").agg(F.round(F.sum("r"), 6).alias("recall_sum"), F.sum("n_common").alias("n_common"))
 
 
 def reciprocal_rank(spark: SparkSession, root: str) -> DataFrame:
-    r = retrieval_plans._rankings(spark, root)
-    return r.groupBy("kind").agg(F.round(F.sum(evaluate.reciprocal_rank(F.col("found"), F.col("relevant"))), 6).alias("rr_sum"))
+    return retrieval_plans._scored(spark, root, 10).groupBy("kind").agg(F.round(F.sum("m"), 6).alias("rr_sum"))
 
 
 QUERIES = {

@@ -82,19 +82,23 @@ def check_duplicate(spark: SparkSession, root: str) -> DataFrame:
     return search.check_duplicate(d, _probe(d)[1]).withColumn("similarity", F.round("similarity", 6))
 
 
-def _rankings(spark: SparkSession, root: str) -> DataFrame:
+def _scored(spark: SparkSession, root: str, k: int) -> DataFrame:
+    """Every twentieth embedding asks for those of its label."""
     e = table(spark, root, "embeddings")
     base = e.select(F.col("vec_id").alias("id"), "embedding")
-    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    near = search.knn_batch(base, queries, 11).where("id <> query_id")
-    found = near.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("found"))
-    relevant = e.select(F.col("vec_id").alias("id"), "label").join(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label"), "label").where("id <> query_id")
-    relevant = relevant.join(near.select("query_id").distinct(), "query_id", "left_semi").groupBy("query_id", "label").agg(F.collect_set("id").alias("relevant"))
-    return relevant.join(found, "query_id").select(F.col("label").cast("string").alias("kind"), "found", "relevant")
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    near = search.knn_batch(base, asked.select("query_id", "embedding"), 11).where("id <> query_id")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    near = near.select("query_id", "id", place.alias("rank")).join(e.select(F.col("vec_id").alias("id"), F.col("label").alias("own")), "id")
+    hits = near.join(asked.select("query_id", "label"), "query_id").where("own = label").select("query_id", "rank")
+    # The query itself is not among the relevant ones.
+    sizes = e.groupBy("label").agg((F.count("*") - 1).alias("n_relevant")).where("n_relevant > 0")
+    queries = asked.join(sizes, "label").join(near.select("query_id").distinct(), "query_id", "left_semi")
+    return evaluate.scored(hits, queries.select("query_id", F.col("label").cast("string").alias("kind"), "n_relevant"), k)
 
 
 def recall_mrr(spark: SparkSession, root: str) -> DataFrame:
-    m = evaluate.metrics(_rankings(spark, root), 10)
+    m = evaluate.averaged(_scored(spark, root, 10))
     return m.select("kind", "n", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as tx
 from quillstone.functions import vector as vx
 from quillstone.operators import census
+from quillstone.sources import files
 from quillstone.sources.tables import table, texts
 
 NOW = "2026-01-01 00:00:00"
@@ -131,7 +132,7 @@ def vector_literal(spark: SparkSession, root: str) -> DataFrame:
 def manifest_hash(spark: SparkSession, root: str) -> DataFrame:
     """One digest per wing over its sorted 'id  sha256' lines."""
     d = census.logical(table(spark, root, "drawers")).select("wing", F.concat("id", F.lit("  "), F.sha2("text", 256), F.lit("\n")).alias("line")).distinct()
-    return d.groupBy("wing").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("line")), ""), 256).alias("manifest"))
+    return files.manifest_digests(d, "wing")
 
 
 def wing_variants(spark: SparkSession, root: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -131,6 +134,29 @@ def files_sorted(spark: SparkSession, path: str) -> DataFrame:
     return f.select("path", F.sha2("content", 256).alias("sha256")).orderBy("path")
 
 
+def manifest_digests(lines: DataFrame, key: str) -> DataFrame:
+    """(key, manifest): SHA-256 over the sorted lines (key, line) of each key.
+
+    Lines are sorted on disk where needed and hashed as they stream by, so no key's lines are gathered.
+    """
+    kind = lines.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, digest = None, None
+        for pdf in batches:
+            for k, line in zip(pdf[key], pdf["line"]):
+                k = None if pd.isna(k) else k
+                if digest is None or k != now:
+                    if digest is not None:
+                        yield pd.DataFrame({key: [now], "manifest": [digest.hexdigest()]})
+                    now, digest = k, hashlib.sha256()
+                digest.update(line.encode())
+        if digest is not None:
+            yield pd.DataFrame({key: [now], "manifest": [digest.hexdigest()]})
+
+    return lines.select(key, "line").repartition(key).sortWithinPartitions(key, "line").mapInPandas(run, f"{key} {kind}, manifest string")
+
+
 def front_matter(text: str | Column) -> Column:
     """What stands between the first two --- lines, '' without."""
     c = F.col(text) if isinstance(text, str) else text
