@@ -348,6 +348,22 @@ def ring5(spark: SparkSession, root: str) -> DataFrame:
     return turns.select("record_id", F.md5(F.array_join(F.coalesce("ring", F.array().cast("array<string>")), " ")).alias("ring_md5"))
 
 
+def _slots(spark: SparkSession, root: str) -> DataFrame:
+    """The slots of all assistant texts with a bracket line put in, as data hold few."""
+    b = transcripts.top_blocks(part_plans.nested.parse_lines(texts(spark, root, "agent_records"))).where("role = 'assistant' and type = 'text'")
+    made = F.concat(F.lit("Seen `it` [`cat a` -> ok] and [INFERRED]\n# no [heading]\n  evidence: `"), F.substring("text", 1, 20), F.lit("`\n```\n[fenced]\n```\n[ ] [x]\n"), "text")
+    return transcripts.slots(b.select(F.concat_ws("|", "record_id", "i").alias("key"), made.alias("report")))
+
+
+def slots(spark: SparkSession, root: str) -> DataFrame:
+    return _slots(spark, root).select("key", "at", "form", F.md5("payload").alias("payload_md5"))
+
+
+def slot_count(spark: SparkSession, root: str) -> DataFrame:
+    """Slots of each text, and those that are only inferred: the work list."""
+    return _slots(spark, root).groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("payload") == "INFERRED").alias("n_inferred"))
+
+
 def history_mine(spark: SparkSession, root: str) -> DataFrame:
     """Documents as history: scored, judged (a text of even length is salient), drafted, clustered, and the new mark."""
     units = log_plans._units(spark, root).withColumnRenamed("doc_id", "id")
@@ -435,7 +451,7 @@ QUERIES = {
         migrate_drawers, resume_checkpoint, exists_probe, state_merge, state_get, stamp_write, orphan_escalation, canonical_export, since_synced,
         scan_mtime_window, scan_files_sorted, scan_porcelain, orphan_worktrees, orphan_total, watch_pr, unreferenced_clones, template_drift,
         merged_not_closed, label_regex_filter, command_match, path_classes, split_arrow, ring5, history_mine, page_total, neighbour_stitch,
-        bm25_score_sum, before_after, acceptance_gate, prior_art, active_cycles,
+        bm25_score_sum, slots, slot_count, before_after, acceptance_gate, prior_art, active_cycles,
     )
 }
 
@@ -480,7 +496,19 @@ af as (select query_id, cid, row_number() over (partition by query_id order by s
 found as (select 'before' "mode", query_id, id, r "rank" from rn where r <= 10 union all select 'after', query_id, cid, "rank" from af where "rank" <= 10), {_METRICS}"""
 _UNIT = log_plans._UNIT
 
+_BARE = r"regexp_replace(replace({0}, '`', ''), '^\s+|\s+$', '', 'g')"
+_SLOTS = rf"""{log_plans._TB}, rp as (select record_id || '|' || i k, 'Seen `it` [`cat a` -> ok] and [INFERRED]' || chr(10) || '# no [heading]' || chr(10) || '  evidence: `' || substr(tx, 1, 20) || '`' || chr(10) || '```' || chr(10) || '[fenced]' || chr(10) || '```' || chr(10) || '[ ] [x]' || chr(10) || tx t
+  from tb where role = 'assistant' and ty = 'text'),
+ln as (select k, generate_subscripts(a, 1) i, unnest(a) x from (select k, string_split(t, chr(10)) a from rp)),
+fe as (select *, regexp_matches(x, '^\s*(```|~~~)') fence from ln),
+fn as (select *, sum(fence::int) over (partition by k order by i) n from fe),
+ul as (select *, regexp_matches(x, '^\s*evidence:') field from fn where not fence and n % 2 = 0 and not regexp_matches(x, '^\s*#{{1,6}}(\s|$)')),
+sl as (select k, i, 0 j, 'field' form, {_BARE.format(r"regexp_extract(x, '^\s*evidence:(.*)$', 1)")} p from ul where field union all
+  select k, i, j, 'bracket', {_BARE.format("y")} from (select k, i, generate_subscripts(m, 1) j, unnest(m) y from (select k, i, regexp_extract_all(x, '\[([^\]\[]+)\]', 1) m from ul where not field)))"""
+
 SQL = {
+    "slots": f'with {_SLOTS} select k "key", (row_number() over (partition by k order by i, j) - 1)::int "at", form, md5(p) payload_md5 from sl where p <> \'\'',
+    "slot_count": f"with {_SLOTS} select k \"key\", count(*) n, count(*) filter (p = 'INFERRED') n_inferred from sl where p <> '' group by 1",
     "get_drawer": """select distinct id, wing, title, md5("text") text_md5, true found from drawers where id = (select min(id) from drawers) union all select 'missing', null, null, null, false""",
     "update_drawer": """with o as (select id, any_value("text") || any_value("text") t from drawers where parent_drawer_id is null and length("text") > 800 group by id order by id limit 1)
 select distinct d.id, md5(d."text") text_md5, chunk_index, parent_drawer_id from drawers d, o where d.id <> o.id and coalesce(parent_drawer_id, '') <> o.id and d.id not in (select o.id || '_chunk_' || lpad(i::varchar, 6, '0') from o, range(0, 1000) r(i))
