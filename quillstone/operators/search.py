@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_right
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 from functools import reduce
 
@@ -220,8 +221,11 @@ def hybrid_search(drawers: DataFrame, index: bm25.Index, query: str, vector: lis
     """
     limit = max(int(limit), 1)
     scope = {"wing": wing, "room": room, "tags": tags, "tag_filter": tag_filter}
-    near = {r["cid"]: r["rank"] for r in vector_lane(drawers, vector, limit, **scope).collect()}
-    hits = checkpointed(keyword_hits(drawers, index, query, **scope))
+    # The lanes need nothing of each other, so their jobs run side by side.
+    with ThreadPoolExecutor(1) as beside:
+        asked = beside.submit(vector_lane(drawers, vector, limit, **scope).collect)
+        hits = checkpointed(keyword_hits(drawers, index, query, **scope))
+        near = {r["cid"]: r["rank"] for r in asked.result()}
     some = leading(hits, limit, set(near))
     ranks = better(hits, some) if some else {}
     score = {c: round(sum(1.0 / (RRF_K + lane[c]) for lane in (near, ranks) if c in lane), 12) for c in {*near, *ranks}}
