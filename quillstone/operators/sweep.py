@@ -211,8 +211,8 @@ def near_duplicates(drawers: DataFrame, protected: DataFrame | None = None, thre
     nearest such. Two titles without tokens are alike. Protected ids stay. Drawers without a usable
     vector, or with a zero one, are near nothing. Rows of one id must agree and count once.
     """
-    d = drawers.where(F.col("parent_drawer_id").isNull() & vx.usable("embedding", dim)).dropDuplicates(["id"])
-    d = checkpointed(
+    d = drawers.where(F.col("parent_drawer_id").isNull() & vx.usable("embedding", dim) & F.exists("embedding", lambda x: x != 0)).dropDuplicates(["id"])
+    whole = checkpointed(
         d.select(
             "id", "wing", "room", F.coalesce(F.length("text"), F.lit(0)).alias("n"), F.col("embedding").alias("vec"),
             F.array_sort(tx.title_tokens("title")).alias("tokens"), tx.leading_id("title").alias("lead"),
@@ -220,6 +220,17 @@ def near_duplicates(drawers: DataFrame, protected: DataFrame | None = None, thre
         .withColumn("place", F.concat_ws("\x1f", F.coalesce("wing", F.lit("\x00")), F.coalesce("room", F.lit("\x00"))))
         .withColumn("cls", F.concat_ws("\x1f", "place", F.array_join("tokens", " ")))
     )
+    # Drawers equal in place, title tokens, leading id and vector have the same neighbours: only the first of them, and those
+    # protected, take part in pairs; the others go, as the first is kept or what removed it stands before them too.
+    alike_all = ["cls", "lead", "vec"]
+    firsts = whole.groupBy(*alike_all).agg(F.min(F.struct((-F.col("n")).alias("m"), "id"))["id"].alias("rep"), F.count("*").alias("size"))
+    shared = firsts.where("size > 1").drop("size")
+    same = lambda x: (whole["cls"] == x["cls"]) & whole["lead"].eqNullSafe(x["lead"]) & (whole["vec"] == x["vec"])
+    members = whole.join(shared, same(shared)).where("id <> rep").select("id", "n", "wing", "room", "rep")
+    if protected is not None:
+        members = members.join(protected.select("id"), "id", "left_anti")
+    members = checkpointed(members)
+    d = checkpointed(whole.join(members.select("id"), "id", "left_anti"))
     classes = d.where("size(tokens) > 0").select("place", "cls", "tokens").distinct()
     token = classes.select("place", "cls", F.explode("tokens").alias("t"))
     freq = token.groupBy("place", "t").agg(F.count("*").alias("f"))
@@ -246,5 +257,13 @@ def near_duplicates(drawers: DataFrame, protected: DataFrame | None = None, thre
     kept = state.where("kept").select(F.col("id").alias("a"))
     gone = state.where("not kept").select(F.col("id").alias("b"))
     length = d.select(F.col("id").alias("a"), F.col("n"))
-    nearest = pairs.join(kept, "a", "left_semi").join(gone, "b", "left_semi").join(length, "a").groupBy("b").agg(F.min(F.struct("dist", -F.col("n"), "a")).alias("m"))
-    return nearest.join(d.select(F.col("id").alias("b"), "wing", "room"), "b").select(F.col("b").alias("id"), F.col("m.a").alias("canonical_id"), "wing", "room", F.col("m.dist").alias("distance"))
+    # Equal vectors are at distances equal up to the last bit.
+    nearness = F.min(F.struct(F.round("dist", 12).alias("dist"), -F.col("n"), "a")).alias("m")
+    nearest = pairs.join(kept, "a", "left_semi").join(gone, "b", "left_semi").join(length, "a").groupBy("b").agg(nearness)
+    nodes = nearest.join(d.select(F.col("id").alias("b"), "wing", "room"), "b").select(F.col("b").alias("id"), F.col("m.a").alias("canonical_id"), "wing", "room", F.col("m.dist").alias("distance"))
+    reps = members.select("rep").distinct()
+    around = pairs.select(F.col("b").alias("rep"), "a", "dist").unionByName(pairs.select(F.col("a").alias("rep"), F.col("b").alias("a"), "dist")).join(reps, "rep", "left_semi")
+    around = around.unionByName(reps.select("rep", F.col("rep").alias("a"), F.lit(0.0).alias("dist")))
+    around = around.join(state.select(F.col("id").alias("a"), "kept"), "a", "left").where(F.coalesce("kept", F.lit(True))).join(length, "a")
+    own = members.select(F.col("id").alias("b"), F.col("n").alias("nb"), "wing", "room", "rep").join(around, "rep").where((F.col("n") > F.col("nb")) | ((F.col("n") == F.col("nb")) & (F.col("a") < F.col("b"))))
+    return nodes.unionByName(own.groupBy("b", "wing", "room").agg(nearness).select(F.col("b").alias("id"), F.col("m.a").alias("canonical_id"), "wing", "room", F.col("m.dist").alias("distance")))
