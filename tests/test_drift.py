@@ -31,7 +31,8 @@ def test_phrases_and_patterns(spark):
 def test_references_and_classes(spark):
     assert column(spark, shell.evidence_reference, ["see 1a2b3c4 now", "1234567", "short", "x" * 200, None]) == [True, False, False, True, False]
     paths = ["src/a.py", "src/tests/a.py", "test_x.sh", "docs/a.py", "README.md", "data.bin", "a.spec.ts"]
-    assert column(spark, shell.path_class, paths) == ["source", "test", "test", "other", "other", "other", "test"]
+    # A shell script is a test by its folder or its ending, not by its beginning.
+    assert column(spark, shell.path_class, paths) == ["source", "test", "source", "other", "other", "other", "test"]
 
 
 def test_drift_states(spark):
