@@ -36,7 +36,7 @@ def test_struggle_signals(spark):
         "s1": [*tools(5), ("user", "no wait")],
         "s2": [("user", "you should have asked")],
         "s3": [*tools(4), ("user", "stop, that's wrong"), ("assistant", "you're right, apologies")],
-        "s4": [*tools(8), ("user", "let me back up, this is the wrong approach")],
+        "s4": [*tools(8), ("user", "hm, let me back up and look at the cache first")],
         "s5": [*[("assistant", topic) for _ in range(22)], ("user", other)],
         "c1": [*tools(4), ("user", "yes, good")],
         "c2": [*tools(4), ("user", "no wait", {"isMeta": True})],
