@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstone.functions import vector as vx
-from quillstone.operators import bm25
+from quillstone.operators import bm25, lanes
 from quillstone.session import checkpointed
 
 RRF_K, OVERFETCH, STITCH_MAX, SNIPPET, DUPLICATE_POOL = 60, 10, 10_000, 300, 50
@@ -133,15 +133,25 @@ def ranked(hits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return hits.join(before if by else F.broadcast(before), [*by, "b"]).select(*by, "cid", (F.col("before") + inside).cast("int").alias("rank"))
 
 
-def hybrid_batch(drawers: DataFrame, index: bm25.Index, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """(query_id, cid, score, rank): the fused lanes of hybrid_search() for many queries (query_id, query, embedding), without snippets."""
-    rows = canonical(drawers).select(F.concat_ws("\x1f", "id", "cid").alias("id"), "embedding").dropDuplicates(["id"])
-    near = knn_batch(rows, queries, limit * OVERFETCH).select("query_id", F.substring_index("id", "\x1f", -1).alias("cid"), F.struct("dist", "id").alias("at"))
-    best = near.groupBy("query_id", "cid").agg(F.min("at").alias("at"))
+def nearest_batch(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, cid, dist, rank): knn_batch() over distinct rows (id, cid, embedding), kept in the shared folder."""
+    both = rows.select(F.concat_ws("\x1f", "id", "cid").alias("id"), "embedding")
+    part = lambda n: F.substring_index("id", "\x1f", n)
+    return checkpointed(knn_batch(both, queries, k).select("query_id", part(1).alias("id"), part(-1).alias("cid"), "dist", "rank"))
+
+
+def hybrid_batch(drawers: DataFrame, index: bm25.Documents, queries: DataFrame, limit: int = 10, near: DataFrame | None = None) -> DataFrame:
+    """(query_id, cid, score, rank): the fused lanes of hybrid_search() for many queries (query_id, query, embedding), without snippets.
+
+    near: the nearest_batch() of limit x 10 rows, if it is there. As in hybrid_search() only drawers
+    of the vector lane and the first `limit` keyword hits need a place in the keyword lane.
+    """
+    if near is None:
+        near = nearest_batch(canonical(drawers).select("id", "cid", "embedding").dropDuplicates(["id", "cid"]), queries, limit * OVERFETCH)
+    best = near.groupBy("query_id", "cid").agg(F.min(F.struct("dist", "id")).alias("at"))
     lane = best.select("query_id", "cid", F.row_number().over(Window.partitionBy("query_id").orderBy("at")).alias("rank"))
-    hits = bm25.scores(index, queries.select("query_id", "query")).select("query_id", "cid", F.round("score", DIGITS).alias("score"))
-    hits = checkpointed(hits.join(drawers.where(F.col("parent_drawer_id").isNull()).select(F.col("id").alias("cid")), "cid", "left_semi"))
-    fused = lane.unionByName(ranked(hits, ("query_id",))).groupBy("query_id", "cid").agg(F.round(F.sum(1.0 / (RRF_K + F.col("rank"))), 12).alias("score"))
+    hits = lanes.keyword_places(index, queries, near, limit, DIGITS)
+    fused = lane.unionByName(hits).groupBy("query_id", "cid").agg(F.round(F.sum(1.0 / (RRF_K + F.col("rank"))), 12).alias("score"))
     filed = drawers.where(F.col("parent_drawer_id").isNull()).groupBy(F.col("id").alias("cid")).agg(F.max("filed_at").alias("filed_at"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc_nulls_last("filed_at"), "cid")
     return fused.join(filed, "cid", "left").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "cid", "score", "rank")

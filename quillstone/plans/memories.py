@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from quillstone.functions import shell
 from quillstone.functions import text as tx
 from quillstone.memory import Memory
-from quillstone.operators import bm25, census, drift, evaluate, mining, search, state, transcripts
+from quillstone.operators import bm25, census, drift, evaluate, lanes, mining, search, state, transcripts
 from quillstone.operators import store as st
 from quillstone.plans import logs as log_plans
 from quillstone.plans import parts as part_plans
 from quillstone.plans import retrieval as retrieval_plans
 from quillstone.plans import scalars as scalar_plans
-from quillstone.session import fresh_folder
+from quillstone.session import fresh_folder, staged
 from quillstone.sources import files
 from quillstone.sources.tables import table, texts
 from quillstone.streaming import incremental
@@ -396,14 +396,21 @@ def bm25_score_sum(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _lanes(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Metrics of the raw vector search and of the hybrid one: a tunnel's source drawer asks for its target drawer."""
+    """Metrics of the raw vector search and of the hybrid one: a tunnel's source drawer asks for its target drawer.
+
+    Both searches are made for the queries whose target they may find; any other adds 0 to the means.
+    """
     d = table(spark, root, "drawers")
     t = table(spark, root, "tunnels").groupBy(F.col("id").alias("query_id")).agg(F.min(F.struct("source_drawer_id", "target_drawer_id", "kind")).alias("t"))
-    one = d.where("embedding is not null and size(embedding) = 64 and not exists(embedding, x -> isnan(x))").groupBy(F.col("id").alias("source")).agg(F.min("title").alias("query"), F.min("embedding").alias("embedding"))
-    asked = t.select("query_id", F.col("t.source_drawer_id").alias("source"), F.col("t.target_drawer_id").alias("target"), "t.kind").where("target <> ''").join(one, "source")
-    queries = asked.select("query_id", F.coalesce("query", F.lit("")).alias("query"), "embedding")
-    raw = search.knn_batch(d.dropDuplicates(["id"]).select("id", "embedding"), queries, 10).select("query_id", "id", "rank")
-    both = search.hybrid_batch(d, retrieval_plans._index(d), queries, 10).select("query_id", F.col("cid").alias("id"), "rank")
+    one = search.canonical(d).where("embedding is not null and size(embedding) = 64 and not exists(embedding, x -> isnan(x))").groupBy("id").agg(F.min("title").alias("query"), F.min(F.struct("embedding", "cid")).alias("v"))
+    one = staged(one.select("id", "query", "v.embedding", "v.cid"), "vectors")
+    asked = t.select("query_id", F.col("t.source_drawer_id").alias("id"), F.col("t.target_drawer_id").alias("target"), "t.kind").where("target <> ''").join(one, "id")
+    asked = staged(asked.select("query_id", "target", "kind", F.coalesce("query", F.lit("")).alias("query"), "embedding"), "asked")
+    vectors, index = one.select("id", "cid", "embedding"), bm25.documents(d)
+    queries = asked.join(lanes.reachable(index, vectors, asked, 10, 10 * search.OVERFETCH), "query_id", "left_semi").select("query_id", "query", "embedding")
+    near = search.nearest_batch(vectors, queries, 10 * search.OVERFETCH)
+    raw = near.where("rank <= 10").select("query_id", "id", "rank")
+    both = search.hybrid_batch(d, index, queries, 10, near).select("query_id", F.col("cid").alias("id"), "rank")
 
     def metrics(found: DataFrame) -> DataFrame:
         # At most ten ids a query.

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.operators import bm25, evaluate, mining, nested, search, sweep, transcripts
+from quillstone.operators import bm25, evaluate, lanes, mining, nested, search, sweep, transcripts
 from quillstone.plans import retrieval as retrieval_plans
 
 
@@ -182,6 +182,53 @@ def test_search_of_an_empty_store_and_bad_vectors(spark):
         assert search.hybrid_search(rows, bm25.build(bm25.units(rows), keep=False, clustered=True), "x", [1.0, 0.0]).count() == 0
 
 
+def brute_hybrid(rows, index, queries, limit):
+    """{query_id: best cids} by scoring every pair: (id, cid, vector, logical) rows, scores of all hits from bm25.scores()."""
+    scored = {}
+    for r in bm25.scores(index, queries.select("query_id", "query")).collect():
+        scored.setdefault(r.query_id, {})[r.cid] = round(r.score, 9)
+    logical, out = {r[0] for r in rows if r[3]}, {}
+    for q in queries.collect():
+        near = sorted((round(sum((a - b) ** 2 for a, b in zip(r[2], q.embedding)), 9), r[0], r[1]) for r in rows)[: limit * 10]
+        fused = {}
+        for lane in (list(dict.fromkeys(x[2] for x in near)), sorted((c for c in scored.get(q.query_id, {}) if c in logical), key=lambda c: (-scored[q.query_id][c], c))):
+            for at, c in enumerate(lane, 1):
+                fused[c] = fused.get(c, 0) + 1 / (60 + at)
+        out[q.query_id] = sorted(fused, key=lambda c: (-round(fused[c], 12), c))[:limit]
+    return out
+
+
+def test_batches_send_no_row_a_hit_and_lose_no_target(spark, monkeypatch):
+    """Ranks of many queries equal brute force, though no hit of a query is written; queries that are passed over find nothing."""
+    rng = np.random.default_rng(1)
+    words = ["ab-9.1", "ab", "Kelvin K", "x_y.z", "the", "gate", "the the", "\u0130d"]
+    rows = []
+    for i in range(150):
+        v = rng.normal(size=4).round(3).tolist()
+        chunks = [{"id": f"d{i:03}c{k}", "chunk_index": k, "parent_drawer_id": f"d{i:03}", "text": " ".join(rng.choice(words, 3)), "embedding": rng.normal(size=4).round(3).tolist()} for k in range(i % 3)]
+        rows += [{"id": f"d{i:03}", "title": str(rng.choice(words)), "text": " ".join(rng.choice(words, int(rng.integers(0, 4)))), "embedding": v}, *chunks]
+    d = stored(spark, [*rows, rows[0], {"id": "gone_1", "parent_drawer_id": "gone", "text": "the gate", "embedding": [0.1] * 4}]).cache()
+    old, new = bm25.build(bm25.units(d), keep=False, clustered=True), bm25.documents(d)
+    known = lambda terms: {r.token: (r.df, round(r.avgdl, 9), round(r.idf, 9)) for r in terms.collect()}
+    assert known(old.terms) == known(new.terms)
+    queries = d.where("id like 'd%' and parent_drawer_id is null").dropDuplicates(["id"]).select(F.col("id").alias("query_id"), F.concat_ws(" ", "title", F.lit("gate")).alias("query"), "embedding")
+    flat = {r.id: (r.id, r.parent_drawer_id or r.id, [float(x) for x in r.embedding], r.parent_drawer_id is None) for r in d.collect()}
+    want = brute_hybrid(list(flat.values()), old, queries, 2)
+    # Every hit of every query as a row is what once filled the disk.
+    monkeypatch.setattr(bm25, "scores", lambda *_: pytest.fail("a row per query and hit"))
+    got = {}
+    for r in search.hybrid_batch(d, new, queries, 2).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.cid)
+    assert got == want
+    vectors = search.canonical(d).dropDuplicates(["id"]).select("id", "cid", "embedding")
+    ask = lambda step: queries.withColumn("target", F.format_string("d%03d", F.pmod(F.substring("query_id", 2, 3).cast("int") * step + 1, F.lit(150))))
+    for step in (1, 7, 31):
+        asked = ask(step)
+        kept = {r.query_id for r in lanes.reachable(new, vectors, asked, 2, 20, at_once=50).collect()}
+        found = {r.query_id for r in asked.collect() if r.target in want[r.query_id]}
+        assert found <= kept and len(kept) < 150
+
+
 def test_tag_filter_twice_matches_nothing(spark):
     tags = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "y"), ("b", "x")], "drawer_id string, tag string")
     assert [r.id for r in search.tagged(tags, ["x", "y"]).collect()] == ["a"]
