@@ -4,7 +4,8 @@ import os
 
 import pytest
 
-from quillstone.operators import census, search
+from quillstone.operators import bm25, census, search
+from quillstone.plans import memories
 from quillstone.sources.tables import spread, table
 
 ROOT = "/root/testdata/sf0.001"
@@ -34,3 +35,10 @@ def test_spread_keeps_pruning_and_leaves_large_scans_alone(spark):
     assert "ReadSchema: struct<doc_id:bigint>" in plan(spread(d).select("doc_id"))
     many = spark.range(0, 100, 1, 64)
     assert spread(many) is many
+
+
+def test_before_after_makes_no_row_per_query_and_hit(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "scores", lambda *_: pytest.fail("a row per query and hit"))
+    rows = {(r["mode"], r.kind): r for r in memories.before_after(spark, ROOT).collect()}
+    asked = rows["before", "all"].n
+    assert asked == rows["after", "all"].n == sum(r.n for (mode, kind), r in rows.items() if mode == "after" and kind != "all")
