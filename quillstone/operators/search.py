@@ -22,6 +22,8 @@ from quillstone.session import checkpointed
 RRF_K, OVERFETCH, STITCH_MAX, SNIPPET, DUPLICATE_POOL = 60, 10, 10_000, 300, 50
 #: Decimals of a distance or score beyond which two are a tie, decided by id.
 DIGITS = 9
+#: Most distances that a task holds at once, and most rows in a batch that it returns.
+CELLS, SENT = 2**18, 10_000
 EPOCH = datetime(1970, 1, 1)
 
 
@@ -264,8 +266,9 @@ def knn_batch(base: DataFrame, queries: DataFrame, k: int, at_once: int = 4096)
     """(query_id, id, dist, rank): the k nearest rows of base (id, embedding) for each query (query_id, embedding).
 
     Queries are met in blocks of at_once, each a bounded broadcast; a task keeps the k best of its
-    rows per query, so what is shuffled does not grow with the rows of a task. Exact: distances in
-    double precision, rounded, ties by id. Vectors of another length than the queries' are left out.
+    rows per query, so what is shuffled does not grow with the rows of a task. It meets a batch of
+    rows with a few queries at a time, as all of a block would need some hundred MB. Exact: distances
+    in double precision, rounded, ties by id. Vectors of another length than the queries' are left out.
     """
     spark = base.sparkSession
     queries = queries.where("embedding is not null").select("query_id", "embedding")
@@ -284,6 +287,8 @@ def knn_batch(base: DataFrame, queries: DataFrame, k: int, at_once: int = 4096)
         def nearest(batches: Iterator[pd.DataFrame], shared=shared, dim=dim) -> Iterator[pd.DataFrame]:
             names, q = shared.value
             q2 = (q * q).sum(1)
+            # No row behind k others of one batch is among the k best.
+            bound = np.full(len(q), np.inf)
             kept: list[pd.DataFrame] = []
             for pdf in batches:
                 pdf = pdf[pdf["embedding"].map(len) == dim]
@@ -294,16 +299,24 @@ def knn_batch(base: DataFrame, queries: DataFrame, k: int, at_once: int = 4096)
                 x, ids = x[ok], pdf["id"].to_numpy()[ok]
                 if not len(x):
                     continue
-                rough = q2[:, None] - 2 * q @ x.T + (x * x).sum(1)[None, :]
-                edge = np.partition(rough, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1] + 1e-6
-                i, j = np.nonzero(rough <= edge[:, None])
-                d = np.round(((q[i] - x[j]) ** 2).sum(1), DIGITS)
+                x2, step, found = (x * x).sum(1), max(1, CELLS // len(x)), []
+                for at in range(0, len(q), step):
+                    some = slice(at, at + step)
+                    rough = q2[some, None] - 2 * q[some] @ x.T + x2[None, :]
+                    if len(x) >= k:
+                        bound[some] = np.fmin(bound[some], np.partition(rough, k - 1, axis=1)[:, k - 1] + 1e-6)
+                    i, j = np.nonzero(rough <= bound[some, None])
+                    i += at
+                    found.append((i, j, np.round(((q[i] - x[j]) ** 2).sum(1), DIGITS)))
+                i, j, d = (np.concatenate(a) for a in zip(*found))
                 kept.append(pd.DataFrame({"q": i, "id": ids[j], "dist": d}))
                 if sum(map(len, kept)) > 1_000_000:
                     kept = [pd.concat(kept).sort_values(["q", "dist", "id"]).groupby("q").head(k)]
             if kept:
                 best = pd.concat(kept).sort_values(["q", "dist", "id"]).groupby("q").head(k)
-                yield pd.DataFrame({"query_id": [names[i] for i in best["q"]], "id": best["id"], "dist": best["dist"]})
+                for at in range(0, len(best), SENT):
+                    some = best.iloc[at : at + SENT]
+                    yield pd.DataFrame({"query_id": [names[i] for i in some["q"]], "id": some["id"], "dist": some["dist"]})
 
         parts.append(base.mapInPandas(nearest, f"query_id {kind['query_id']}, id {kind['id']}, dist double"))
     if not parts:

@@ -3,8 +3,11 @@
 import datetime as dt
 import json
 import random
+import tracemalloc
+from functools import partial
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,6 +232,27 @@ def test_batches_send_no_row_a_hit_and_lose_no_target(spark, monkeypatch):
         assert found <= kept and len(kept) < 150
 
 
+def test_keyword_places_sends_no_more_with_more_batches(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    words = lambda: " ".join(f"w{w}" for w in rng.integers(0, 12, 6))
+    d = spark.createDataFrame([(f"d{k:03d}", None, "", words()) for k in range(120)], "id string, parent_drawer_id string, title string, text string").repartition(4)
+    queries = spark.createDataFrame([(f"q{k}", words()) for k in range(9)], "query_id string, query string")
+    wanted = spark.createDataFrame([(f"q{k}", f"d{j:03d}") for k in range(9) for j in (k, 100)], "query_id string, cid string")
+    scores = {}
+    for r in bm25.scores(bm25.build(bm25.units(d)), queries).collect():
+        scores.setdefault(r.query_id, []).append((-round(r.score, 9), r.cid))
+    want = {(q, c, k) for q, rows in scores.items() for k, (_, c) in enumerate(sorted(rows), 1) if k <= 2 or c in (f"d{int(q[1:]):03d}", "d100")}
+    index, sizes = bm25.documents(d), []
+    monkeypatch.setattr(lanes, "_logical", partial(lanes._logical, rows=5))
+    for name in ("collect", "toArrow"):
+        monkeypatch.setattr(type(d), name, lambda self, f=getattr(type(d), name): (x := f(self), sizes.append(len(x)))[0])
+    places = lanes.keyword_places(index, queries, wanted, 2, 9, at_once=5)
+    monkeypatch.undo()
+    assert {tuple(r) for r in places.collect()} == want
+    # Two leading and two wanted of each query at most; not the leading ones of each batch.
+    assert max(sizes) <= 9 * (2 + 2)
+
+
 def test_tag_filter_twice_matches_nothing(spark):
     tags = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "y"), ("b", "x")], "drawer_id string, tag string")
     assert [r.id for r in search.tagged(tags, ["x", "y"]).collect()] == ["a"]
@@ -248,6 +272,25 @@ def test_knn_batch_equals_brute_force(spark):
     assert [r.id for r in search.knn_one(base, x[20].tolist(), 5).collect()] == [want[20, r] for r in range(1, 6)]
 
 
+def test_knn_batch_holds_few_distances_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.integers(-2, 3, (4000, 4)).astype(float)
+    rows = pd.DataFrame({"id": np.arange(4000), "embedding": list(x)})
+    base = spark.createDataFrame([], "id bigint, embedding array<double>")
+    q = spark.createDataFrame([(i, x[i].tolist()) for i in range(1500)], "query_id bigint, embedding array<double>")
+    tasks = []
+    monkeypatch.setattr(type(base), "mapInPandas", lambda self, f, schema: tasks.append(f) or self.sparkSession.createDataFrame([], schema))
+    search.knn_batch(base, q, 3)
+    tracemalloc.start()
+    got = pd.concat(tasks[0](rows.iloc[k : k + 2000] for k in (0, 2000)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All distances of a batch are 24 MB, and were there some three times.
+    assert peak < 24e6
+    for i in range(0, 1500, 100):
+        assert got[got["query_id"] == i]["id"].tolist() == sorted(range(4000), key=lambda j: (((x[i] - x[j]) ** 2).sum(), j))[:3]
+
+
 def greedy_sweep(rows, protected, threshold=0.08):
     """Plain loop: longest first, nearest kept that matches."""
     import re
